@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from .shared import spread, stored, words
 
-BLOCK = 256
+BLOCK = 128
 MOST = 3
 SHARDS = 4096
 SLOTS = 4096

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality_rules
+from . import exact_dedup, mixing, quality_rules, token_files
 from .oracles import ORACLES
 from .shared import table
 
@@ -33,8 +33,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(spark.read.parquet(table(sf_dir, "documents")), index)
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(spark, spark.read.parquet(table(sf_dir, "documents")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op6_mixing, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op6_mixing, op8_exact_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
