@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality_rules, token_files, warc
+from . import exact_dedup, mixing, packing, quality_rules, token_files, warc
 from .oracles import ORACLES
 from .shared import table
 
@@ -23,6 +23,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(spark, spark.read.parquet(table(sf_dir, "documents")))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, spark.read.parquet(table(sf_dir, "pages")))
 
@@ -42,7 +46,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_warc, op6_mixing, op8_exact_dedup, op10_token_files)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_warc, op6_mixing, op8_exact_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
