@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, exact_dedup, mixing, packing, quality_rules, token_files, warc
+from . import class_lm, exact_dedup, mixing, nb_svm, packing, quality_rules, token_files, warc
 from .oracles import ORACLES
 from .shared import table
 
@@ -45,12 +45,18 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(spark.read.parquet(table(sf_dir, "documents")), index)
 
 
+def op9_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(table(sf_dir, "documents"))
+    model = nb_svm.trained(docs, spark.read.parquet(table(sf_dir, "labels")))
+    return nb_svm.scored(spark, docs, model)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(spark, spark.read.parquet(table(sf_dir, "documents")))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_warc, op4_class_lm, op6_mixing, op8_exact_dedup, op10_token_files)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_warc, op4_class_lm, op6_mixing, op8_exact_dedup, op9_nb_svm, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
