@@ -30,6 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import parted
+
 BITS, SAMPLE, EPOCHS, C = 18, 20_000, 8, 1.0
 TEXTS_AT_ONCE = 1024
 _RUNS = [(re.compile(p), s) for p, s in ((r"[^\W\d_a-zß-öø-ÿ]+", "A"), (r"[^\W\dA]+", "a"), (r"\d+", "0"), (r"([^\w])\1+", r"\1"))]
@@ -58,15 +60,9 @@ class Hashes:
 
 def features(texts: pa.Array, hashes: Hashes, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """The distinct features of all texts one after another, and how many each text has."""
-    parts = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-    flat = parts.flatten().dictionary_encode()
-    names = flat.dictionary.to_pylist()
-    table = hashes.of(names)
-    offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
-    owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    code = flat.indices.to_numpy()
-    word = np.array([len(x) > 0 for x in names], bool)[code] if names else np.empty(0, bool)
-    code, owner = code[word], owner[word]
+    names, code, sizes = parted(pc.fill_null(texts.cast(pa.large_string()), ""))
+    table = hashes.of(names.to_pylist())
+    owner = np.repeat(np.arange(len(texts)), sizes)
     same = (owner[1:] == owner[:-1]) if len(code) else np.empty(0, bool)
     w, s = table[code, 0], table[code, 1].copy()
     s[1:][same & (code[1:] == code[:-1])] = xxhash.xxh64_intdigest("=", 2)

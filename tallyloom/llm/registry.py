@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, exact_dedup, mixing, nb_svm, packing, quality_rules, token_files, warc
+from . import class_lm, exact_dedup, lsh_forest, mixing, nb_svm, packing, quality_rules, token_files, warc
 from .oracles import ORACLES
 from .shared import table
 
@@ -40,6 +40,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(spark, docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.linked(spark, spark.read.parquet(table(sf_dir, "documents")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, f"digests_{uuid.uuid4().hex}", buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
     return exact_dedup.dedup(spark.read.parquet(table(sf_dir, "documents")), index)
@@ -56,7 +60,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_warc, op4_class_lm, op6_mixing, op8_exact_dedup, op9_nb_svm, op10_token_files)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_warc, op4_class_lm, op6_mixing, op7_lsh_forest, op8_exact_dedup, op9_nb_svm, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
