@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, exact_dedup, lsh_forest, mixing, nb_svm, packing, quality_rules, token_files, warc
+from . import class_lm, exact_dedup, line_join, lsh_forest, mixing, nb_svm, packing, quality_rules, token_files, warc
 from .oracles import ORACLES
 from .shared import table
 
@@ -35,6 +35,10 @@ def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.scored(spark, spark.read.parquet(table(sf_dir, "documents")))
 
 
+def op5_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_join.by_document(spark, spark.read.parquet(table(sf_dir, "documents")))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(table(sf_dir, "documents"))
     return mixing.taken(spark, docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -60,7 +64,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_warc, op4_class_lm, op6_mixing, op7_lsh_forest, op8_exact_dedup, op9_nb_svm, op10_token_files)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_warc, op4_class_lm, op5_line_join, op6_mixing, op7_lsh_forest, op8_exact_dedup, op9_nb_svm, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
