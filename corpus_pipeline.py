@@ -1,0 +1,63 @@
+"""From raw documents to packed sequences, in five stages.
+
+Each stage gets all documents that the one before kept, and its decisions take effect. All but the
+last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyloom.llm import line_join, lsh_forest, mixing, packing, quality_rules
+from tallyloom.llm.shared import stored, table
+
+#: No SQL expresses the edit join, the mix and the packing; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars of the texts as they are now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def pass_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the current policy rejects go."""
+    return quality_rules.kept_documents(docs)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat or nearly repeat an earlier one go; every document stays."""
+    return _counted(line_join.without_repeats(spark, docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-copies stays."""
+    return lsh_forest.kept_documents(spark, docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document, once for each time that it comes to it."""
+    return _counted(mixing.mixed(spark, docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in their sequences."""
+    return packing.packed(spark, docs)
+
+
+STAGES = [
+    ("quality_rules", pass_rules),
+    ("line_dedup", drop_lines),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; what a stage returns is written and read again for the next."""
+    docs = spark.read.parquet(table(sf_dir, "documents"))
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), spark)
+    return STAGES[-1][1](spark, docs, sf_dir)

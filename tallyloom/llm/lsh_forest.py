@@ -44,7 +44,7 @@ TEXTS_AT_ONCE = 512
 _RNG = np.random.default_rng(20)
 _FACTORS = _RNG.integers(1 << 62, 1 << 63, BITS, dtype=np.uint64) | np.uint64(1)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-SIGNED = "doc_id long, n_shingles long, digest binary, labels binary, sketch binary"
+SIGNED = "doc_id long, text_id long, n_shingles long, digest binary, labels binary, sketch binary"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -93,11 +93,12 @@ def signed(docs: DataFrame, width: int, text: str, id_col: str) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, TEXTS_AT_ONCE):
                 cut = b.slice(lo, TEXTS_AT_ONCE)
-                sets = shingle_sets(cut.column(1), width)
+                sets = shingle_sets(cut.column(2), width)
                 found = [signature(s) if len(s) else (None, None, None) for s in sets]
-                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([f[k] for f in found], pa.binary()) for k in range(3))], ["doc_id", "n_shingles", "digest", "labels", "sketch"])
+                yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([f[k] for f in found], pa.binary()) for k in range(3))], ["doc_id", "text_id", "n_shingles", "digest", "labels", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SIGNED)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, SIGNED)
 
 
 def forest(nodes: DataFrame) -> DataFrame:
@@ -211,7 +212,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int, text: str, id_col:
 
 
 def linked(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: float = 0.75, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each document."""
+    """doc_id, text_id (64-bit hash of the text), n_shingles, component_id and kept of each document."""
     rows = stored(signed(docs, width, text, id_col), spark)
     alike = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"))
     nodes = stored(alike, spark)
@@ -227,6 +228,12 @@ def linked(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: flo
     if more.limit(1).count():
         groups = components(spark, links.union(more))
     of = nodes.select("digest", "node").join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
+    out = rows.select("doc_id", "text_id", "n_shingles", "digest").join(of, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "text_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def kept_documents(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: float = 0.75, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs, as they are, that stay: of each component the rows of one document."""
+    stay = linked(spark, docs, width, similarity, text, id_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text_id"))
+    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_text_id")), "left_semi")

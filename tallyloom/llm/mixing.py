@@ -15,7 +15,7 @@ Weights 1, 2, 3, 1, ... go to the sources in code-point order, a null source las
 the words of all sources by weight; a target stops at `most` times its source's words and the rest
 is shared again. Null and empty texts have size 0 and are never taken. Rows that repeat a doc_id
 are separate documents. With an empty table or no words nothing is taken. Other columns pass
-through `mixed`, and `taken` ignores them. The same input and seed give the same mix.
+through `mixed`; `taken` ignores them. The same input and seed give the same mix.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import spread, stored, words
+from .shared import let, spread, stored, words
 
 BLOCK = 128
 MOST = 3
@@ -52,21 +52,26 @@ def targets(sources: DataFrame, most: int = MOST) -> DataFrame:
     return s.withColumn("target", F.least(full.cast("double"), F.col("weight") * F.coalesce("level", F.lit(0.0)))).drop("level")
 
 
-def placed(spark: SparkSession, docs: DataFrame, keep: list[str], text: str = "text", source: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, source, size, source_size, source_no, target, bucket, row and start, the number of
-    words before the document in its source's stream; keep: further columns of docs."""
-    kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("string")
-    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), kept.alias("kept")), spark)
+def sized(docs: DataFrame, text: str, source: str, id_col: str) -> DataFrame:
+    """row (a number for each row of docs), doc_id, source and size."""
+    size = F.size(words(F.col(text))).cast("long")
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source).alias("source"), size.alias("size"))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Adds source_size, source_no, target and start, the number of words before the document in
+    its source's stream, to what sized() gave and was stored."""
     known = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     n = spread(rows.count(), BUCKET_ROWS)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(n)))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("s"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source", "bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("bucket_start")).alias("s").join(known, sums["source"].eqNullSafe(known["source"])).drop(known["source"])
-    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size")
-    rows = rows.withColumns({"row": F.row_number().over(inside), "_before": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
-    both = rows.join(sums, rows["source"].eqNullSafe(sums["source"]) & (rows["bucket"] == sums["bucket"])).drop(sums["source"], sums["bucket"])
-    return both.select("doc_id", "source", "size", "source_size", "source_no", "target", "bucket", "row", (F.col("bucket_start") + F.col("_before")).alias("start"), "kept")
+    starts = sums.select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("_start"))
+    starts = starts.join(known, F.col("_source").eqNullSafe(F.col("source"))).drop("source")
+    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_before", F.sum("size").over(inside) - F.col("size"))
+    both = rows.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))
+    return both.select("row", "doc_id", "source", "size", "source_size", "source_no", "target", (F.col("_start") + F.col("_before")).alias("start"))
 
 
 def drawn(slots: np.ndarray, seed: int, per_shard: int) -> list[tuple[int, int, int, int]]:
@@ -151,27 +156,30 @@ def _times(spark: SparkSession, rows: DataFrame, seed: int, block: int) -> DataF
     return slots(spark, known, seed, block).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("n"))
 
 
-def taken(spark: SparkSession, docs: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFrame:
+def taken(spark: SparkSession, docs: DataFrame, seed: int = 1, block: int = BLOCK, text: str = "text", source: str = "source", id_col: str = "doc_id") -> DataFrame:
     """doc_id, source, size, source_size, target and taken, the words that the mix takes of each document."""
-    rows = stored(placed(spark, docs, []), spark)
-    p = _pieces(rows.drop("kept"), _times(spark, rows, seed, block), block)
+    rows = stored(placed(stored(sized(docs, text, source, id_col), spark)), spark)
+    p = _pieces(rows, _times(spark, rows, seed, block), block)
     first = [F.first(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target")]
-    by = p.groupBy("source_no", "bucket", "row").agg(*first, F.coalesce(F.sum(F.col("n") * (F.col("hi") - F.col("lo"))), F.lit(0)).cast("long").alias("taken"))
-    return by.select("doc_id", "source", "size", "source_size", "target", "taken")
+    by = p.groupBy("row").agg(*first, F.coalesce(F.sum(F.col("n") * (F.col("hi") - F.col("lo"))), F.lit(0)).cast("long").alias("taken"))
+    return by.drop("row")
 
 
-def mixed(spark: SparkSession, docs: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFrame:
+def mixed(spark: SparkSession, docs: DataFrame, seed: int = 1, block: int = BLOCK, text: str = "text", source: str = "source", id_col: str = "doc_id") -> DataFrame:
     """The mix as documents: a row for each time that the mix comes to words of a document.
 
     The c-th row of a document holds its text without the words that the mix takes less than c
     times; a document that is taken as a whole keeps its text as it is.
     """
-    rows = stored(placed(spark, docs, docs.columns), spark)
-    p = _pieces(rows.drop("kept"), _times(spark, rows, seed, block), block).where("n > 0")
-    copies = p.select("source_no", "bucket", "row", "size", "lo", "hi", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
-    part = copies.groupBy("source_no", "bucket", "row", "copy").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("parts"), (F.sum(F.col("hi") - F.col("lo")) == F.first("size")).alias("whole"))
-    out = rows.join(part, ["source_no", "bucket", "row"])
-    cut = F.array_join(F.flatten(F.transform("parts", lambda x: F.slice("_w", x["lo"] + 1, x["hi"] - x["lo"]))), " ")
-    text = F.when(F.col("whole"), F.col("kept.text")).otherwise(cut)
-    out = out.withColumn("_w", F.when(~F.col("whole"), words(F.col("kept.text")))).withColumn("text", text)
-    return out.select(*[F.col("text") if c == "text" else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"kept.`{c}`").alias(c) for c in docs.columns])
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    numbered = stored(own.withColumn("row", F.monotonically_increasing_id()), spark)
+    size = F.size(words(F.col(f"doc.`{text}`"))).cast("long")
+    rows = stored(placed(stored(numbered.select("row", F.col(f"doc.`{id_col}`").alias("doc_id"), F.col(f"doc.`{source}`").alias("source"), size.alias("size")), spark)), spark)
+    p = _pieces(rows, _times(spark, rows, seed, block), block).where("n > 0")
+    copies = p.select("row", "size", "lo", "hi", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
+    part = copies.groupBy("row", "copy").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("parts"), (F.sum(F.col("hi") - F.col("lo")) == F.first("size")).alias("whole"))
+    out = numbered.join(part, "row")
+    ws = words(F.col(f"doc.`{text}`"))
+    cut = let(ws, lambda w: F.array_join(F.flatten(F.transform("parts", lambda x: F.slice(w, x["lo"].cast("int") + 1, (x["hi"] - x["lo"]).cast("int")))), " "))
+    new = F.when(F.col("whole"), F.col(f"doc.`{text}`")).otherwise(cut)
+    return out.select(*[new.alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -9,7 +9,7 @@ All of it is DataFrame functions; a text is read by one projection without a shu
 
 Nulls, empty tables and other cases: a null text counts as empty and has no words, so it
 fails "few_words". Rows with a null or repeated doc_id are judged one by one, each has its
-row in the ledger. Other columns of the input are ignored. Long texts are measured whole.
+row in the ledger. The input's columns are in the struct `document`, so no name clashes. Long texts are measured whole.
 """
 
 from __future__ import annotations
@@ -65,11 +65,12 @@ def repeated_words(ws: Column, width: int = WINDOW) -> Column:
 
 
 def measured(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id and the measurements; one row for each row of docs."""
+    """doc_id, the measurements and the row itself as `document`; one row for each row of docs."""
     t = F.coalesce(F.col(text), F.lit(""))
     with_word = lambda x: F.length(F.translate(x, SPACES, "")) > 0
     base = docs.select(
         F.col(id_col).alias("doc_id"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"),
         words(F.col(text)).alias("_words"),
         F.filter(F.split(t, "\n"), with_word).alias("_lines"),
         F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
@@ -77,6 +78,7 @@ def measured(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
     )
     return base.select(
         "doc_id",
+        "document",
         F.size("_words").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -125,6 +127,11 @@ def applied(entries: DataFrame, policies: list[Policy], of: list[Rule] | None =
     return entries.withColumns({f"kept_v{p.version}": passes(p, of) for p in policies})
 
 
+def kept_documents(docs: DataFrame, policy: Policy = CURRENT, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs, as they are, that pass the policy."""
+    return ledger(docs, None, text, id_col).where(passes(policy)).select("document.*")
+
+
 def ablations(entries: DataFrame, policies: list[Policy], of: list[Rule] | None = None) -> DataFrame:
     """For each policy and each of its rules: documents that the policy keeps, that it would keep
     without the rule, and that fail the rule.

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import class_lm, exact_dedup, line_join, lsh_forest, mixing, nb_svm, packing, quality_rules, token_files, warc
 from .oracles import ORACLES
 from .shared import table
@@ -45,7 +47,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lsh_forest.linked(spark, spark.read.parquet(table(sf_dir, "documents")))
+    return lsh_forest.linked(spark, spark.read.parquet(table(sf_dir, "documents"))).drop("text_id")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +65,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(spark, spark.read.parquet(table(sf_dir, "documents")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_warc, op4_class_lm, op5_line_join, op6_mixing, op7_lsh_forest, op8_exact_dedup, op9_nb_svm, op10_token_files)}
+    return {f.__name__: f for f in (pipeline, op1_quality_rules, op2_packing, op3_warc, op4_class_lm, op5_line_join, op6_mixing, op7_lsh_forest, op8_exact_dedup, op9_nb_svm, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
