@@ -1 +1 @@
-
+"""Column functions that the operators share."""

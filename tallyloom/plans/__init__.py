@@ -1 +1 @@
-
+"""The registered queries and the SQL that they are held against."""

@@ -1 +1 @@
-
+"""Readers and writers of the records and tables."""

@@ -1 +1 @@
-
+"""The survey of the studied source lists no streaming operator; none is claimed here."""
