@@ -61,7 +61,7 @@ def repeated_words(ws: Column, width: int = WINDOW) -> Column:
     def judged(h: Column) -> Column:
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h))
 
-    return F.when(F.size(ws) <= width, F.lit(0).cast("long")).otherwise(let(hashes(ws), judged))
+    return F.when(F.size(ws) <= width, F.lit(0).cast("long")).otherwise(let(let(ws, hashes), judged))
 
 
 def measured(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -76,9 +76,7 @@ def measured(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
         F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
-    return base.select(
-        "doc_id",
-        "document",
+    found = F.struct(
         F.size("_words").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -86,6 +84,8 @@ def measured(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("_words")).alias("n_repeat_words"),
     )
+    # a later filter stays above the explode, so nothing is measured once for the filter and once more
+    return base.select("doc_id", "document", F.explode(F.array(found)).alias("m")).select("doc_id", "document", "m.*")
 
 
 def rules() -> list[Rule]:
