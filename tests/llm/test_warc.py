@@ -45,7 +45,8 @@ def test_predicates_reach_the_reader(spark, pages):
     some = df.where((F.col("record_type") == "response") & F.col("target_uri").startswith("http://b"))
     assert [r["page_id"] for r in some.collect()] == [9]
     assert df.where(F.col("page_id").isin(4, 9, 77)).count() == 2
-    assert df.where("payload_bytes > 5 and record_type = 'response'").count() == 5
+    long = {r[2] for r in ROWS if len((r[2] or "").encode()) > 5}  # a response for each payload
+    assert df.where("payload_bytes > 5 and record_type = 'response'").count() == len(long)
     heads = spark.read.format("warc").option("path", path).option("payload", "false").load()
     assert heads.where("payload is not null").count() == 0
 
