@@ -10,7 +10,8 @@
    depth there. Compared means that sizes and a sketch of 128 bits don't rule the threshold out.
 3. Of a node's candidates with smaller ids the likeliest is confirmed first, on the full sets. So
    a group of thousands costs one confirmation each. Confirmed links give components; then all
-   candidates that lie in different components are confirmed too.
+   candidates that lie in different components, and that a sketch of FINE_BITS bits leaves, are
+   confirmed too.
 
 A pair of similarity s shares a region in one of the trees with probability 1 - (1 - s ** ROOT) ** TREES:
 0.9998 at 0.75.
@@ -40,9 +41,9 @@ from .shared import removed, shared_dir, stored
 TREES, DEPTH, ROOT = 16, 8, 3
 NEIGHBOURS = 64
 BITS = TREES * DEPTH
+FINE_BITS = 1024
 TEXTS_AT_ONCE = 512
-_RNG = np.random.default_rng(20)
-_FACTORS = _RNG.integers(1 << 62, 1 << 63, BITS, dtype=np.uint64) | np.uint64(1)
+_FACTORS = np.random.default_rng(20).integers(1 << 62, 1 << 63, BITS + FINE_BITS, dtype=np.uint64) | np.uint64(1)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 SIGNED = "doc_id long, text_id long, n_shingles long, digest binary, labels binary, sketch binary"
 
@@ -74,16 +75,23 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
+def least_hashes(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """For each factor a hash of the shingle that comes first under it."""
+    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for lo in range(0, len(shingles), 512):
+            np.minimum(least, (shingles[lo : lo + 512, None] * factors).min(0), out=least)
+        return mixed(least + np.arange(len(factors), dtype=np.uint64))
+
+
+def bits_of(least: np.ndarray) -> bytes:
+    return np.packbits(((least >> np.uint64(20)) & np.uint64(1)).astype(np.uint8)).tobytes()
+
+
 def signature(shingles: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """The digest of a set, its labels (TREES times DEPTH numbers of 16 bits) and its sketch."""
-    least = np.full(BITS, np.iinfo(np.uint64).max, np.uint64)
-    with np.errstate(over="ignore"):
-        for lo in range(0, len(shingles), 2048):
-            np.minimum(least, (shingles[lo : lo + 2048, None] * _FACTORS).min(0), out=least)
-        least = mixed(least + np.arange(BITS, dtype=np.uint64))
-    labels = (least & np.uint64(0xFFFF)).astype(">u2").tobytes()
-    sketch = np.packbits(((least >> np.uint64(20)) & np.uint64(1)).astype(np.uint8)).tobytes()
-    return xxhash.xxh128_digest(shingles.tobytes()), labels, sketch
+    least = least_hashes(shingles, _FACTORS[:BITS])
+    return xxhash.xxh128_digest(shingles.tobytes()), (least & np.uint64(0xFFFF)).astype(">u2").tobytes(), bits_of(least)
 
 
 def signed(docs: DataFrame, width: int, text: str, id_col: str) -> DataFrame:
@@ -119,7 +127,7 @@ class Stretch:
     def __init__(self, t: pa.Table, similarity: float):
         self.node = t.column("node").to_numpy()
         self.size = t.column("n_shingles").to_numpy()
-        self.bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, 2)
+        self.bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(self.node), -1)
         label = np.frombuffer(b"".join(t.column("label").to_pylist()), ">u2").reshape(-1, DEPTH)
         tree = t.column("tree").to_numpy()
         new = np.ones(len(tree), bool)
@@ -128,7 +136,8 @@ class Stretch:
         self.similarity = similarity
         # a bit agrees with probability (1 + s) / 2; over four standard deviations below that
         p = (1 + similarity) / 2
-        self.least = int(BITS * p - 4.3 * np.sqrt(BITS * p * (1 - p)))
+        self.n_bits = 64 * self.bits.shape[1]
+        self.least = int(self.n_bits * p - 4.3 * np.sqrt(self.n_bits * p * (1 - p)))
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Positions of candidates and how many bits of their sketches agree."""
@@ -137,7 +146,7 @@ class Stretch:
             if not len(i):
                 return
             j = i + k
-            agree = BITS - np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(1, dtype=np.int64)
+            agree = self.n_bits - np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(1, dtype=np.int64)
             small, large = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
             ok = (agree >= self.least) & (small >= self.similarity * large) & (self.node[i] != self.node[j])
             yield i[ok], j[ok], agree[ok]
@@ -199,16 +208,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, width: int, text: str, id_col: str) -> DataFrame:
-    """node and its shingles, for the nodes given."""
+    """node, its shingles and a sketch of FINE_BITS bits, for the nodes given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, TEXTS_AT_ONCE):
                 cut = b.slice(lo, TEXTS_AT_ONCE)
-                yield pa.RecordBatch.from_arrays([cut.column("node"), pa.array([s.tobytes() for s in shingle_sets(cut.column("text"), width)], pa.binary())], ["node", "shingles"])
+                sets = shingle_sets(cut.column("text"), width)
+                fine = [bits_of(least_hashes(s, _FACTORS[BITS:])) for s in sets]
+                yield pa.RecordBatch.from_arrays([cut.column("node"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(fine, pa.binary())], ["node", "shingles", "sketch"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text).alias("text"))
-    return rows.join(nodes.select("node"), "node", "left_semi").mapInArrow(run, "node long, shingles binary")
+    return rows.join(nodes.select("node"), "node", "left_semi").mapInArrow(run, "node long, shingles binary, sketch binary")
 
 
 def linked(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: float = 0.75, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -222,7 +233,7 @@ def linked(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: flo
     sets = stored(full_sets(docs, chosen, width, text, id_col), spark, path, compression="uncompressed")
     links = stored(confirmed(chosen.where("partner is not null").select(F.col("partner").alias("a"), F.col("node").alias("b")), sets, similarity), spark)
     groups = components(spark, links)
-    part = trees.join(chosen.select("node"), "node", "left_semi").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    part = trees.drop("sketch").join(sets.select("node", "sketch"), "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     more = stored(confirmed(across(in_order(part), similarity), sets, similarity), spark)
     removed(spark, path)
     if more.limit(1).count():
