@@ -30,7 +30,7 @@ def _long(df: DataFrame, *names: str) -> DataFrame:
 
 @query
 def task_summary(s: SparkSession, d: str) -> DataFrame:
-    return tasks.counts(owners(s, d), task_rows(s, d), SPRINT)
+    return tasks.counts(owners(s, d), task_rows(s, d, SPRINT), SPRINT)
 
 
 @query
@@ -99,7 +99,7 @@ def task_id_format(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def run_latest(s: SparkSession, d: str) -> DataFrame:
-    return runs.latest(attempts(s, d)).select("history_id", "attempt", "status", "duration")
+    return runs.latest(attempts(s, d).drop("labels")).select("history_id", "attempt", "status", "duration")
 
 
 @query
@@ -120,37 +120,37 @@ def run_status_change(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def run_status_counts(s: SparkSession, d: str) -> DataFrame:
-    return runs.status_counts(runs.latest(attempts(s, d)))
+    return runs.status_counts(runs.latest(attempts(s, d).drop("labels")))
 
 
 @query
 def run_duration_stats(s: SparkSession, d: str) -> DataFrame:
-    return runs.duration_stats(runs.latest(attempts(s, d)))
+    return runs.duration_stats(runs.latest(attempts(s, d).drop("labels")))
 
 
 @query
 def run_group_counts(s: SparkSession, d: str) -> DataFrame:
-    return runs.group_counts(runs.latest(attempts(s, d)), ["epic", "feature", "story"])
+    return runs.group_counts(runs.latest(attempts(s, d).drop("labels")), ["epic", "feature", "story"])
 
 
 @query
 def run_suite_counts(s: SparkSession, d: str) -> DataFrame:
-    return runs.group_counts(runs.latest(attempts(s, d)), ["epic"])
+    return runs.group_counts(runs.latest(attempts(s, d).drop("labels")), ["epic"])
 
 
 @query
 def run_tree_rollup(s: SparkSession, d: str) -> DataFrame:
-    return _long(runs.tree(runs.latest(attempts(s, d)), ["epic", "feature", "story"]), "depth")
+    return _long(runs.tree(runs.latest(attempts(s, d).drop("labels")), ["epic", "feature", "story"]), "depth")
 
 
 @query
 def run_child_distinct(s: SparkSession, d: str) -> DataFrame:
-    return runs.distinct_children(runs.latest(attempts(s, d)), "epic", "feature")
+    return runs.distinct_children(runs.latest(attempts(s, d).drop("labels")), "epic", "feature")
 
 
 @query
 def run_metrics_long(s: SparkSession, d: str) -> DataFrame:
-    return runs.metric_lines(runs.status_counts(runs.latest(attempts(s, d))), "launch")
+    return runs.metric_lines(runs.status_counts(runs.latest(attempts(s, d).drop("labels"))), "launch")
 
 
 @query

@@ -18,8 +18,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tasks(spark: SparkSession, sf_dir: str, sprint: int | None = None) -> DataFrame:
+    """All tasks, or those of one sprint: a range of dates, which the scan can skip row groups by."""
     o = read(spark, sf_dir, "orders")
+    if sprint is not None:
+        o = o.where((F.col("o_orderdate") >= F.lit(f"{sprint}-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit(f"{sprint + 1}-01-01").cast("timestamp_ntz")))
     status = F.when(F.col("o_orderstatus") == "F", "Done").when(F.col("o_orderstatus") == "O", "To-Do").otherwise("Pending")
     priority = F.when(F.col("o_orderpriority") == "2-HIGH", "High").when(F.col("o_orderpriority") == "3-MEDIUM", "Medium").otherwise("Low")
     return o.select(F.col("o_orderkey").alias("task"), F.col("o_custkey").alias("owner"), F.year("o_orderdate").alias("sprint"), priority.alias("priority"), status.alias("status"), F.to_date("o_orderdate").alias("start"))
