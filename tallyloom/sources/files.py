@@ -82,9 +82,13 @@ def write_failed(df: DataFrame, path: str, at: str = "start", status: str = "sta
     df.where(F.col(status) == "failed").withColumn("dt", F.date_format(at, "yyyy-MM-dd")).write.partitionBy("dt").parquet(path)
 
 
+#: Fixed text of an invoice, around the name and the total.
+INVOICE = ("Hi ", ", Your total purchase amount is ", ". Thank you")
+
+
 def invoice_lines(df: DataFrame, name: str, total: str) -> DataFrame:
     """K5: the invoice's text for each row."""
-    return df.withColumn("invoice", F.concat(F.lit("Hi "), F.col(name), F.lit(", Your total purchase amount is "), F.col(total).cast("string"), F.lit(". Thank you")))
+    return df.withColumn("invoice", F.concat(F.lit(INVOICE[0]), F.col(name), F.lit(INVOICE[1]), F.col(total).cast("string"), F.lit(INVOICE[2])))
 
 
 def file_name(name: str) -> str:
