@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Where the session names none (tests, one machine), a folder of this machine serves.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own.get("dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own.get("dir")
     if not base:
         base = _own["dir"] = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
