@@ -118,9 +118,8 @@ class Shard:
 
     def neighbours(self, query: np.ndarray) -> Iterator[int]:
         """Unused tails by falling score for these distinct ids, the earlier first among equals."""
-        at = np.searchsorted(self.ids, query)
-        at = at[at < len(self.ids)]
-        at = at[np.isin(self.ids[at], query)]
+        at = np.minimum(np.searchsorted(self.ids, query), len(self.ids) - 1)
+        at = at[self.ids[at] == query]
         where = ragged(self.begin[at], self.count[at])
         score = np.bincount(self.tail[where], self.weight[where], len(self.unused))
         score[~self.unused] = -1
