@@ -37,6 +37,7 @@ from .shared import SPACES, removed, shared_dir, stored
 
 THRESHOLD, SHORTEST = 2, 25
 RUN = 256
+LINES_AT_ONCE = 1000
 ENTRY, PROBE = 1, 2
 ROWS = "hash long, id long, role int, parity long"
 SEED = 42  # of Spark's xxhash64
@@ -75,12 +76,16 @@ def places(length: int, threshold: int) -> list[tuple[int, int, int, int, int]]:
     return [(*where, role) for where, role in out.items()]
 
 
-def parities(line: str) -> int:
-    """Bit c mod 61 is the parity of how often characters of that residue occur; an edit changes two at most."""
-    odd = 0
-    for c in line:
-        odd ^= 1 << ord(c) % 61
-    return odd
+def parities(lines: list[str]) -> np.ndarray:
+    """For each line 61 bits: bit c is the parity of how often characters of that residue occur. An edit changes two at most."""
+    out = []
+    for lo in range(0, len(lines), LINES_AT_ONCE):
+        part = lines[lo : lo + LINES_AT_ONCE]
+        chars = np.frombuffer("".join(part).encode("utf-32-le"), "<u4") % 61
+        owner = np.repeat(np.arange(len(part)), [len(x) for x in part])
+        odd = np.bincount(owner * 64 + chars, minlength=64 * len(part)).reshape(-1, 64).astype(np.uint8) & 1
+        out.append(np.packbits(odd, axis=1, bitorder="little").view("<i8")[:, 0])
+    return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
 def index_rows(lines: DataFrame, threshold: int) -> DataFrame:
@@ -89,21 +94,28 @@ def index_rows(lines: DataFrame, threshold: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, list] = {}
         for b in batches:
-            hashes, ids, roles, bits = [], [], [], []
-            for line in b.column(0).unique().to_pylist():
-                one, odd, n = line_id(line), parities(line), len(line)
-                if n not in known:
-                    known[n] = [(f"{l},{k},", at, at + size, role) for l, k, at, size, role in places(n, threshold)]
-                for name, lo, hi, role in known[n]:
-                    hashes.append(xxhash.xxh64_intdigest(name + line[lo:hi]))
-                    roles.append(role)
-                ids += [one] * len(known[n])
-                bits += [odd] * len(known[n])
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(roles, pa.int32()), pa.array(bits, pa.int64())], ["hash", "id", "role", "parity"])
-
+            hashes, roles, sizes = [], [], []
+            lines = b.column(0).unique().to_pylist()
+            for line in lines:
+                if len(line) not in known:
+                    known[len(line)] = [(f"{l},{k},", at, at + size, role) for l, k, at, size, role in places(len(line), threshold)]
+                rows = known[len(line)]
+                hashes += [digest(name + line[lo:hi]) for name, lo, hi, _ in rows]
+                roles += [r[3] for r in rows]
+                sizes.append(len(rows))
+            ids = np.repeat(np.array([line_id(x) for x in lines], np.int64), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(ids), pa.array(roles, pa.int32()), pa.array(np.repeat(parities(lines), sizes))], ["hash", "id", "role", "parity"])
+
+    digest = xxhash.xxh64_intdigest
     return lines.select("line").mapInArrow(run, ROWS)
 
 
+def part_of(parity, k: int, threshold: int):
+    """The k-th of 2 * threshold + 1 parts of parities."""
+    width = -(-64 // (2 * threshold + 1))
+    return (parity >> k * width) & ((1 << width) - 1)
+
+
 def _pairs(hashes, ids, roles, parity, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of candidates among rows that are sorted by hash."""
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -112,7 +124,11 @@ def _pairs(hashes, ids, roles, parity, threshold: int) -> tuple[np.ndarray, np.n
         at = at[at + k < len(hashes)]
         at = at[hashes[at + k] == hashes[at]]
         x, y = at, at + k
-        meet = ((roles[x] & ENTRY) & (roles[y] >> 1)) | ((roles[y] & ENTRY) & (roles[x] >> 1))
+        meet = (roles[x] & (roles[y] >> 1) | roles[y] & (roles[x] >> 1)) & ENTRY
+        for p in range(2 * threshold):  # of a pair that agrees in several parts only the first gives it
+            if not (roles[x] >> 2 > p).any():
+                break
+            meet &= ~((roles[x] >> 2 > p) & (part_of(parity[x], p, threshold) == part_of(parity[y], p, threshold)))
         ok = (meet > 0) & (ids[x] != ids[y]) & (np.bitwise_count(parity[x] ^ parity[y]) <= 2 * threshold)
         a.append(np.minimum(ids[x[ok]], ids[y[ok]]))
         b.append(np.maximum(ids[x[ok]], ids[y[ok]]))
@@ -165,11 +181,12 @@ def candidates(rows: DataFrame, threshold: int, run_rows: int) -> DataFrame:
 
 
 def dealt_anew(rows: DataFrame, threshold: int) -> DataFrame:
-    """The rows of long runs, each once for each part of its parities."""
+    """The rows of long runs, each once for each part of its parities; the part's number is above the role's two bits."""
     n = 2 * threshold + 1
     width = -(-64 // n)
-    parts = F.explode(F.array(*[F.xxhash64("hash", F.lit(k), F.shiftrightunsigned("parity", k * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))) for k in range(n)]))
-    return rows.select(parts.alias("hash"), "id", "role", "parity")
+    one = lambda k: F.xxhash64("hash", F.lit(k), F.shiftright("parity", k * width).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
+    parts = F.explode(F.array(*[F.struct(one(k).alias("hash"), F.lit(k * 4).alias("part")) for k in range(n)]))
+    return rows.select(parts.alias("p"), "id", "role", "parity").select("p.hash", "id", (F.col("role") + F.col("p.part")).alias("role"), "parity")
 
 
 def within(a: str, b: str, threshold: int) -> bool:
@@ -213,7 +230,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
             near = [within(x, y, threshold) for x, y in zip(b.column("of_a").to_pylist(), b.column("of_b").to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    sided = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"of_{c}"))
+    sided = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"of_{c}")).hint("merge")
     return pairs.join(sided("a"), "a").join(sided("b"), "b").mapInArrow(run, "a long, b long")
 
 
@@ -229,7 +246,7 @@ def links(spark: SparkSession, lines: DataFrame, threshold: int, run_rows: int =
     pairs = stored(pairs.distinct(), spark)
     removed(spark, path)
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = stored(lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), spark)
+    texts = stored(lines.join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), spark)
     return stored(verified(pairs, texts, threshold), spark)
 
 

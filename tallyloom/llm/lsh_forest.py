@@ -41,7 +41,7 @@ from .shared import removed, shared_dir, stored
 TREES, DEPTH, ROOT = 16, 8, 3
 NEIGHBOURS = 64
 BITS = TREES * DEPTH
-FINE_BITS = 1024
+FINE_BITS = 2048
 TEXTS_AT_ONCE = 512
 _FACTORS = np.random.default_rng(20).integers(1 << 62, 1 << 63, BITS + FINE_BITS, dtype=np.uint64) | np.uint64(1)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
