@@ -5,13 +5,17 @@
    smallest doc_id.
 2. A node has TREES labels of DEPTH minimum hashes. Each tree is a sorted order of the labels: a
    range shuffle and a sort. In it a node's neighbours are those with the longest common prefixes.
-   Nodes whose labels agree in the first ROOT hashes are in one region. In a thin region all nodes
-   are compared; in a dense one the NEIGHBOURS nodes before and after, which agree to a greater
-   depth there. Compared means that sizes and a sketch of 128 bits don't rule the threshold out.
-3. Of a node's candidates with smaller ids the likeliest is confirmed first, on the full sets. So
-   a group of thousands costs one confirmation each. Confirmed links give components; then all
-   candidates that lie in different components, and that a sketch of FINE_BITS bits leaves, are
-   confirmed too.
+   Nodes whose labels agree in the first ROOT hashes are in one region. A region of more than
+   `neighbours` + 1 nodes is dense, and its neighbours agree to a greater depth.
+3. Among the neighbours in sorted order, a node's likeliest candidate with a smaller id is
+   confirmed on the full sets, then the likeliest candidate between any two components. So a group
+   of thousands costs one confirmation each. Candidates are pairs that sizes and a sketch of 128
+   bits, later FINE_BITS bits, don't rule out.
+4. The rest is exact: every pair of different components that shares a region is compared, in the
+   first tree that it shares. Regions with one component only have no such pair. A thin region is
+   compared in one task. In a dense one the nodes outside its largest component are cut into
+   blocks, and each meets blocks of the whole region in a unit of its own; there the full sets
+   confirm at once, and a unit returns a link for two components at most, not their pairs.
 
 A pair of similarity s shares a region in one of the trees with probability 1 - (1 - s ** ROOT) ** TREES:
 0.9998 at 0.75.
@@ -42,6 +46,7 @@ TREES, DEPTH, ROOT = 16, 8, 3
 NEIGHBOURS = 64
 BITS = TREES * DEPTH
 FINE_BITS = 2048
+BLOCK = 512
 TEXTS_AT_ONCE = 512
 _FACTORS = np.random.default_rng(20).integers(1 << 62, 1 << 63, BITS + FINE_BITS, dtype=np.uint64) | np.uint64(1)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -109,11 +114,10 @@ def signed(docs: DataFrame, width: int, text: str, id_col: str) -> DataFrame:
     return rows.mapInArrow(run, SIGNED)
 
 
-def forest(nodes: DataFrame) -> DataFrame:
-    """tree, label, node, n_shingles, sketch: TREES sorted orders, each partition a stretch of one or more."""
+def forest(nodes: DataFrame, *more: str) -> DataFrame:
+    """tree, label, node, n_shingles, sketch and the columns `more`: a row for each node and tree."""
     trees = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring("labels", t * (2 * DEPTH) + 1, F.lit(2 * DEPTH)).alias("label"))))
-    rows = nodes.select("node", "n_shingles", "sketch", trees.alias("t")).select("t.tree", "t.label", "node", "n_shingles", "sketch")
-    return rows
+    return nodes.select("node", "n_shingles", "sketch", *more, trees.alias("t")).select("t.tree", "t.label", "node", "n_shingles", "sketch", *more)
 
 
 def in_order(rows: DataFrame) -> DataFrame:
@@ -124,43 +128,63 @@ def in_order(rows: DataFrame) -> DataFrame:
 class Stretch:
     """Neighbouring labels of a sorted order."""
 
-    def __init__(self, t: pa.Table, similarity: float):
+    def __init__(self, t: pa.Table, similarity: float, neighbours: int):
+        self.similarity, self.neighbours = similarity, neighbours
         self.node = t.column("node").to_numpy()
         self.size = t.column("n_shingles").to_numpy()
         self.bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(self.node), -1)
         label = np.frombuffer(b"".join(t.column("label").to_pylist()), ">u2").reshape(-1, DEPTH)
-        tree = t.column("tree").to_numpy()
-        new = np.ones(len(tree), bool)
-        new[1:] = (tree[1:] != tree[:-1]) | (label[1:, :ROOT] != label[:-1, :ROOT]).any(1)
-        self.region = np.cumsum(new)
-        self.similarity = similarity
+        self.tree = t.column("tree").to_numpy()
+        new = np.ones(len(self.tree), bool)
+        new[1:] = (self.tree[1:] != self.tree[:-1]) | (label[1:, :ROOT] != label[:-1, :ROOT]).any(1)
+        self.region = np.cumsum(new) - 1
+        self.component = t.column("component").to_numpy() if "component" in t.column_names else None
+        if self.component is not None:
+            self.roots = np.frombuffer(b"".join(t.column("roots").to_pylist()), ">u2").reshape(-1, TREES, ROOT)
         # a bit agrees with probability (1 + s) / 2; over four standard deviations below that
         p = (1 + similarity) / 2
         self.n_bits = 64 * self.bits.shape[1]
         self.least = int(self.n_bits * p - 4.3 * np.sqrt(self.n_bits * p * (1 - p)))
 
+    def unsettled(self) -> np.ndarray:
+        """Nodes of dense regions, and of regions that may go on in the partition before or after."""
+        dense = np.bincount(self.region)[self.region] > self.neighbours + 1
+        return dense | (self.region == 0) | (self.region == self.region[-1])
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Those of the positions that are candidates and how many bits of their sketches agree. Where
+        components are known, candidates lie in two and have no earlier tree with a common region."""
+        small, large = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
+        ok = (small >= self.similarity * large) & (self.node[i] != self.node[j])
+        if self.component is not None:
+            ok &= self.component[i] != self.component[j]
+        i, j = i[ok], j[ok]
+        agree = self.n_bits - np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(1, dtype=np.int64)
+        ok = agree >= self.least
+        i, j, agree = i[ok], j[ok], agree[ok]
+        if self.component is not None and len(i):
+            ok = (self.roots[i] == self.roots[j]).all(2).argmax(1) == self.tree[i]
+            i, j, agree = i[ok], j[ok], agree[ok]
+        return i, j, agree
+
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Positions of candidates and how many bits of their sketches agree."""
-        for k in range(1, min(NEIGHBOURS, len(self.region) - 1) + 1):
+        for k in range(1, min(self.neighbours, len(self.region) - 1) + 1):
             i = np.flatnonzero(self.region[k:] == self.region[:-k])
             if not len(i):
                 return
-            j = i + k
-            agree = self.n_bits - np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(1, dtype=np.int64)
-            small, large = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
-            ok = (agree >= self.least) & (small >= self.similarity * large) & (self.node[i] != self.node[j])
-            yield i[ok], j[ok], agree[ok]
+            yield self.near(i, i + k)
 
 
-def likeliest(ordered: DataFrame, similarity: float) -> DataFrame:
-    """node, partner, agree: for each node that has candidates the likeliest one with a smaller id, or null."""
+def likeliest(ordered: DataFrame, similarity: float, neighbours: int) -> DataFrame:
+    """node, partner: for each node that has or can have candidates the likeliest one with a smaller id, or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = list(batches)
+        part = [b for b in batches if b.num_rows]
         if not part:
             return
-        s = Stretch(pa.Table.from_batches(part), similarity)
-        best, partner, seen = np.full(len(s.node), -1), np.zeros(len(s.node), np.int64), np.zeros(len(s.node), bool)
+        s = Stretch(pa.Table.from_batches(part), similarity, neighbours)
+        best, partner, seen = np.full(len(s.node), -1), np.zeros(len(s.node), np.int64), s.unsettled()
         for i, j, agree in s.pairs():
             seen[i] = seen[j] = True
             for x, y in ((i, j), (j, i)):
@@ -173,21 +197,89 @@ def likeliest(ordered: DataFrame, similarity: float) -> DataFrame:
     return found.groupBy("node").agg(F.max(F.when(F.col("partner").isNotNull(), F.struct("agree", "partner")))["partner"].alias("partner"))
 
 
-def across(ordered: DataFrame, similarity: float) -> DataFrame:
-    """a, b: all candidates in different components; ordered has the column component."""
+def likeliest_across(ordered: DataFrame, similarity: float, neighbours: int) -> DataFrame:
+    """a, b: of the neighbours in two components the likeliest pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = list(batches)
+        part = [b for b in batches if b.num_rows]
         if not part:
             return
-        t = pa.Table.from_batches(part)
-        s, component = Stretch(t, similarity), t.column("component").to_numpy()
+        s = Stretch(pa.Table.from_batches(part), similarity, neighbours)
+        found = [np.stack(x) for x in s.pairs() if len(x[0])]
+        if not found:
+            return
+        i, j, agree = np.concatenate(found, 1)
+        low, high = np.minimum(s.component[i], s.component[j]), np.maximum(s.component[i], s.component[j])
+        at = np.lexsort((-agree, high, low))
+        first = np.ones(len(at), bool)
+        first[1:] = (low[at[1:]] != low[at[:-1]]) | (high[at[1:]] != high[at[:-1]])
+        at = at[first]
+        yield pa.RecordBatch.from_pydict({"low": low[at], "high": high[at], "agree": agree[at], "a": s.node[i[at]], "b": s.node[j[at]]})
+
+    found = ordered.mapInArrow(run, "low long, high long, agree long, a long, b long")
+    return found.groupBy("low", "high").agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b")
+
+
+def mixed_regions(part: DataFrame, neighbours: int) -> DataFrame:
+    """Rows of the regions that have several components: with `n` the region's nodes, `m` those outside its
+    largest component, `other` whether the row's node is one of these, and `dense`."""
+    part = part.withColumn("root", F.substring("label", 1, 2 * ROOT))
+    each = part.groupBy("tree", "root", "component").agg(F.count(F.lit(1)).alias("k"))
+    regions = each.groupBy("tree", "root").agg(F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("main")).where("n > main.k")
+    rows = part.join(regions, ["tree", "root"])
+    return rows.withColumns({"m": F.expr("n - main.k"), "other": F.expr("component <> main.component"), "dense": F.col("n") > neighbours + 1}).drop("main")
+
+
+def thin_across(rows: DataFrame, similarity: float, neighbours: int) -> DataFrame:
+    """a, b: all candidates of the thin regions in different components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = [b for b in batches if b.num_rows]
+        if not part:
+            return
+        s = Stretch(pa.Table.from_batches(part), similarity, neighbours)
         for i, j, _ in s.pairs():
-            apart = component[i] != component[j]
-            x, y = s.node[i[apart]], s.node[j[apart]]
-            yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+            yield pa.RecordBatch.from_pydict({"a": s.node[i], "b": s.node[j]})
+
+    cols = rows.where("not dense").select("tree", "root", "label", "node", "n_shingles", "sketch", "roots", "component")
+    return cols.repartition("tree", "root").sortWithinPartitions("tree", "root").drop("root").mapInArrow(run, "a long, b long")
+
 
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+def dense_links(rows: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """a, b: confirmed links of the dense regions in different components; of two components one for each unit."""
+    percent = round(100 * similarity)
+
+    def run(t: pa.Table) -> pa.Table:
+        s = Stretch(t, similarity, 0)
+        side, other = t.column("side").to_numpy(), t.column("other").to_numpy(zero_copy_only=False)
+        left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+        found = []
+        for j in right:
+            i = left[~other[left] | (s.node[left] < s.node[j])]  # two others meet twice
+            found.append(np.stack(s.near(i, np.full(len(i), j))))
+        i, j, agree = np.concatenate(found, 1) if found else np.empty((3, 0), np.int64)
+        shingles, done, a, b = t.column("shingles"), set(), [], []
+        for k in np.argsort(-agree, kind="stable"):
+            both = tuple(sorted((int(s.component[i[k]]), int(s.component[j[k]]))))
+            if both in done:
+                continue
+            x, y = (np.frombuffer(shingles[int(p)].as_py(), np.uint64) for p in (i[k], j[k]))
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * common >= percent * (len(x) + len(y) - common):
+                done.add(both)
+                a.append(s.node[i[k]])
+                b.append(s.node[j[k]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    cut = lambda n: F.ceil(F.col(n) / block).cast("int")
+    own = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), cut(n)).cast("int")
+    unit = lambda x, y, side: F.struct(x.alias("x"), y.alias("y"), F.lit(side).alias("side"))
+    lefts = F.transform(F.sequence(F.lit(0), cut("m") - 1), lambda y: unit(own("n", 1), y, 1))
+    rights = F.transform(F.sequence(F.lit(0), cut("n") - 1), lambda x: unit(x, own("m", 2), 2))
+    dense = rows.where("dense").join(sets.select("node", "shingles"), "node")
+    units = dense.withColumn("u", F.explode(F.when(F.col("other"), F.concat(lefts, rights)).otherwise(lefts)))
+    cols = units.select("tree", "root", "u.x", "u.y", "u.side", "other", "label", "node", "n_shingles", "sketch", "roots", "component", "shingles")
+    return cols.groupBy("tree", "root", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -222,20 +314,29 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int, text: str, id_col:
     return rows.join(nodes.select("node"), "node", "left_semi").mapInArrow(run, "node long, shingles binary, sketch binary")
 
 
-def linked(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: float = 0.75, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, text_id (64-bit hash of the text), n_shingles, component_id and kept of each document."""
+def linked(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: float = 0.75, text: str = "text", id_col: str = "doc_id", neighbours: int = NEIGHBOURS, block: int = BLOCK) -> DataFrame:
+    """doc_id, text_id (64-bit hash of the text), n_shingles, component_id and kept of each document.
+
+    neighbours and block change what the work costs, never the links.
+    """
     rows = stored(signed(docs, width, text, id_col), spark)
     alike = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"))
     nodes = stored(alike, spark)
-    trees = forest(nodes.where("node is not null"))
-    chosen = stored(likeliest(in_order(trees), similarity), spark)
-    path = shared_dir(spark)
-    sets = stored(full_sets(docs, chosen, width, text, id_col), spark, path, compression="uncompressed")
+    chosen = stored(likeliest(in_order(forest(nodes.where("node is not null"))), similarity, neighbours), spark)
+    paths = [shared_dir(spark), shared_dir(spark)]
+    sets = stored(full_sets(docs, chosen, width, text, id_col), spark, paths[0], compression="uncompressed")
     links = stored(confirmed(chosen.where("partner is not null").select(F.col("partner").alias("a"), F.col("node").alias("b")), sets, similarity), spark)
     groups = components(spark, links)
-    part = trees.drop("sketch").join(sets.select("node", "sketch"), "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = stored(confirmed(across(in_order(part), similarity), sets, similarity), spark)
-    removed(spark, path)
+    roots = F.concat(*[F.substring("labels", t * 2 * DEPTH + 1, 2 * ROOT) for t in range(TREES)])
+    fine = stored(nodes.drop("sketch").withColumn("roots", roots).join(sets.select("node", "sketch"), "node"), spark, paths[1])
+    in_groups = lambda: fine.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = stored(confirmed(likeliest_across(in_order(forest(in_groups(), "roots", "component")), similarity, neighbours), sets, similarity), spark)
+    links = links.union(first)
+    groups = components(spark, links)
+    left = mixed_regions(forest(in_groups(), "roots", "component"), neighbours)
+    more = stored(confirmed(thin_across(left, similarity, neighbours), sets, similarity).union(dense_links(left, sets, similarity, block)), spark)
+    for path in paths:
+        removed(spark, path)
     if more.limit(1).count():
         groups = components(spark, links.union(more))
     of = nodes.select("digest", "node").join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))

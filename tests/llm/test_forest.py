@@ -72,6 +72,13 @@ def test_family_is_linked_as_by_brute_force(spark, family):
     assert got == want and len(set(want.values())) > 160
 
 
+def test_dense_regions_lose_no_link(spark, family):
+    """With two neighbours nearly all regions are dense, and cut into many blocks."""
+    rows, docs = family
+    got = {r["doc_id"]: r["component_id"] for r in lsh_forest.linked(spark, docs, neighbours=2, block=16).collect()}
+    assert got == by_hand(rows)
+
+
 def test_one_of_each_group_stays(spark, family):
     rows, docs = family
     kept = lsh_forest.kept_documents(spark, docs)
