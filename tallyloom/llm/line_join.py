@@ -1,12 +1,13 @@
 """Line deduplication by an edit join over segments.
 
 Lines of at least `shortest` characters, without the white space around them, are linked when their
-edit distance is at most `threshold`. Links give classes; the first line of a class, by doc_id and
-line number, stays and the others go. Shorter lines and lines without words stay as they are.
+edit distance is at most what the shorter one allows: `threshold`, but 1 below FULL characters and
+0 below ONE, where only equal lines are in a class. Links give classes; the first line of a class,
+by doc_id and line number, stays and the others go. Lines without words stay as they are.
 
-1. A line of l characters is cut into threshold + 1 segments, and is in the index under each segment
+1. A line of l characters is cut into one segment more than it allows edits, and is in the index under each segment
    with its number and l. Within the threshold at least one segment is left whole in the other
-   line, so every line probes the index for the lengths l - threshold to l with those substrings,
+   line, so every line probes the index for its own and the shorter lengths with those substrings,
    and at those places only, that a segment can have moved to. Entries and probes are rows of a
    hash, the line's id (a 64-bit hash), and 64 parities of its characters.
 2. Rows meet in a shuffle by hash. A run of equal hashes gives pairs of an entry and a probe whose
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import SPACES, removed, shared_dir, stored
 
-THRESHOLD, SHORTEST = 2, 25
+THRESHOLD, SHORTEST = 2, 1
+ONE, FULL = 12, 25
 RUN = 256
 LINES_AT_ONCE = 1000
 ENTRY, PROBE = 1, 2
@@ -52,6 +54,11 @@ def line_id(line: str) -> int:
     return signed64(xxhash.xxh64_intdigest(line, SEED))
 
 
+def allowed(length: int, threshold: int) -> int:
+    """The edits that a line of this length may be away from one as long or longer."""
+    return threshold if length >= FULL else min(threshold, 1) if length >= ONE else 0
+
+
 def segments(length: int, threshold: int) -> list[tuple[int, int]]:
     """Begin and size of the threshold + 1 segments of a line; the later ones take what is over."""
     n = threshold + 1
@@ -63,16 +70,19 @@ def segments(length: int, threshold: int) -> list[tuple[int, int]]:
 def places(length: int, threshold: int) -> list[tuple[int, int, int, int, int]]:
     """(indexed length, segment, begin, size, role) of all rows of a line of this length."""
     out = {}
-    for l in range(max(length - threshold, threshold + 1), length + 1):
-        moved = length - l
-        for k, (begin, size) in enumerate(segments(l, threshold)):
+    for l in range(max(length - threshold, 1), length + 1):
+        moved, most = length - l, allowed(l, threshold)
+        if most < max(moved, 1):
+            continue
+        for k, (begin, size) in enumerate(segments(l, most)):
             # k errors at most before the segment, the others after it
-            lo = max(0, begin - k, begin + moved - (threshold - k))
-            hi = min(length - size, begin + k, begin + moved + (threshold - k))
+            lo = max(0, begin - k, begin + moved - (most - k))
+            hi = min(length - size, begin + k, begin + moved + (most - k))
             for at in range(lo, hi + 1):
                 out[l, k, at, size] = PROBE
-    for k, (begin, size) in enumerate(segments(length, threshold)):
-        out[length, k, begin, size] = out.get((length, k, begin, size), 0) | ENTRY
+    if most := allowed(length, threshold):
+        for k, (begin, size) in enumerate(segments(length, most)):
+            out[length, k, begin, size] = out.get((length, k, begin, size), 0) | ENTRY
     return [(*where, role) for where, role in out.items()]
 
 
@@ -227,7 +237,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = [within(x, y, threshold) for x, y in zip(b.column("of_a").to_pylist(), b.column("of_b").to_pylist(), strict=True)]
+            near = [within(x, y, allowed(min(len(x), len(y)), threshold)) for x, y in zip(b.column("of_a").to_pylist(), b.column("of_b").to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     sided = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"of_{c}")).hint("merge")

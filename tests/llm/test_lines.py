@@ -121,3 +121,21 @@ def test_texts_without_repeats(spark, documents, none):
     assert out.columns == docs.columns
     assert Counter(map(tuple, out.collect())) == Counter(want)
     assert L.without_repeats(spark, none).count() == 0
+
+
+def test_short_lines_are_joined_by_their_length(spark):
+    r = random.Random(6)
+    base = ["".join(r.choice("abc ") for _ in range(n)).strip() for n in range(4, 30) for _ in range(12)]
+    some = {x for b in base for x in (b, b[:-1], b + "d", b[:2] + "e" + b[3:], "x" + b[:-1] + "y") if x}
+    df = spark.createDataFrame([(x,) for x in sorted(some)], "line string").withColumn("id", F.xxhash64("line"))
+    ids = {x: L.line_id(x) for x in some}
+    most = lambda x, y: (n := min(len(x), len(y))) and (2 if n >= 25 else 1 if n >= 12 else 0)
+    want = {tuple(sorted((ids[x], ids[y]))) for x in some for y in some if x < y and abs(len(x) - len(y)) <= 2 and distance(x, y) <= most(x, y)}
+    assert want and {(p["a"], p["b"]) for p in L.links(spark, df, 2).collect()} == want
+
+
+def test_repeats_of_short_lines_go(spark):
+    docs = spark.createDataFrame([(1, "Yes.\nAll rights reserved.\nNo\n\nYes."), (2, "All rights reserved\n Yes.\nNot\n\n"), (3, None)], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in L.without_repeats(spark, docs).collect()} == {1: "Yes.\nAll rights reserved.\nNo\n", 2: "Not\n\n", 3: None}
+    got = {r["doc_id"]: (r["n_lines"], r["removed_lines"]) for r in L.by_document(spark, docs).collect()}
+    assert got == {1: (4, [4]), 2: (3, [0, 1]), 3: (0, [])}
