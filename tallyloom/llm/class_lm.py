@@ -11,7 +11,11 @@
 4. Pairs of neighbouring units are counted over all training documents. Their number is bounded by
    the square of the units, so is what one task gets for the exchange clustering: each of the top
    words moves to the class that most raises the classes' mutual information, again and again
-   until nothing moves or `sweeps` are over. The other units are classes as they are.
+   until nothing moves or `sweeps` are over. Then every other word seen `enough` times goes to the
+   class that most raises it, by the classes before and after the word, which are counted over all
+   training documents; all words move at once, in rounds until at most SETTLED of them move or
+   ROUNDS are over. Top words and classes grow with the types. Only rarer words stay in the units
+   by counts, which are classes as they are.
 5. log P(text) = sum of log P(class | class before) + log P(word | class). Transitions are
    smoothed towards the classes' shares. Words seen once and unknown words are one class, split as
    Good and Turing's estimate splits it; the unknown word is one word, as in the base score.
@@ -39,7 +43,8 @@ from .columns import lowered, parted
 from .shared import removed, shared_dir, stored
 
 BLOCK = 16 << 20
-TOP, CLASSES, SWEEPS = 2048, 64, 5
+TOP, CLASSES, SWEEPS = 2048, 64, 60  # the least of the first two; a bound that ends what does not settle
+ENOUGH, ROUNDS, SETTLED = 10, 4, 0.02
 BANDS = 62
 PRIOR = 2.0
 END_HASH = xxhash.xxh64_intdigest(b"") - (1 << 63)  # no word is empty
@@ -121,6 +126,11 @@ class Counts:
     twice: int
     words: np.ndarray
 
+    @property
+    def class_unit(self) -> int:
+        """The unit of the first class; words beyond the top ones have their class's unit."""
+        return len(self.words) + BANDS + 2
+
     @property
     def once_unit(self) -> int:
         return len(self.words)
@@ -133,9 +143,11 @@ class Counts:
     def unknown_unit(self) -> int:
         return len(self.words) + BANDS + 1
 
-    def units(self, word: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """The unit of each word, from its hash and its training count."""
+    def units(self, word: np.ndarray, n: np.ndarray, cls: np.ndarray | None = None) -> np.ndarray:
+        """The unit of each word, from its hash, its training count and its class, -1 where it has none."""
         out = np.where(n > 0, self.once_unit + np.log2(np.maximum(n, 1)).astype(np.int64), self.unknown_unit)
+        if cls is not None:
+            out = np.where(cls >= 0, self.class_unit + cls, out)
         order = np.argsort(self.words)
         at = np.searchsorted(self.words, word, sorter=order)
         at = order[np.minimum(at, len(order) - 1)] if len(order) else np.zeros(len(word), np.int64)
@@ -148,17 +160,16 @@ class Counts:
 def unit_documents(of: DataFrame, words: DataFrame, counts: Counts) -> DataFrame:
     """Each document with its units and the sums that need its words' counts.
 
-    words: block, at, word and c, the word's count over all training documents or null.
+    words: block, at, c and cls, the word's count over all training documents and its class, or null.
     """
 
     def run(words: pa.Table, block: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
         at = words.column("at").to_numpy()
-        c = np.zeros(len(at), np.int64)
-        c[at] = pc.fill_null(words.column("c"), 0).to_numpy()
+        c, cls = of_words(words)
         h = np.frombuffer(row["hashes"], "<i8")
         tokens, sizes = np.frombuffer(row["tokens"], "<u4"), np.array(row["sizes"], np.int64)
-        unit = counts.units(h, c).astype("<u2")[tokens]
+        unit = counts.units(h, c, cls).astype("<u2")[tokens]
         n = c[tokens]
         ends = np.cumsum(sizes)
         each = lambda v: np.add.reduceat(v, ends - sizes)  # noqa: E731  every document has an end token
@@ -168,7 +179,80 @@ def unit_documents(of: DataFrame, words: DataFrame, counts: Counts) -> DataFrame
             "base_score": base, "log_counts": each(np.log10(np.maximum(n, 1))), "units": [u.tobytes() for u in np.split(unit, ends[:-1])],
         })
 
-    return words.select("block", "at", "c").groupBy("block").cogroup(of.drop("trained").groupBy("block")).applyInArrow(run, UNITS)
+    return words.select("block", "at", "c", "cls").groupBy("block").cogroup(of.drop("trained").groupBy("block")).applyInArrow(run, UNITS)
+
+
+def of_words(words: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Count and class of each word of a block, by its position; 0 and -1 where there is none."""
+    at = words.column("at").to_numpy()
+    c, cls = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    c[at] = pc.fill_null(words.column("c"), 0).to_numpy()
+    cls[at] = pc.fill_null(words.column("cls"), -1).to_numpy()
+    return c, cls
+
+
+def neighbours(of: DataFrame, words: DataFrame, counts: Counts, every: np.ndarray, total: int, enough: int) -> DataFrame:
+    """word, was (its class), key and n, for the words beyond the top ones that are seen often enough: how
+    often class key follows, class key - total comes before, or, for key 2 * total, the word follows itself."""
+
+    def run(words: pa.Table, block: pa.Table) -> pa.Table:
+        row = block.to_pylist()[0]
+        c, cls = of_words(words)
+        h = np.frombuffer(row["hashes"], "<i8")
+        tokens, sizes = np.frombuffer(row["tokens"], "<u4").astype(np.int64), np.array(row["sizes"], np.int64)
+        unit = counts.units(h, c, cls)
+        kind = every[unit]
+        moves = (c >= enough) & (unit >= len(counts.words)) & (h != END_HASH)
+        end = int(np.flatnonzero(h == END_HASH)[0])
+        before = np.concatenate([[end], tokens[:-1]])  # a text's last token is the end, too
+        train = np.repeat(~np.array(row["held"], bool), sizes)
+        a, b = before[train], tokens[train]
+        same, width = a == b, 2 * total + 1
+        right, left, own = moves[a] & ~same, moves[b] & ~same, moves[a] & same
+        codes, n = np.unique(np.concatenate([a[right] * width + kind[b[right]], b[left] * width + total + kind[a[left]], a[own] * width + 2 * total]), return_counts=True)
+        at = codes // width
+        return pa.table({"word": h[at], "was": kind[at].astype(np.int32), "key": (codes % width).astype(np.int32), "n": n.astype(np.int64)})
+
+    rows = words.select("block", "at", "c", "cls").groupBy("block").cogroup(of.select("block", "held", "sizes", "tokens", "hashes").groupBy("block")).applyInArrow(run, "word long, was int, key int, n long")
+    return rows.groupBy("word", "was", "key").agg(F.sum("n").alias("n"))
+
+
+def assigned(rows: DataFrame, pairs: np.ndarray, classes: int) -> DataFrame:
+    """word, cls and was: the class that most raises the mutual information, from what neighbours() gave;
+    a word is a row for each of its neighbours' classes."""
+    total = len(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, held = pairs.copy(), None
+
+        def out(cols: tuple, last: bool) -> pa.RecordBatch:
+            nonlocal held
+            word = cols[0]
+            ends = np.flatnonzero(np.append(word[1:] != word[:-1], last)) + 1
+            begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            new = []
+            for lo, hi in zip(begins[: len(ends)], ends, strict=True):
+                was, key, n = int(cols[1][lo]), cols[2][lo:hi], cols[3][lo:hi]
+                v = np.bincount(key, n, 2 * total + 1)
+                right, left, own = v[:total], v[total : 2 * total], v[-1]
+                put(p, was, -right, -left, -own)
+                gain = gains(p, right, left, own, classes)
+                best = int(np.argmax(gain))
+                new.append(was if was < classes and gain[best] <= gain[was] + 1e-9 else best)
+                put(p, was, right, left, own)
+            done = int(ends[-1]) if len(ends) else 0
+            held = tuple(c[done:] for c in cols)
+            first = begins[: len(ends)]
+            return pa.RecordBatch.from_pydict({"word": word[first], "cls": pa.array(new, pa.int32()), "was": pa.array(cols[1][first].astype(np.int32))})
+
+        for b in batches:
+            cols = tuple(c.to_numpy(zero_copy_only=False) for c in b.columns)
+            yield out(cols if held is None else tuple(np.concatenate(x) for x in zip(held, cols, strict=True)), False)
+        if held is not None and len(held[0]):
+            yield out(held, True)
+
+    ordered = rows.repartition(F.col("word")).sortWithinPartitions("word", "key").select("word", "was", "key", "n")
+    return ordered.mapInArrow(run, "word long, cls int, was int")
 
 
 def unit_pairs(docs: DataFrame, end_unit: int) -> DataFrame:
@@ -201,6 +285,25 @@ def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+def put(pairs: np.ndarray, cls: int, right: np.ndarray, left: np.ndarray, own: float) -> None:
+    """Adds a word's neighbours to those of a class."""
+    pairs[cls] += right
+    pairs[:, cls] += left
+    pairs[cls, cls] += own
+
+
+def gains(pairs: np.ndarray, right: np.ndarray, left: np.ndarray, own: float, classes: int) -> np.ndarray:
+    """What each class adds to the mutual information if a word joins it that pairs lacks."""
+    diagonal = np.arange(classes)
+    r, c = np.flatnonzero(right), np.flatnonzero(left)
+    rows, cols = pairs[:classes][:, r], pairs[c][:, :classes]
+    d = pairs[diagonal, diagonal]
+    gain = (_f(rows + right[r]) - _f(rows)).sum(1) + (_f(cols + left[c][:, None]) - _f(cols)).sum(0)
+    gain += _f(d + right[:classes] + left[:classes] + own) + _f(d) - _f(d + right[:classes]) - _f(d + left[:classes])
+    out, into = pairs[:classes].sum(1), pairs[:, :classes].sum(0)
+    return gain - (_f(out + right.sum() + own) - _f(out) + _f(into + left.sum() + own) - _f(into))
+
+
 def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, words: int, units: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """The class of each unit by exchange clustering. The first `words` units, the most frequent
     first, move among `classes` classes; each other unit is a class of its own."""
@@ -211,7 +314,6 @@ def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, words: int, units: int
     np.add.at(pairs, (of[a], of[b]), n)
     after, before = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
     a_at, b_at = np.searchsorted(a[after], np.arange(words + 1)), np.searchsorted(b[before], np.arange(words + 1))
-    diagonal = np.arange(classes)
     for _ in range(sweeps):
         moved = 0
         for w in range(words):
@@ -220,24 +322,14 @@ def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, words: int, units: int
             right = np.bincount(of[b[i]], n[i] * (b[i] != w), total)
             left = np.bincount(of[a[j]], n[j] * (a[j] != w), total)
             was = of[w]
-            pairs[was] -= right
-            pairs[:, was] -= left
-            pairs[was, was] -= own
-            r, c = np.flatnonzero(right), np.flatnonzero(left)
-            rows, cols = pairs[:classes][:, r], pairs[c][:, :classes]
-            d = pairs[diagonal, diagonal]
-            gain = (_f(rows + right[r]) - _f(rows)).sum(1) + (_f(cols + left[c][:, None]) - _f(cols)).sum(0)
-            gain += _f(d + right[:classes] + left[:classes] + own) + _f(d) - _f(d + right[:classes]) - _f(d + left[:classes])
-            out, into = pairs[:classes].sum(1), pairs[:, :classes].sum(0)
-            gain -= _f(out + right.sum() + own) - _f(out) + _f(into + left.sum() + own) - _f(into)
+            put(pairs, was, -right, -left, -own)
+            gain = gains(pairs, right, left, own, classes)
             best = int(np.argmax(gain))
             if gain[best] <= gain[was] + 1e-9:
                 best = was
             moved += best != was
             of[w] = best
-            pairs[best] += right
-            pairs[:, best] += left
-            pairs[best, best] += own
+            put(pairs, best, right, left, own)
         if not moved:
             break
     return of
@@ -246,18 +338,19 @@ def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, words: int, units: int
 class Model:
     """Transitions between classes and emissions of words, in log10."""
 
-    def __init__(self, of: np.ndarray, transition: np.ndarray, emission: np.ndarray, end_unit: int):
-        self.of, self.transition, self.emission, self.end_unit = of, transition, emission, end_unit
+    def __init__(self, of: np.ndarray, pairs: np.ndarray, transition: np.ndarray, emission: np.ndarray, end_unit: int):
+        self.of, self.pairs, self.transition, self.emission, self.end_unit = of, pairs, transition, emission, end_unit
 
     @classmethod
-    def fitted(cls, counts: Counts, a: np.ndarray, b: np.ndarray, n: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> Model:
-        """From the counts n of the pairs of units a, b."""
+    def fitted(cls, counts: Counts, a: np.ndarray, b: np.ndarray, n: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS, known: np.ndarray | None = None) -> Model:
+        """From the counts n of the pairs of units a, b; known: the units' classes where they have been found."""
         words, units = len(counts.words), counts.unknown_unit
-        of = exchange(a, b, n, words, units, classes, sweeps)
-        every = np.concatenate([of, [of[counts.once_unit]]])  # unknown words are in the class of words seen once
+        of = exchange(a, b, n, words, units, classes, sweeps) if known is None else known[:units]
+        # unknown words are in the class of words seen once
+        every = np.concatenate([of, [of[counts.once_unit]], np.arange(max(1, min(classes, words)))])
         total = int(of.max()) + 1
         pairs = np.zeros((total, total))
-        np.add.at(pairs, (of[a], of[b]), n)
+        np.add.at(pairs, (every[a], every[b]), n)
         size = pairs.sum(0)
         there = np.unique(every[np.unique(np.concatenate([b, [counts.once_unit, counts.end_unit]]))])
         share = np.zeros(total)
@@ -270,7 +363,7 @@ class Model:
         emission[counts.once_unit] = np.log10((1 - novel) / max(counts.once, 1))
         if not size.sum():
             emission[counts.end_unit] = 0.0
-        return cls(every, transition, emission, counts.end_unit)
+        return cls(every, pairs, transition, emission, counts.end_unit)
 
     def score(self, units: np.ndarray) -> float:
         """log10 probability of a text's units, but for its words' log counts."""
@@ -279,37 +372,57 @@ class Model:
         return float(self.transition[before, c].sum() + self.emission[units].sum())
 
 
-def model_of(pairs: DataFrame, counts: Counts, classes: int, sweeps: int) -> Model:
+def model_of(pairs: DataFrame, counts: Counts, classes: int, sweeps: int, known: np.ndarray | None = None) -> Model:
     """One task fits the model; it gets as many rows as there are pairs of units at most."""
 
     def fit(t: pa.Table) -> pa.Table:
         t = t.sort_by([("a", "ascending"), ("b", "ascending")])
-        m = Model.fitted(counts, t.column("a").to_numpy().astype(np.int64), t.column("b").to_numpy().astype(np.int64), t.column("n").to_numpy().astype(float), classes, sweeps)
-        return pa.table({"of": [m.of.astype("<i8").tobytes()], "transition": [m.transition.tobytes()], "emission": [m.emission.tobytes()]})
+        m = Model.fitted(counts, t.column("a").to_numpy().astype(np.int64), t.column("b").to_numpy().astype(np.int64), t.column("n").to_numpy().astype(float), classes, sweeps, known)
+        return pa.table({"pairs": [m.pairs.tobytes()], "of": [m.of.astype("<i8").tobytes()], "transition": [m.transition.tobytes()], "emission": [m.emission.tobytes()]})
 
-    got = pairs.groupBy(F.lit(1).alias("all")).applyInArrow(fit, "of binary, transition binary, emission binary").first()
+    got = pairs.groupBy(F.lit(1).alias("all")).applyInArrow(fit, "pairs binary, of binary, transition binary, emission binary").first()
     if got is None:
         none = np.empty(0, np.int64)
         return Model.fitted(counts, none, none, np.empty(0), classes, sweeps)
     of, transition = np.frombuffer(got["of"], "<i8"), np.frombuffer(got["transition"])
-    return Model(of, transition.reshape(int(len(transition) ** 0.5), -1), np.frombuffer(got["emission"]), counts.end_unit)
+    total = round(len(transition) ** 0.5)
+    return Model(of, np.frombuffer(got["pairs"]).reshape(total, -1), transition.reshape(total, -1), np.frombuffer(got["emission"]), counts.end_unit)
 
 
-def scored(spark: SparkSession, docs: DataFrame, top: int = TOP, classes: int = CLASSES, sweeps: int = SWEEPS, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
+def scored(spark: SparkSession, docs: DataFrame, top: int | None = None, classes: int | None = None, sweeps: int = SWEEPS, enough: int = ENOUGH, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document. Where
+    they aren't given, classes are the cube root of the types and top words 32 for each, CLASSES and TOP at least."""
     first, second = shared_dir(spark), shared_dir(spark)
     gathered = stored(blocks(docs, text, id_col), spark, first)
     words = block_words(gathered)
     known = stored(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), spark, second)
     end = F.col("word") == int(END_HASH)
     sums = known.agg(F.sum("c").alias("tokens"), F.count(F.lit(1)).alias("types"), F.count(F.when((F.col("c") == 1) & ~end, 1)).alias("once"), F.count(F.when((F.col("c") == 2) & ~end, 1)).alias("twice")).first()
+    classes = classes or max(CLASSES, round(sums["types"] ** (1 / 3)))
+    top = top or max(TOP, 32 * classes)
     best = known.where(~end).orderBy(F.desc("c"), "word").limit(top).collect()  # `top` rows
     counts = Counts(sums["tokens"] or 0, sums["types"], sums["once"], sums["twice"], np.array([r["word"] for r in best], np.int64))
-    looked_up = words.join(known, "word", "left")
-    units = stored(unit_documents(gathered, looked_up, counts), spark)
+    looked_up = words.join(known, "word", "left").withColumn("cls", F.lit(None).cast("int"))
+    path = shared_dir(spark)
+    units = stored(unit_documents(gathered, looked_up, counts), spark, path)
+    fitted = model_of(unit_pairs(units, counts.end_unit), counts, classes, sweeps)
+    core = fitted.of
+    for _ in range(ROUNDS if len(counts.words) else 0):
+        near = neighbours(gathered, looked_up, counts, core, len(fitted.pairs), enough)
+        found = stored(assigned(near, fitted.pairs, max(1, min(classes, len(counts.words)))), spark)
+        moved = found.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("cls") != F.col("was"), 1)).alias("moved")).first()
+        if not moved["moved"]:
+            break
+        looked_up = words.join(known.join(found.select("word", "cls"), "word", "left"), "word", "left")
+        removed(spark, path)
+        path = shared_dir(spark)
+        units = stored(unit_documents(gathered, looked_up, counts), spark, path)
+        fitted = model_of(unit_pairs(units, counts.end_unit), counts, classes, sweeps, core)
+        if moved["moved"] <= SETTLED * moved["n"]:
+            break
     removed(spark, first)
     removed(spark, second)
-    model = spark.sparkContext.broadcast(model_of(unit_pairs(units, counts.end_unit), counts, classes, sweeps))
+    model = spark.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

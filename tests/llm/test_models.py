@@ -66,6 +66,14 @@ def test_model_is_a_distribution():
         assert total == pytest.approx(1.0)
 
 
+def test_words_beyond_the_top_ones_get_classes(spark):
+    r = random.Random(2)
+    names, verbs = [f"name{i}" for i in range(40)], [f"verb{i}" for i in range(40)]
+    rows = [(i, " ".join(f"{r.choice(names)} {r.choice(verbs)}" for _ in range(40))) for i in range(200)]
+    got = class_lm.scored(spark, spark.createDataFrame(rows, "doc_id long, text string"), top=8, classes=2).where("held_out").toPandas()
+    assert len(got) > 20 and got["score"].sum() > got["base_score"].sum() + 0.2 * got["n_tokens"].sum()
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     r = random.Random(1)
     names, verbs = [f"name{i}" for i in range(30)], [f"verb{i}" for i in range(30)]
