@@ -1,21 +1,23 @@
 """A Brown class-based bigram model over the whole corpus.
 
 1. Tasks gather documents into blocks of about BLOCK bytes. A block has its distinct words once (by
-   64-bit hash) and each document as positions in that list, so what is shuffled later are a
-   block's distinct words and never its tokens.
-2. Words are counted over all training documents; the counts are joined back to the blocks' words
-   and meet the blocks again in a cogroup by block. No vocabulary is broadcast or collected.
+   64-bit hash, in order) and each document as positions in that list. What goes between tasks
+   later are a block's words, cut by ranges of hashes into buckets, as arrays; never its tokens
+   by row. Buckets grow in number with the words, so a task's share is bounded.
+2. A bucket's task counts its words over all training documents and answers each block with the
+   counts of the block's words. No vocabulary is broadcast or collected.
 3. Every word gets a unit: each of the `top` most frequent words is a unit, the others share a unit
    with the words whose counts lie between the same powers of two; words seen once, unknown words
-   and the text's end have units of their own. Documents go on as their units.
+   and the text's end have units of their own.
 4. Pairs of neighbouring units are counted over all training documents. Their number is bounded by
    the square of the units, so is what one task gets for the exchange clustering: each of the top
    words moves to the class that most raises the classes' mutual information, again and again
-   until nothing moves or `sweeps` are over. Then every other word seen `enough` times goes to the
-   class that most raises it, by the classes before and after the word, which are counted over all
-   training documents; all words move at once, in rounds until at most SETTLED of them move or
-   ROUNDS are over. Top words and classes grow with the types. Only rarer words stay in the units
-   by counts, which are classes as they are.
+   until at most STILL of them move or `sweeps` are over. Then every other word seen `enough` times goes to
+   the class that most raises it, by the classes before and after the word, which are counted over
+   all training documents; a bucket's task does so for its words, all at once, in rounds until at
+   most SETTLED of them move, the mutual information grows by less than GAIN of itself, or ROUNDS
+   are over. Top words and classes grow with the types. Only rarer words stay in the units by
+   counts, which are classes as they are.
 5. log P(text) = sum of log P(class | class before) + log P(word | class). Transitions are
    smoothed towards the classes' shares. Words seen once and unknown words are one class, split as
    Good and Turing's estimate splits it; the unknown word is one word, as in the base score.
@@ -40,16 +42,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .columns import lowered, parted
-from .shared import removed, shared_dir, stored
+from .shared import removed, shared_dir, spread, stored
 
 BLOCK = 16 << 20
-TOP, CLASSES, SWEEPS = 2048, 64, 60  # the least of the first two; a bound that ends what does not settle
-ENOUGH, ROUNDS, SETTLED = 10, 4, 0.02
+BUCKET_WORDS, BUCKETS = 1 << 20, 32  # words of all blocks in a bucket, and the least number of buckets
+TOP, CLASSES, SWEEPS = 2048, 64, 30  # the least of the first two; a bound that ends what does not settle
+ENOUGH, ROUNDS, SETTLED, GAIN, STILL = 10, 4, 0.02, 0.01, 0.01
 BANDS = 62
 PRIOR = 2.0
-END_HASH = xxhash.xxh64_intdigest(b"") - (1 << 63)  # no word is empty
-BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, tokens binary, hashes binary, trained binary"
-UNITS = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, log_counts double, units binary"
+AT_ONCE = 1 << 21  # numbers in an array of classes by neighbours
+END_HASH = np.uint64(xxhash.xxh64_intdigest(b""))  # no word is empty
+BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, tokens binary, hashes binary, trained binary, n_words long"
+READY = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, tokens binary, hashes binary, counts binary"
+ANSWERS = "block long, bucket int, data binary, words binary, tokens long, types long, once long, twice long"
+NEAR = "bucket int, block long, words binary, was binary, size binary, keys binary, n binary"
+CLASSED = "block long, bucket int, data binary, n long, moved long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -59,11 +66,16 @@ def held_out(id_col: str, rest: int = 1, of: int = 5) -> Column:
 
 
 def tokenized(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the distinct tokens, the tokens as positions among them, and the tokens of each text."""
+    """Hashes of the distinct tokens, ascending; the tokens as positions among them; the tokens of each text."""
     names, words, sizes = parted(lowered(texts))
-    hashes = np.array([xxhash.xxh64_intdigest(x) for x in names.to_pylist()] + [0], np.uint64).view(np.int64) ^ np.int64(-(1 << 63))
+    hashes = np.array([xxhash.xxh64_intdigest(x) for x in names.to_pylist()] + [0], np.uint64)
     hashes[-1] = END_HASH
-    return hashes, np.insert(words, np.cumsum(sizes), len(names)), sizes + 1
+    tokens = np.insert(words, np.cumsum(sizes), len(names))
+    there = np.flatnonzero(np.bincount(tokens, minlength=len(hashes)))  # not the empty string
+    there = there[np.argsort(hashes[there])]
+    place = np.zeros(len(hashes), np.int64)
+    place[there] = np.arange(len(there))
+    return hashes[there], place[tokens], sizes + 1
 
 
 def blocks(docs: DataFrame, text: str, id_col: str) -> DataFrame:
@@ -73,15 +85,11 @@ def blocks(docs: DataFrame, text: str, id_col: str) -> DataFrame:
         t = pa.Table.from_batches(part)
         hashes, tokens, sizes = tokenized(t.column("text").combine_chunks() if t.num_rows else pa.array([], pa.string()))
         held = t.column("held").to_pylist()
-        train = np.repeat(~np.array(held, bool), sizes)
-        trained = np.bincount(tokens[train], minlength=len(hashes))
-        there = np.flatnonzero(np.bincount(tokens, minlength=len(hashes)))  # not the empty string
-        new = np.zeros(len(hashes), np.int64)
-        new[there] = np.arange(len(there))
+        trained = np.bincount(tokens[np.repeat(~np.array(held, bool), sizes)], minlength=len(hashes))
         return pa.RecordBatch.from_pydict({
             "block": [block], "doc_ids": pa.array([t.column("doc_id").to_pylist()], pa.list_(pa.int64())), "held": [held],
-            "sizes": pa.array([sizes], pa.list_(pa.int32())), "tokens": [new[tokens].astype("<u4").tobytes()],
-            "hashes": [hashes[there].astype("<i8").tobytes()], "trained": [trained[there].astype("<u4").tobytes()],
+            "sizes": pa.array([sizes], pa.list_(pa.int32())), "tokens": [tokens.astype("<u4").tobytes()],
+            "hashes": [hashes.tobytes()], "trained": [trained.astype("<u4").tobytes()], "n_words": [len(hashes)],
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,16 +112,75 @@ def blocks(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     return rows.mapInArrow(run, BLOCKS)
 
 
-def block_words(of: DataFrame) -> DataFrame:
-    """block, word (its hash), at (its position in the block) and n (training tokens)."""
+def bucket_ends(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's stretch of ascending hashes ends; a bucket is a range of the hashes' space."""
+    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+    return np.append(np.searchsorted(hashes, edges), len(hashes))
+
+
+def cut(ends: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
+    """(bucket, its stretch of each array) of the buckets that have any."""
+    for bucket, (lo, hi) in enumerate(zip(np.append(0, ends[:-1]), ends, strict=True)):
+        if hi > lo:
+            yield bucket, *(x[lo:hi] for x in arrays)
+
+
+def joined(column: pa.ChunkedArray, dtype: str) -> np.ndarray:
+    """The arrays of a binary column, one after another."""
+    return np.frombuffer(b"".join(x or b"" for x in column.to_pylist()), dtype)
+
+
+def sizes_of(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.array([len(x or b"") // width for x in column.to_pylist()], np.int64)
+
+
+def counted(of: DataFrame, buckets: int) -> DataFrame:
+    """For each block and bucket the counts of the block's words over all training documents (data); for each
+    bucket, with a null block, its words (words), their counts (data), tokens, types, once and twice."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, h, n in zip(*(b.column(c).to_pylist() for c in ("block", "hashes", "trained")), strict=True):
+                h, n = np.frombuffer(h, "<u8"), np.frombuffer(n, "<u4")
+                rows = [(k, x.tobytes(), y.tobytes()) for k, x, y in cut(bucket_ends(h, buckets), h, n)]
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": [block] * len(rows), "hashes": [r[1] for r in rows], "trained": [r[2] for r in rows]})
+
+    def count(t: pa.Table) -> pa.Table:
+        word, at = np.unique(joined(t.column("hashes"), "<u8"), return_inverse=True)
+        n = np.bincount(at, joined(t.column("trained"), "<u4"), len(word)).astype(np.int64)
+        each, bucket, is_end = np.cumsum(sizes_of(t.column("hashes"), 8))[:-1], t.column("bucket")[0].as_py(), word == END_HASH
+        known, rows, zero = n > 0, t.num_rows, [0] * t.num_rows
+        return pa.table({
+            "block": pa.array([*t.column("block").to_pylist(), None], pa.int64()), "bucket": pa.array([bucket] * (rows + 1), pa.int32()),
+            "data": [*(x.tobytes() for x in np.split(n[at], each)), n[known].tobytes()], "words": [*[None] * rows, word[known].tobytes()],
+            "tokens": [*zero, int(n.sum())], "types": [*zero, int(known.sum())], "once": [*zero, int(((n == 1) & ~is_end).sum())], "twice": [*zero, int(((n == 2) & ~is_end).sum())],
+        })
+
+    return of.select("block", "hashes", "trained").mapInArrow(parts, "bucket int, block long, hashes binary, trained binary").groupBy("bucket").applyInArrow(count, ANSWERS)
+
+
+def most_frequent(dictionaries: DataFrame, top: int) -> DataFrame:
+    """word and c of the `top` most frequent words, the most frequent first; each bucket gives as many at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                h, n = np.frombuffer(row["hashes"], "<i8"), np.frombuffer(row["trained"], "<u4").astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"block": np.full(len(h), row["block"]), "word": h, "at": np.arange(len(h), dtype=np.int32), "n": n})
+            for word, n in zip(b.column("words").to_pylist(), b.column("data").to_pylist(), strict=True):
+                word, n = np.frombuffer(word, "<u8"), np.frombuffer(n, "<i8")
+                best = np.lexsort((word, -n))[: top + 1]
+                best = best[word[best] != END_HASH]
+                yield pa.RecordBatch.from_pydict({"word": word[best].view(np.int64), "c": n[best]})
+
+    return dictionaries.select("words", "data").mapInArrow(run, "word long, c long").orderBy(F.desc("c"), "word").limit(top)
+
+
+def with_counts(of: DataFrame, answers: DataFrame) -> DataFrame:
+    """The blocks with their words' counts."""
 
-    return of.select("block", "hashes", "trained").mapInArrow(run, "block long, word long, at int, n long")
+    def run(got: pa.Table, block: pa.Table) -> pa.Table:
+        counts = joined(got.sort_by("bucket").column("data"), "<i8")
+        return block.drop_columns(["trained", "n_words"]).append_column("counts", pa.array([counts.tobytes()], pa.binary()))
+
+    return answers.select("block", "bucket", "data").groupBy("block").cogroup(of.groupBy("block")).applyInArrow(run, READY)
 
 
 @dataclass(frozen=True)
@@ -143,142 +210,125 @@ class Counts:
     def unknown_unit(self) -> int:
         return len(self.words) + BANDS + 1
 
-    def units(self, word: np.ndarray, n: np.ndarray, cls: np.ndarray | None = None) -> np.ndarray:
-        """The unit of each word, from its hash, its training count and its class, -1 where it has none."""
+    def units(self, word: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The unit of each word, from its hash and its training count."""
         out = np.where(n > 0, self.once_unit + np.log2(np.maximum(n, 1)).astype(np.int64), self.unknown_unit)
-        if cls is not None:
-            out = np.where(cls >= 0, self.class_unit + cls, out)
-        order = np.argsort(self.words)
-        at = np.searchsorted(self.words, word, sorter=order)
-        at = order[np.minimum(at, len(order) - 1)] if len(order) else np.zeros(len(word), np.int64)
-        if len(order):
+        if len(self.words):
+            order = np.argsort(self.words)
+            at = order[np.minimum(np.searchsorted(self.words, word, sorter=order), len(order) - 1)]
             out = np.where(self.words[at] == word, at, out)
         out[word == END_HASH] = self.end_unit
         return out
 
 
-def unit_documents(of: DataFrame, words: DataFrame, counts: Counts) -> DataFrame:
-    """Each document with its units and the sums that need its words' counts.
-
-    words: block, at, c and cls, the word's count over all training documents and its class, or null.
-    """
-
-    def run(words: pa.Table, block: pa.Table) -> pa.Table:
-        row = block.to_pylist()[0]
-        at = words.column("at").to_numpy()
-        c, cls = of_words(words)
-        h = np.frombuffer(row["hashes"], "<i8")
-        tokens, sizes = np.frombuffer(row["tokens"], "<u4"), np.array(row["sizes"], np.int64)
-        unit = counts.units(h, c, cls).astype("<u2")[tokens]
-        n = c[tokens]
-        ends = np.cumsum(sizes)
-        each = lambda v: np.add.reduceat(v, ends - sizes)  # noqa: E731  every document has an end token
-        base = each(np.log10(n + 0.5)) - sizes * np.log10(counts.tokens + 0.5 * (counts.types + 1))
+class Block:
+    """A block's arrays; classes: what classed() has for it, or none."""
+
+    def __init__(self, row: dict, counts: Counts, enough: int, classes: pa.Table | None = None):
+        self.hashes, self.n = np.frombuffer(row["hashes"], "<u8"), np.frombuffer(row["counts"], "<i8")
+        self.tokens, self.sizes = np.frombuffer(row["tokens"], "<u4"), np.array(row["sizes"], np.int64)
+        self.train = np.repeat(~np.array(row["held"], bool), self.sizes)
+        self.unit = counts.units(self.hashes, self.n)
+        self.movable = np.flatnonzero((self.n >= enough) & (self.unit >= len(counts.words)) & (self.hashes != END_HASH))
+        if classes is not None and classes.num_rows:
+            self.unit[self.movable] = counts.class_unit + joined(classes.sort_by("bucket").column("data"), "<i2")
+
+    def before(self) -> np.ndarray:
+        """The token before each token; a text's last one is the end, too."""
+        end = np.searchsorted(self.hashes, END_HASH).astype(self.tokens.dtype)
+        return np.append(end, self.tokens[:-1])
+
+
+def neighbours(b: Block, block: int, every: np.ndarray, total: int, buckets: int) -> pa.RecordBatch:
+    """A row for each bucket, with the block's movable words there: their classes (was) and how often (n) class key
+    follows, class key - total comes before, or, for key 2 * total, the word follows itself; size: the keys of each word."""
+    kind, width = every[b.unit], 2 * total + 1
+    place = np.full(len(b.hashes), -1)
+    place[b.movable] = np.arange(len(b.movable))
+    x, y = b.before()[b.train], b.tokens[b.train]
+    px, py, kx, ky = place[x], place[y], kind[x], kind[y]
+    same = x == y
+    right, left, own = (px >= 0) & ~same, (py >= 0) & ~same, (px >= 0) & same
+    codes, n = np.unique(np.concatenate([px[right] * width + ky[right], py[left] * width + total + kx[left], px[own] * width + 2 * total]), return_counts=True)
+    size = np.bincount(codes // width, minlength=len(b.movable))
+    end = np.append(0, np.cumsum(size))
+    keys, n = (codes % width).astype("<u2"), n.astype("<u4")
+    words, was, size = b.hashes[b.movable], kind[b.movable].astype("<i2"), size.astype("<u4")
+    rows = []
+    for bucket, at in cut(bucket_ends(words, buckets), np.arange(len(words))):
+        lo, hi = at[0], at[-1] + 1
+        rows.append((bucket, words[lo:hi].tobytes(), was[lo:hi].tobytes(), size[lo:hi].tobytes(), keys[end[lo] : end[hi]].tobytes(), n[end[lo] : end[hi]].tobytes()))
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array([block] * len(rows), pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "block", "words", "was", "size", "keys", "n"])
+
+
+def assigned(near: DataFrame, pairs: np.ndarray, classes: int) -> DataFrame:
+    """For each block and bucket the new classes of the block's movable words (data); for each bucket, with a
+    null block, how many words it has and how many of them move."""
+    width = 2 * len(pairs) + 1
+
+    def run(t: pa.Table) -> pa.Table:
+        word, first, at = np.unique(joined(t.column("words"), "<u8"), return_index=True, return_inverse=True)
+        was = joined(t.column("was"), "<i2")[first].astype(np.int64)
+        code = np.repeat(at, joined(t.column("size"), "<u4")) * width + joined(t.column("keys"), "<u2")
+        code, entry = np.unique(code, return_inverse=True)
+        new = best_classes(pairs, classes, was, code // width, code % width, np.bincount(entry, joined(t.column("n"), "<u4"), len(code)))
+        each, rows = np.cumsum(sizes_of(t.column("words"), 8))[:-1], t.num_rows
         return pa.table({
-            "doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": row["held"], "n_tokens": sizes, "n_known": each((n > 0).astype(np.int64)),
-            "base_score": base, "log_counts": each(np.log10(np.maximum(n, 1))), "units": [u.tobytes() for u in np.split(unit, ends[:-1])],
+            "block": pa.array([*t.column("block").to_pylist(), None], pa.int64()), "bucket": pa.array([t.column("bucket")[0].as_py()] * (rows + 1), pa.int32()),
+            "data": [*(x.tobytes() for x in np.split(new[at].astype("<i2"), each)), None], "n": [*[0] * rows, len(word)], "moved": [*[0] * rows, int((new != was).sum())],
         })
 
-    return words.select("block", "at", "c", "cls").groupBy("block").cogroup(of.drop("trained").groupBy("block")).applyInArrow(run, UNITS)
+    return near.groupBy("bucket").applyInArrow(run, CLASSED)
 
 
-def of_words(words: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Count and class of each word of a block, by its position; 0 and -1 where there is none."""
-    at = words.column("at").to_numpy()
-    c, cls = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    c[at] = pc.fill_null(words.column("c"), 0).to_numpy()
-    cls[at] = pc.fill_null(words.column("cls"), -1).to_numpy()
-    return c, cls
+def summed(codes: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes and how often each comes."""
+    seen, held = [], 0
 
+    def reduced() -> tuple[np.ndarray, np.ndarray]:
+        keys, at = np.unique(np.concatenate([k for k, _ in seen]), return_inverse=True)
+        return keys, np.bincount(at, np.concatenate([n for _, n in seen])).astype(np.int64)
 
-def neighbours(of: DataFrame, words: DataFrame, counts: Counts, every: np.ndarray, total: int, enough: int) -> DataFrame:
-    """word, was (its class), key and n, for the words beyond the top ones that are seen often enough: how
-    often class key follows, class key - total comes before, or, for key 2 * total, the word follows itself."""
+    for code in codes:
+        seen.append(np.unique(code, return_counts=True))
+        held += len(seen[-1][0])
+        if held > 1 << 22:
+            seen = [reduced()]
+            held = len(seen[0][0])
+    return reduced() if seen else (np.empty(0, np.int64), np.empty(0, np.int64))
 
-    def run(words: pa.Table, block: pa.Table) -> pa.Table:
-        row = block.to_pylist()[0]
-        c, cls = of_words(words)
-        h = np.frombuffer(row["hashes"], "<i8")
-        tokens, sizes = np.frombuffer(row["tokens"], "<u4").astype(np.int64), np.array(row["sizes"], np.int64)
-        unit = counts.units(h, c, cls)
-        kind = every[unit]
-        moves = (c >= enough) & (unit >= len(counts.words)) & (h != END_HASH)
-        end = int(np.flatnonzero(h == END_HASH)[0])
-        before = np.concatenate([[end], tokens[:-1]])  # a text's last token is the end, too
-        train = np.repeat(~np.array(row["held"], bool), sizes)
-        a, b = before[train], tokens[train]
-        same, width = a == b, 2 * total + 1
-        right, left, own = moves[a] & ~same, moves[b] & ~same, moves[a] & same
-        codes, n = np.unique(np.concatenate([a[right] * width + kind[b[right]], b[left] * width + total + kind[a[left]], a[own] * width + 2 * total]), return_counts=True)
-        at = codes // width
-        return pa.table({"word": h[at], "was": kind[at].astype(np.int32), "key": (codes % width).astype(np.int32), "n": n.astype(np.int64)})
-
-    rows = words.select("block", "at", "c", "cls").groupBy("block").cogroup(of.select("block", "held", "sizes", "tokens", "hashes").groupBy("block")).applyInArrow(run, "word long, was int, key int, n long")
-    return rows.groupBy("word", "was", "key").agg(F.sum("n").alias("n"))
-
-
-def assigned(rows: DataFrame, pairs: np.ndarray, classes: int) -> DataFrame:
-    """word, cls and was: the class that most raises the mutual information, from what neighbours() gave;
-    a word is a row for each of its neighbours' classes."""
-    total = len(pairs)
+
+def unit_pairs(ready: DataFrame, counts: Counts, enough: int) -> DataFrame:
+    """a, b, n: how often unit b comes after unit a in the training documents; counted in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, held = pairs.copy(), None
-
-        def out(cols: tuple, last: bool) -> pa.RecordBatch:
-            nonlocal held
-            word = cols[0]
-            ends = np.flatnonzero(np.append(word[1:] != word[:-1], last)) + 1
-            begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            new = []
-            for lo, hi in zip(begins[: len(ends)], ends, strict=True):
-                was, key, n = int(cols[1][lo]), cols[2][lo:hi], cols[3][lo:hi]
-                v = np.bincount(key, n, 2 * total + 1)
-                right, left, own = v[:total], v[total : 2 * total], v[-1]
-                put(p, was, -right, -left, -own)
-                gain = gains(p, right, left, own, classes)
-                best = int(np.argmax(gain))
-                new.append(was if was < classes and gain[best] <= gain[was] + 1e-9 else best)
-                put(p, was, right, left, own)
-            done = int(ends[-1]) if len(ends) else 0
-            held = tuple(c[done:] for c in cols)
-            first = begins[: len(ends)]
-            return pa.RecordBatch.from_pydict({"word": word[first], "cls": pa.array(new, pa.int32()), "was": pa.array(cols[1][first].astype(np.int32))})
+        def codes():
+            for batch in batches:
+                for row in batch.to_pylist():
+                    b = Block(row, counts, enough)
+                    yield b.unit[b.before()[b.train]] << 16 | b.unit[b.tokens[b.train]]
 
-        for b in batches:
-            cols = tuple(c.to_numpy(zero_copy_only=False) for c in b.columns)
-            yield out(cols if held is None else tuple(np.concatenate(x) for x in zip(held, cols, strict=True)), False)
-        if held is not None and len(held[0]):
-            yield out(held, True)
+        keys, n = summed(codes())
+        yield pa.RecordBatch.from_pydict({"a": (keys >> 16).astype(np.int32), "b": (keys & 0xFFFF).astype(np.int32), "n": n})
 
-    ordered = rows.repartition(F.col("word")).sortWithinPartitions("word", "key").select("word", "was", "key", "n")
-    return ordered.mapInArrow(run, "word long, cls int, was int")
+    return ready.drop("doc_ids").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def unit_pairs(docs: DataFrame, end_unit: int) -> DataFrame:
-    """a, b, n: how often unit b comes after unit a in the training documents; counted in each task first."""
+def classed_pairs(ready: DataFrame, classes: DataFrame, counts: Counts, enough: int) -> DataFrame:
+    """As unit_pairs, where the movable words have the units of their classes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held = [], 0
+    def run(got: pa.Table, block: pa.Table) -> pa.Table:
+        b = Block(block.to_pylist()[0], counts, enough, got)
+        keys, n = np.unique(b.unit[b.before()[b.train]] << 16 | b.unit[b.tokens[b.train]], return_counts=True)
+        return pa.table({"a": (keys >> 16).astype(np.int32), "b": (keys & 0xFFFF).astype(np.int32), "n": n.astype(np.int64)})
 
-        def summed() -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate([k for k, _ in seen]), return_inverse=True)
-            return keys, np.bincount(at, np.concatenate([n for _, n in seen])).astype(np.int64)
+    return by_block(ready.drop("doc_ids"), classes).applyInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
-        for b in batches:
-            for units in b.column(0).to_pylist():
-                u = np.frombuffer(units, "<u2").astype(np.int64)
-                pair = np.concatenate([[end_unit], u[:-1]]) << 16 | u
-                seen.append((pair, np.ones(len(pair), np.int64)))
-                held += len(pair)
-            if held > 1 << 22:
-                seen = [summed()]
-                held = len(seen[0][0])
-        if seen:
-            keys, n = summed()
-            yield pa.RecordBatch.from_pydict({"a": (keys >> 16).astype(np.int32), "b": (keys & 0xFFFF).astype(np.int32), "n": n})
 
-    return docs.where("not held_out").select("units").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+def by_block(ready: DataFrame, classes: DataFrame):
+    """Each block with the classes of its movable words."""
+    return classes.where("block is not null").select("block", "bucket", "data").groupBy("block").cogroup(ready.groupBy("block"))
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -292,18 +342,69 @@ def put(pairs: np.ndarray, cls: int, right: np.ndarray, left: np.ndarray, own: f
     pairs[cls, cls] += own
 
 
-def gains(pairs: np.ndarray, right: np.ndarray, left: np.ndarray, own: float, classes: int) -> np.ndarray:
-    """What each class adds to the mutual information if a word joins it that pairs lacks."""
-    diagonal = np.arange(classes)
+def gains(pairs: np.ndarray, right: np.ndarray, left: np.ndarray, own: float, classes: int, logs: np.ndarray | None = None) -> np.ndarray:
+    """What each class adds to the mutual information if a word joins it that pairs lacks; logs: _f(pairs)."""
+    logs = _f(pairs) if logs is None else logs
     r, c = np.flatnonzero(right), np.flatnonzero(left)
-    rows, cols = pairs[:classes][:, r], pairs[c][:, :classes]
-    d = pairs[diagonal, diagonal]
-    gain = (_f(rows + right[r]) - _f(rows)).sum(1) + (_f(cols + left[c][:, None]) - _f(cols)).sum(0)
-    gain += _f(d + right[:classes] + left[:classes] + own) + _f(d) - _f(d + right[:classes]) - _f(d + left[:classes])
+    gain = (_f(pairs[:classes, r] + right[r]) - logs[:classes, r]).sum(1) + (_f(pairs[c, :classes] + left[c][:, None]) - logs[c, :classes]).sum(0)
+    d, of_d = np.diagonal(pairs)[:classes], np.diagonal(logs)[:classes]
+    gain += _f(d + right[:classes] + left[:classes] + own) + of_d - _f(d + right[:classes]) - _f(d + left[:classes])
     out, into = pairs[:classes].sum(1), pairs[:, :classes].sum(0)
     return gain - (_f(out + right.sum() + own) - _f(out) + _f(into + left.sum() + own) - _f(into))
 
 
+def best_classes(pairs: np.ndarray, classes: int, was: np.ndarray, word: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The class of each word that most raises the mutual information when it alone moves; was: their classes.
+    word, key, n: the words' neighbours as in neighbours(), by ascending word and key. As gains(), for many words at once."""
+    total, logs, new = len(pairs), _f(pairs), was.copy()
+    out, into, diagonal = pairs[:classes].sum(1), pairs[:, :classes].sum(0), np.diagonal(pairs)[:classes]
+    begin = np.searchsorted(word, np.arange(len(was) + 1))
+    lo = 0
+    while lo < len(was):
+        hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + AT_ONCE // classes, "right")) - 1)
+        hi = min(hi, lo + max(1, AT_ONCE // (2 * total)))
+        w, k, m, old = word[begin[lo] : begin[hi]] - lo, key[begin[lo] : begin[hi]], n[begin[lo] : begin[hi]], was[lo:hi]
+        side = np.zeros((hi - lo, 2 * total + 1))
+        side[w, k] = m
+        right, left, own = side[:, :total], side[:, total:-1], side[:, -1]
+        inside = np.flatnonzero(old < classes)
+        gain = np.zeros((hi - lo, classes))
+        for here, first, other, table, of in ((k < total, 0, left, pairs, logs), ((k >= total) & (k < 2 * total), total, right, pairs.T, logs.T)):
+            i, c, x = w[here], k[here] - first, m[here]
+            if not len(i):
+                continue
+            # the word's own counts are taken out of its class first
+            a, f = table[:classes, c], of[:classes, c]
+            own_row = np.flatnonzero(old[i] < classes)
+            own_column = np.flatnonzero(old[i] == c)
+            both = own_column[old[i[own_column]] < classes]
+            a[old[i[own_row]], own_row] -= x[own_row]
+            a[:, own_column] -= other[i[own_column], :classes].T
+            a[old[i[both]], both] -= own[i[both]]
+            f[old[i[own_row]], own_row] = _f(a[old[i[own_row]], own_row])
+            f[:, own_column] = _f(a[:, own_column])
+            starts = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+            gain[i[starts]] += np.add.reduceat(_f(a + x) - f, starts, axis=1).T
+        d = np.repeat(diagonal[None], hi - lo, 0)
+        r, l = right[:, :classes], left[:, :classes]
+        d[inside, old[inside]] -= (r + l)[inside, old[inside]] + own[inside]
+        gain += _f(d + r + l + own[:, None]) + _f(d) - _f(d + r) - _f(d + l)
+        for margin, all_ in ((out - l, right.sum(1) + own), (into - r, left.sum(1) + own)):
+            margin[inside, old[inside]] -= all_[inside]
+            gain -= _f(margin + all_[:, None]) - _f(margin)
+        best = gain.argmax(1)
+        stay = inside[gain[inside, best[inside]] <= gain[inside, old[inside]] + 1e-9]
+        best[stay] = old[stay]
+        new[lo:hi] = best
+        lo = hi
+    return new
+
+
+def information(pairs: np.ndarray) -> float:
+    """The mutual information of neighbouring classes, times the number of pairs."""
+    return float(_f(pairs).sum() - _f(pairs.sum(1)).sum() - _f(pairs.sum(0)).sum() + _f(pairs.sum()))
+
+
 def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, words: int, units: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """The class of each unit by exchange clustering. The first `words` units, the most frequent
     first, move among `classes` classes; each other unit is a class of its own."""
@@ -312,6 +413,12 @@ def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, words: int, units: int
     total = int(of.max()) + 1
     pairs = np.zeros((total, total))
     np.add.at(pairs, (of[a], of[b]), n)
+    logs = _f(pairs)
+
+    def moved_by(cls: int, right: np.ndarray, left: np.ndarray, own: float) -> None:
+        put(pairs, cls, right, left, own)
+        logs[cls], logs[:, cls] = _f(pairs[cls]), _f(pairs[:, cls])
+
     after, before = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
     a_at, b_at = np.searchsorted(a[after], np.arange(words + 1)), np.searchsorted(b[before], np.arange(words + 1))
     for _ in range(sweeps):
@@ -322,15 +429,15 @@ def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, words: int, units: int
             right = np.bincount(of[b[i]], n[i] * (b[i] != w), total)
             left = np.bincount(of[a[j]], n[j] * (a[j] != w), total)
             was = of[w]
-            put(pairs, was, -right, -left, -own)
-            gain = gains(pairs, right, left, own, classes)
+            moved_by(was, -right, -left, -own)
+            gain = gains(pairs, right, left, own, classes, logs)
             best = int(np.argmax(gain))
             if gain[best] <= gain[was] + 1e-9:
                 best = was
             moved += best != was
             of[w] = best
-            put(pairs, best, right, left, own)
-        if not moved:
+            moved_by(best, right, left, own)
+        if moved <= STILL * words:
             break
     return of
 
@@ -365,12 +472,6 @@ class Model:
             emission[counts.end_unit] = 0.0
         return cls(every, pairs, transition, emission, counts.end_unit)
 
-    def score(self, units: np.ndarray) -> float:
-        """log10 probability of a text's units, but for its words' log counts."""
-        c = self.of[units]
-        before = np.concatenate([[self.of[self.end_unit]], c[:-1]])
-        return float(self.transition[before, c].sum() + self.emission[units].sum())
-
 
 def model_of(pairs: DataFrame, counts: Counts, classes: int, sweeps: int, known: np.ndarray | None = None) -> Model:
     """One task fits the model; it gets as many rows as there are pairs of units at most."""
@@ -389,45 +490,70 @@ def model_of(pairs: DataFrame, counts: Counts, classes: int, sweeps: int, known:
     return Model(of, np.frombuffer(got["pairs"]).reshape(total, -1), transition.reshape(total, -1), np.frombuffer(got["emission"]), counts.end_unit)
 
 
-def scored(spark: SparkSession, docs: DataFrame, top: int | None = None, classes: int | None = None, sweeps: int = SWEEPS, enough: int = ENOUGH, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def scores(b: Block, row: dict, model: Model, counts: Counts) -> pa.Table:
+    """The rows of SCORES for a block."""
+    begins = np.cumsum(b.sizes) - b.sizes
+    each = lambda v: np.add.reduceat(v, begins)  # noqa: E731  every document has an end token
+    kind, n = model.of[b.unit], b.n
+    emission = model.emission[b.unit] + np.log10(np.maximum(n, 1))
+    base = each(np.log10(n + 0.5)[b.tokens]) - b.sizes * np.log10(counts.tokens + 0.5 * (counts.types + 1))
+    score = each(model.transition[kind[b.before()], kind[b.tokens]] + emission[b.tokens])
+    return pa.table({
+        "doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": row["held"], "n_tokens": b.sizes, "n_known": each((n > 0).astype(np.int64)[b.tokens]),
+        "train_tokens": np.full(len(b.sizes), counts.tokens), "base_score": base, "score": score,
+    })
+
+
+def scored(spark: SparkSession, docs: DataFrame, top: int | None = None, classes: int | None = None, sweeps: int = SWEEPS, enough: int = ENOUGH, text: str = "text", id_col: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document. Where
     they aren't given, classes are the cube root of the types and top words 32 for each, CLASSES and TOP at least."""
     first, second = shared_dir(spark), shared_dir(spark)
     gathered = stored(blocks(docs, text, id_col), spark, first)
-    words = block_words(gathered)
-    known = stored(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), spark, second)
-    end = F.col("word") == int(END_HASH)
-    sums = known.agg(F.sum("c").alias("tokens"), F.count(F.lit(1)).alias("types"), F.count(F.when((F.col("c") == 1) & ~end, 1)).alias("once"), F.count(F.when((F.col("c") == 2) & ~end, 1)).alias("twice")).first()
-    classes = classes or max(CLASSES, round(sums["types"] ** (1 / 3)))
+    buckets = spread(gathered.agg(F.sum("n_words")).first()[0] or 0, BUCKET_WORDS, BUCKETS)
+    answers = stored(counted(gathered, buckets), spark, second)
+    ready = stored(with_counts(gathered, answers.where("block is not null")), spark)
+    dictionaries = answers.where("block is null")
+    sums = dictionaries.agg(*(F.sum(c).alias(c) for c in ("tokens", "types", "once", "twice"))).first()
+    sums = [sums[c] or 0 for c in ("tokens", "types", "once", "twice")]
+    classes = classes or max(CLASSES, round(sums[1] ** (1 / 3)))
     top = top or max(TOP, 32 * classes)
-    best = known.where(~end).orderBy(F.desc("c"), "word").limit(top).collect()  # `top` rows
-    counts = Counts(sums["tokens"] or 0, sums["types"], sums["once"], sums["twice"], np.array([r["word"] for r in best], np.int64))
-    looked_up = words.join(known, "word", "left").withColumn("cls", F.lit(None).cast("int"))
-    path = shared_dir(spark)
-    units = stored(unit_documents(gathered, looked_up, counts), spark, path)
-    fitted = model_of(unit_pairs(units, counts.end_unit), counts, classes, sweeps)
-    core = fitted.of
-    for _ in range(ROUNDS if len(counts.words) else 0):
-        near = neighbours(gathered, looked_up, counts, core, len(fitted.pairs), enough)
-        found = stored(assigned(near, fitted.pairs, max(1, min(classes, len(counts.words)))), spark)
-        moved = found.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("cls") != F.col("was"), 1)).alias("moved")).first()
-        if not moved["moved"]:
-            break
-        looked_up = words.join(known.join(found.select("word", "cls"), "word", "left"), "word", "left")
-        removed(spark, path)
-        path = shared_dir(spark)
-        units = stored(unit_documents(gathered, looked_up, counts), spark, path)
-        fitted = model_of(unit_pairs(units, counts.end_unit), counts, classes, sweeps, core)
-        if moved["moved"] <= SETTLED * moved["n"]:
-            break
+    best = most_frequent(dictionaries, top).collect()  # `top` rows
+    counts = Counts(*sums, np.array([r["word"] for r in best], np.int64).view(np.uint64))
     removed(spark, first)
     removed(spark, second)
-    model = spark.sparkContext.broadcast(fitted)
+    model = model_of(unit_pairs(ready, counts, enough), counts, classes, sweeps)
+    core, found = model.of, None
+    groups = max(1, min(classes, len(counts.words)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            model_part = [model.value.score(np.frombuffer(u, "<u2")) for u in b.column("units").to_pylist()]
-            score = np.array(model_part) + b.column("log_counts").to_numpy()
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")), pa.array(np.full(b.num_rows, counts.tokens)), b.column("base_score"), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    def near_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield neighbours(Block(row, counts, enough), row["block"], core, len(model.pairs), buckets)
+
+    def near_classed(got: pa.Table, block: pa.Table) -> pa.Table:
+        row = block.to_pylist()[0]
+        return pa.Table.from_batches([neighbours(Block(row, counts, enough, got), row["block"], core, len(model.pairs), buckets)])
+
+    for _ in range(rounds if len(counts.words) else 0):
+        near = ready.drop("doc_ids").mapInArrow(near_alone, NEAR) if found is None else by_block(ready.drop("doc_ids"), found).applyInArrow(near_classed, NEAR)
+        found = stored(assigned(near, model.pairs, groups), spark)
+        moved = found.agg(F.sum("n").alias("n"), F.sum("moved").alias("moved")).first()
+        if not moved["n"]:
+            found = None
+            break
+        known = information(model.pairs)
+        model = model_of(classed_pairs(ready, found, counts, enough), counts, classes, sweeps, core)
+        if moved["moved"] <= SETTLED * moved["n"] or information(model.pairs) - known < GAIN * known:
+            break
+    sent = spark.sparkContext.broadcast(model)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from scores(Block(row, counts, enough), row, sent.value, counts).to_batches()
+
+    def classed(got: pa.Table, block: pa.Table) -> pa.Table:
+        row = block.to_pylist()[0]
+        return scores(Block(row, counts, enough, got), row, sent.value, counts)
 
-    return units.mapInArrow(run, SCORES)
+    return ready.mapInArrow(alone, SCORES) if found is None else by_block(ready, found).applyInArrow(classed, SCORES)
