@@ -3,7 +3,12 @@
 Each round every node takes the smallest label of itself and its neighbours, then the label of its
 label. Rounds end when no label changes. A round's labels are written to the shared folder, so the
 plan doesn't grow and a lost executor costs that round's tasks only. Nodes are in no order and no
-group is gathered: hubs have partial minima before the shuffle.
+group is gathered. A hub's links meet its label, and a large component's nodes the label of their
+label, in spread_join(), so neither is one task's; smallest labels have partial minima before
+their shuffle.
+
+A link with a null end, or of a node with itself, links nothing; such ends are in the result only
+if another link has them. Repeated links count once. No links give no rows.
 """
 
 from __future__ import annotations
@@ -11,21 +16,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import removed, shared_dir, stored
+from .shared import heavy_keys, removed, shared_dir, spread_join, stored
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """links: a, b. Returns node and component, the smallest node that it reaches; each node of a link once."""
-    both = stored(links.where("a <> b").select("a", "b").union(links.where("a <> b").select("b", "a")).distinct(), spark)
+    first = shared_dir(spark)
+    both = stored(links.where("a <> b").select("a", "b").union(links.where("a <> b").select("b", "a")).distinct(), spark, first)
+    n_links = both.count()
+    hubs = stored(heavy_keys(both.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "b", "n", n_links), spark)
     path = shared_dir(spark)
     labels = stored(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component")), spark, path)
+    n_nodes = labels.count()
     while True:
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        seen = spread_join(both, labels.withColumnRenamed("node", "b"), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         lower = labels.join(seen, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("next"))
         of = labels.select(F.col("node").alias("next"), F.col("component").alias("jump"))
+        large = heavy_keys(labels.groupBy(F.col("component").alias("next")).agg(F.count(F.lit(1)).alias("n")), "next", "n", n_nodes)
         after = shared_dir(spark)
-        new = stored(lower.join(of, "next").select("node", F.least("next", "jump").alias("component"), (F.least("next", "jump") != F.col("was")).alias("changed")), spark, after)
+        new = stored(spread_join(lower, of, "next", large).select("node", F.least("next", "jump").alias("component"), (F.least("next", "jump") != F.col("was")).alias("changed")), spark, after)
         removed(spark, path)
         path, labels = after, new.select("node", "component")
         if not new.where("changed").limit(1).count():
+            removed(spark, first)
             return labels

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import class_lm, exact_dedup, line_join, lsh_forest, mixing, nb_svm, packing, quality_rules, token_files, warc
 from .oracles import ORACLES
-from .shared import table
+from .shared import shared_dir, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +47,8 @@ def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = exact_dedup.DigestIndex(spark, f"digests_{uuid.uuid4().hex}", buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return exact_dedup.dedup(spark.read.parquet(table(sf_dir, "documents")), index)
+    index = exact_dedup.DigestIndex(spark, "document_digests", shared_dir(spark), buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return exact_dedup.dedup(spark, spark.read.parquet(table(sf_dir, "documents")), index)
 
 
 def op9_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,13 +61,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(spark, spark.read.parquet(table(sf_dir, "documents")))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict:
-    return {f.__name__: f for f in (pipeline, op1_quality_rules, op2_packing, op3_warc, op4_class_lm, op5_line_join, op6_mixing, op7_lsh_forest, op8_exact_dedup, op9_nb_svm, op10_token_files)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_warc, op4_class_lm, op5_line_join, op6_mixing, op7_lsh_forest, op8_exact_dedup, op9_nb_svm, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return dict(ORACLES)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,10 +23,12 @@ def table(sf_dir: str, name: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which every executor sees.
 
-    Where the session names none (tests, one machine), a folder of this machine serves.
+    Where the session names none, a folder of this machine serves a local master only.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or _own.get("dir")
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         base = _own["dir"] = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -61,3 +64,26 @@ def let(value: Column, body) -> Column:
 def spread(rows: int, per_part: int, least: int = 1) -> int:
     """Partitions for so many rows."""
     return max(least, -(-rows // per_part))
+
+
+SHARE = 1000
+
+
+def heavy_keys(counted: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """The keys with more than 1 / SHARE of `total` rows, so fewer than SHARE; counted has a key once and its rows n."""
+    return counted.where(F.col(n) * SHARE > total).select(key)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
+    """left with the other columns of right, which has a key once; null where it lacks a row's key.
+
+    Rows of heavy keys, of which there are fewer than SHARE, are answered by a broadcast and go to
+    the join under made-up keys, as rows with a null key do, so no task gets more rows of one key than heavy_keys() lets be.
+    """
+    names = [c for c in right.columns if c != key]
+    few = right.join(F.broadcast(heavy), key, "left_semi").select(F.col(key).alias("_heavy"), *[F.col(c).alias(f"_heavy_{c}") for c in names])
+    made_up = F.xxhash64(F.monotonically_increasing_id()).cast("string").cast(left.schema[key].dataType)
+    marked = left.join(F.broadcast(few), F.col(key) == F.col("_heavy"), "left").withColumn("_key", F.when(F.col("_heavy").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(made_up))
+    other = right.select(F.col(key).alias("_right"), *[F.col(c).alias(f"_right_{c}") for c in names])
+    out = marked.join(other, F.col("_key") == F.col("_right"), "left")
+    return out.select(*left.columns, *[F.when(F.col(key).isNull(), None).when(F.col("_heavy").isNull(), F.col(f"_right_{c}")).otherwise(F.col(f"_heavy_{c}")).alias(c) for c in names])

@@ -1,13 +1,13 @@
 """Quality rules and exact dedup against plain Python, and their plans."""
 
 import hashlib
-import uuid
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.llm import exact_dedup, quality_rules as Q
+from tallyloom.llm.shared import heavy_keys, shared_dir, spread_join
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -28,11 +28,15 @@ def test_measures(docs, rows):
 
 
 def test_rows_pass_through(docs, rows):
+    def passes(text):
+        n, chars, symbols, dup_lines, repeats = measures(text)
+        lines = [x for x in (text or "").split("\n") if x.encode().strip(SPACE)]
+        return n >= 20 and 100 * repeats <= 30 * n and 10 * symbols <= 3 * n and 2 * dup_lines <= len(lines) and 2 * n <= chars <= 20 * n
+
     kept = Q.kept_documents(docs)
     assert kept.columns == docs.columns
-    base = [r for r in rows if (m := measures(r[1]))[0] >= 20 and 100 * m[4] <= 30 * m[0]]
-    got = kept.collect()
-    assert got and all(tuple(r) in base for r in got)
+    want = [r for r in rows if passes(r[1])]
+    assert 0 < len(want) < len(rows) and Counter(map(tuple, kept.collect())) == Counter(want)
 
 
 def test_policies_and_ablations(spark, docs, none):
@@ -54,8 +58,9 @@ def test_policies_and_ablations(spark, docs, none):
 
 
 def test_exact(spark, docs, rows, none):
-    index = exact_dedup.DigestIndex(spark, f"d_{uuid.uuid4().hex}", buckets=4)
-    got = exact_dedup.dedup(docs, index).collect()
+    path = shared_dir(spark)
+    index = exact_dedup.DigestIndex(spark, "d_exact", path, buckets=4)
+    got = exact_dedup.dedup(spark, docs, index).collect()
     low = lambda t: (t or "").translate({c: c + 32 for c in range(65, 91)})
     groups = {}
     for r in rows:
@@ -69,23 +74,44 @@ def test_exact(spark, docs, rows, none):
     assert index.rows().count() == len(groups)
     # a second batch: what is known keeps its id, what is new is added
     more = spark.createDataFrame([(1000, rows[5][1]), (1001, "brand new")], "doc_id long, text string")
-    again = {r["doc_id"]: r for r in exact_dedup.dedup(more, index).collect()}
+    index = exact_dedup.DigestIndex(spark, "d_again", path, buckets=4)  # found again by its path
+    again = {r["doc_id"]: r for r in exact_dedup.dedup(spark, more, index).collect()}
     assert not again[1000]["kept"] and again[1000]["keep_id"] == 18 and again[1001]["kept"]
     assert index.rows().count() == len(groups) + 1
-    assert exact_dedup.dedup(none, index).count() == 0 and index.rows().count() == len(groups) + 1
+    assert exact_dedup.dedup(spark, none, index).count() == 0 and index.rows().count() == len(groups) + 1
 
 
 @pytest.mark.parametrize("what", ["rules", "exact"])
 def test_no_python_in_the_plan(spark, docs, what):
-    out = Q.kept_documents(docs) if what == "rules" else exact_dedup.facts(exact_dedup.digested(docs))
+    out = Q.kept_documents(docs) if what == "rules" else exact_dedup.dedup(spark, docs, exact_dedup.DigestIndex(spark, "d_plan", shared_dir(spark), buckets=4))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
 def test_anti_join_is_a_sort_merge_of_buckets(spark, docs):
-    index = exact_dedup.DigestIndex(spark, f"d_{uuid.uuid4().hex}", buckets=4)
+    index = exact_dedup.DigestIndex(spark, "d_merge", shared_dir(spark), buckets=4)
     facts = exact_dedup.facts(exact_dedup.digested(docs))
     index.append(facts)
     plan = facts.join(index.rows().hint("merge"), "text_sha256", "left_anti")._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "LeftAnti" in plan
     assert index.rows().where(F.col("keep_id").isNull()).count() == 0
+
+
+def test_a_large_group_is_spread_over_the_tasks(spark):
+    """Four of five rows have one text; no task of the way back gets more than its share of them."""
+    docs = spark.range(0, 8000, 1, 8).selectExpr("id as doc_id", "case when id % 5 = 0 then concat('t', id) else 'ONE' end as text")
+    rows = exact_dedup.digested(docs)
+    found = exact_dedup.facts(rows)
+    heavy = heavy_keys(found, "text_sha256", "group_size", 8000)
+    assert heavy.count() == 1
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = Counter(r["p"] for r in spread_join(rows, found, "text_sha256", heavy).select("keep_id", F.spark_partition_id().alias("p")).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert max(sizes.values()) < 8000 / len(sizes) * 1.3 and len(sizes) == 4
+    got = exact_dedup.dedup(spark, docs, exact_dedup.DigestIndex(spark, "d_large", shared_dir(spark), buckets=4)).collect()
+    one = [r for r in got if r["group_size"] > 1]
+    assert len(got) == 8000 and len(one) == 6400 and {(r["keep_id"], r["group_size"]) for r in one} == {(7999, 6400)} and sum(r["kept"] for r in got) == 1601
