@@ -18,7 +18,11 @@ sums; the join back has the copies on one side, whose large partitions adaptive
 Nulls, repeats and other cases: a null html is an empty payload. A null url is written as an empty
 target. Of rows that repeat the page_id of a response, the first in the order of their urls is the
 response and the others refer to it. A null page_id comes last in its group. An empty table gives
-no records. Other columns are ignored.
+no records. Other columns are ignored. Control characters of a url are percent-encoded in its
+header. A damaged record (no end of its headers, no usable Content-Length, cut off) is an error
+that names the file and the place; with option damaged=skip its gzip member is passed over, and in
+a plain file all until the next line that begins a record. A header that should be a number and
+isn't is null.
 """
 
 from __future__ import annotations
@@ -26,10 +30,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -47,7 +53,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from .shared import shared_dir
+from .shared import shared_dir, stored
 
 TARGET = 64 << 20
 BATCH = 16 << 20
@@ -80,20 +86,46 @@ def parsed(head: bytes) -> dict[str, str]:
     return out
 
 
+class Damaged(ValueError):
+    """A record that can't be read."""
+
+
+def _length(h: dict[str, str], at: int) -> int:
+    if not h.get("content-length", "").isdecimal():
+        raise Damaged(f"no Content-Length in the record at {at}")
+    return int(h["content-length"])
+
+
 class Records:
-    """Goes through a file's records: each gives its headers, and its block if it is asked for."""
+    """Goes through a file's records: each gives its headers, and its block if it is asked for.
 
-    def __init__(self, source, zipped: bool):
-        self.source, self.zipped, self.decoded = source, zipped, 0
+    skip: damaged records are passed over and counted in `skipped`.
+    """
+
+    def __init__(self, source, zipped: bool, skip: bool = False):
+        self.source, self.zipped, self.skip, self.decoded, self.skipped = source, zipped, skip, 0, 0
 
     def __iter__(self) -> Iterator[tuple[dict[str, str], callable]]:
         return self._members() if self.zipped else self._plain()
 
+    def _passed_over(self, e: Damaged) -> None:
+        if not self.skip:
+            raise e
+        self.skipped += 1
+
     def _plain(self):
         at = 0
         while head := self._head_at(at):
-            h = parsed(head)
-            begin, n = at + len(head) + 4, int(h["content-length"])
+            try:
+                if b"\r\n\r\n" not in head or not head.startswith(b"WARC/"):
+                    raise Damaged(f"no headers at {at}")
+                head = head[: head.index(b"\r\n\r\n")]
+                h = parsed(head)
+                begin, n = at + len(head) + 4, _length(h, at)
+            except Damaged as e:
+                self._passed_over(e)
+                at = self._next_begin(at + 1)
+                continue
 
             def block(begin=begin, n=n) -> bytes:
                 self.decoded += 1
@@ -104,14 +136,26 @@ class Records:
             at = begin + n + 4
 
     def _head_at(self, at: int) -> bytes:
+        """The bytes from there to the end of the headers at least, or all that are left."""
         self.source.seek(at)
         got = b""
         while b"\r\n\r\n" not in got:
             more = self.source.read(4096)
             if not more:
-                return b""
+                break
             got += more
-        return got[: got.index(b"\r\n\r\n")]
+        return got
+
+    def _next_begin(self, at: int) -> int:
+        """Where the next line begins that begins a record, or the file's end."""
+        mark, got = b"\r\nWARC/", b""
+        self.source.seek(at)
+        while more := self.source.read(1 << 16):
+            got = got[-len(mark) :] + more
+            at += len(more)
+            if mark in got:
+                return at - len(got) + got.index(mark) + 2
+        return at
 
     def _members(self):
         at = 0
@@ -121,37 +165,52 @@ class Records:
             if len(first) < 18:
                 return
             named = first[:4] == b"\x1f\x8b\x08\x04" and first[12:14] == b"sl"
-            z, raw, plain = zlib.decompressobj(31), first, b""
-            plain = z.decompress(raw, 4096)
-            while b"\r\n\r\n" not in plain and not z.eof:
-                more = z.unconsumed_tail or self.source.read(4096)
-                if not more:
-                    break
-                plain += z.decompress(more, 4096)
-            cut = plain.index(b"\r\n\r\n")
-            h = parsed(plain[:cut])
-            n = int(h["content-length"])
-            state = {"z": z, "plain": plain}
-
-            def finish(state=state) -> None:
-                z = state["z"]
-                while not z.eof:
-                    more = z.unconsumed_tail or self.source.read(1 << 16)
-                    if not more:
-                        raise EOFError("a gzip member is cut off")
-                    state["plain"] += z.decompress(more)
-
-            def block(cut=cut, n=n, state=state, finish=finish) -> bytes:
-                self.decoded += 1
-                finish()
-                return state["plain"][cut + 4 : cut + 4 + n]
+            state = {"z": zlib.decompressobj(31), "plain": b"", "raw": first}
 
-            yield h, block
+            def grow(most: int, state=state) -> bool:
+                """Decompresses some more; False at the member's end."""
+                z = state["z"]
+                more = state["raw"] or z.unconsumed_tail or self.source.read(1 << 16)
+                state["raw"] = b""
+                if z.eof or not more:
+                    return False
+                try:
+                    state["plain"] += z.decompress(more, most)
+                except zlib.error as e:
+                    raise Damaged(str(e)) from e
+                return True
+
+            def finish(state=state, grow=grow) -> None:
+                while not state["z"].eof:
+                    if not grow(1 << 16):
+                        raise Damaged("a gzip member is cut off")
+
+            try:
+                while b"\r\n\r\n" not in state["plain"] and grow(4096):
+                    pass
+                if b"\r\n\r\n" not in state["plain"]:
+                    raise Damaged(f"no headers in the member at {at}")
+                cut = state["plain"].index(b"\r\n\r\n")
+                h = parsed(state["plain"][:cut])
+                n = _length(h, at)
+
+                def block(cut=cut, n=n, state=state, finish=finish) -> bytes:
+                    self.decoded += 1
+                    finish()
+                    return state["plain"][cut + 4 : cut + 4 + n]
+
+                yield h, block
+            except Damaged as e:
+                self._passed_over(e)
             if named:
                 at += struct.unpack_from("<I", first, 16)[0]
-            else:
+                continue
+            try:
                 finish()
-                at = self.source.tell() - len(state["z"].unused_data)
+            except Damaged as e:  # where the next member begins isn't known
+                self._passed_over(e)
+                return
+            at = self.source.tell() - len(state["z"].unused_data)
 
 
 @dataclass
@@ -178,6 +237,7 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.payload = options.get("payload", "true").lower() != "false"
         self.target = int(options.get("target", TARGET))
+        self.skip = options.get("damaged", "fail").lower() == "skip"
         self.filters: list = []
 
     def pushFilters(self, filters: list):
@@ -209,20 +269,28 @@ class WarcReader(DataSourceReader):
         rows, held = [], 0
         for name in partition.names:
             with where.open_input_file(name) as source:
-                for h, block in Records(source, name.endswith(".gz")):
-                    got = {c: h.get(k.lower()) for c, k in HEADERS.items()}
-                    for c in ("page_id", "payload_bytes"):
-                        got[c] = int(got[c]) if got[c] else None
-                    if not _matches(got, self.filters):
-                        continue
-                    got["payload"] = None
-                    if self.payload and got["record_type"] == "response":
-                        _, _, got["payload"] = block().partition(b"\r\n\r\n")
-                    held += len(got["payload"] or b"") + 200
-                    rows.append(got)
-                    if held >= BATCH:
-                        yield self.batch(rows)
-                        rows, held = [], 0
+                try:
+                    for h, block in Records(source, name.endswith(".gz"), self.skip):
+                        got = {c: h.get(k.lower()) for c, k in HEADERS.items()}
+                        for c in ("page_id", "payload_bytes"):
+                            got[c] = int(got[c]) if re.fullmatch(r"-?[0-9]{1,18}", got[c] or "") else None
+                        if not _matches(got, self.filters):
+                            continue
+                        got["payload"] = None
+                        if self.payload and got["record_type"] == "response":
+                            try:
+                                _, _, got["payload"] = block().partition(b"\r\n\r\n")
+                            except Damaged:
+                                if not self.skip:
+                                    raise
+                                continue
+                        held += len(got["payload"] or b"") + 200
+                        rows.append(got)
+                        if held >= BATCH:
+                            yield self.batch(rows)
+                            rows, held = [], 0
+                except Damaged as e:
+                    raise Damaged(f"{name}: {e}") from e
         if rows:
             yield self.batch(rows)
 
@@ -263,7 +331,7 @@ class WarcWriter(DataSourceArrowWriter):
 
     @staticmethod
     def one(row: dict) -> bytes:
-        h = {"WARC-Type": row["record_type"], "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": "2000-01-01T00:00:00Z", "WARC-Target-URI": row["target_uri"] or "", "WARC-Payload-Digest": f"sha1:{row['payload_digest']}", "X-Payload-Length": str(row["payload_bytes"])}
+        h = {"WARC-Type": row["record_type"], "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": "2000-01-01T00:00:00Z", "WARC-Target-URI": re.sub(r"[\x00-\x1f\x7f]", lambda x: f"%{ord(x[0]):02X}", row["target_uri"] or ""), "WARC-Payload-Digest": f"sha1:{row['payload_digest']}", "X-Payload-Length": str(row["payload_bytes"])}
         if row["page_id"] is not None:
             h["X-Page-ID"] = str(row["page_id"])
         head = HTTP.format(row["payload_bytes"]).encode()
@@ -336,21 +404,33 @@ def archived(spark: SparkSession, pages: DataFrame, path: str, least: int = 0) -
 
 
 def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """page_id, length and SHA-1 of payloads as they were read."""
+    """page_id, length and SHA-1 of payloads as they were read; revisits, without a payload, have those of their headers."""
     for b in batches:
-        payloads = b.column("payload").to_pylist()
-        yield pa.RecordBatch.from_pydict({"page_id": b.column("page_id"), "payload_bytes": pa.array([len(p) for p in payloads], pa.int64()), "payload_digest": [base64.b32encode(hashlib.sha1(p).digest()).decode() for p in payloads]})
+        n, digest = b.column("payload_bytes").to_pylist(), b.column("payload_digest").to_pylist()
+        for i, p in enumerate(b.column("payload").to_pylist()):
+            if p is not None:
+                n[i], digest[i] = len(p), "sha1:" + base64.b32encode(hashlib.sha1(p).digest()).decode()
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(n, pa.int64()), pa.array([x.removeprefix("sha1:") for x in digest], pa.string()), b.column("record_type"), b.column("refers_to")], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame:
-    """Writes the pages and reads the archives back: payloads of the responses are decoded and
-    digested anew, revisits are read by their headers alone."""
+    """Writes the pages and reads the archives back in one scan of both types of records: payloads of
+    the responses are decoded and digested anew, revisits are read by their headers alone."""
     path = shared_dir(spark)
     archived(spark, pages, path, least)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    read = spark.read.format("warc").option("path", path)
-    full = read.load().where(F.col("record_type") == "response").mapInArrow(digested, "page_id long, payload_bytes long, payload_digest string")
-    again = read.option("payload", "false").load().where(F.col("record_type") == "revisit")
-    target = F.regexp_extract("refers_to", r"^<urn:page:(-?\d+)>$", 1).cast("long")
-    heads = again.select("page_id", "payload_bytes", F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), F.lit("revisit").alias("record_type"), target.alias("refers_to"))
-    return full.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).unionByName(heads)
+    with pushed_filters(spark):
+        both = spark.read.format("warc").option("path", path).load().where(F.col("record_type").isin("response", "revisit"))
+        read = stored(both.mapInArrow(digested, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to string"), spark)
+    return read.withColumn("refers_to", F.regexp_extract("refers_to", r"^<urn:page:(-?\d+)>$", 1).try_cast("long"))
+
+
+@contextmanager
+def pushed_filters(spark: SparkSession):
+    """Inside, Spark hands predicates to sources written in Python; after it the session is as before."""
+    name = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm import warc
 from tallyloom.llm.shared import shared_dir
 
-ROWS = [(1, "http://a/1", "<p>é</p>", 0), (2, "http://a/2", None, 0), (3, "http://a/3", "", 0), (5, None, "<p>é</p>", 0), (4, "http://a/4", "<p>é</p>", 0), (None, "http://a/n", "<p>é</p>", 0), (None, "http://n", "only here", 0), (9, "http://b/9", "x" * 300_000, 0), (1, "http://a/0", "<p>é</p>", 0), (10, "http://c", "a\r\n\r\nb", 0)]
+ROWS = [(1, "http://a/1", "<p>é</p>", 0), (2, "http://a/2", None, 0), (3, "http://a/3", "", 0), (5, None, "<p>é</p>", 0), (4, "http://a/4", "<p>é</p>", 0), (None, "http://a/n", "<p>é</p>", 0), (None, "http://n", "only here", 0), (9, "http://b/9", "x" * 300_000, 0), (1, "http://a/0", "<p>é</p>", 0), (10, "http://c", "a\r\n\r\nb", 0), (11, "http://d\r\n\r\nX-Page-ID: 3\t\x00", "odd url", 0)]
 
 
 @pytest.fixture(scope="module")
@@ -40,7 +40,13 @@ def test_smaller_payloads_are_all_responses(spark, pages):
 def test_predicates_reach_the_reader(spark, pages):
     path = shared_dir(spark)
     warc.archived(spark, pages, path)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    assert spark.conf.get(PUSHDOWN) == "false"
+    with warc.pushed_filters(spark):
+        reads(spark, path)
+    assert spark.conf.get(PUSHDOWN) == "false"
+
+
+def reads(spark, path):
     df = spark.read.format("warc").option("path", path).load()
     some = df.where((F.col("record_type") == "response") & F.col("target_uri").startswith("http://b"))
     assert [r["page_id"] for r in some.collect()] == [9]
@@ -51,6 +57,9 @@ def test_predicates_reach_the_reader(spark, pages):
     assert heads.where("payload is not null").count() == 0
 
 
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
+
+
 def members(rows, zipped=True):
     out = io.BytesIO()
     for kind, html in rows:
@@ -78,7 +87,8 @@ def test_others_read_our_files_and_failed_writes_are_not_read(spark, pages, tmp_
     files = list((tmp_path / "w").glob("*.warc.gz"))
     assert b"WARC/1.1\r\nWARC-Type: " in gzip.decompress(files[0].read_bytes())
     (tmp_path / "w" / "left-over.warc.gz").write_bytes(files[0].read_bytes())
-    assert spark.read.format("warc").option("path", path).load().count() == len(ROWS)
+    with warc.pushed_filters(spark):
+        assert spark.read.format("warc").option("path", path).load().count() == len(ROWS)
 
 
 def test_partitions_hold_files_up_to_their_size(tmp_path):
@@ -86,3 +96,23 @@ def test_partitions_hold_files_up_to_their_size(tmp_path):
         (tmp_path / f"{k}.warc").write_bytes(b"x" * 100)
     r = warc.WarcReader({"path": f"file://{tmp_path}", "target": "250"})
     assert [len(p.names) for p in r.partitions()] == [2, 2, 1]
+
+
+@pytest.mark.parametrize("zipped", [0, 1, 2])
+@pytest.mark.parametrize("bad", [b"WARC/1.1\r\nWARC-Type: response\r\n\r\nno length", b"WARC/1.1\r\nContent-Length: many\r\n\r\nx\r\n\r\n", b"no record at all\r\n\r\n"])
+def test_damaged_records_are_errors_or_skipped(zipped, bad):
+    good = warc.record({"WARC-Type": "response", "WARC-Target-URI": "u"}, b"HTTP/1.1 200 OK\r\n\r\nbody")
+    packed = warc.packed if zipped == 1 else gzip.compress if zipped else bytes
+    data = packed(good) + packed(bad) + (b"" if zipped else b"\r\n") + packed(good)
+    with pytest.raises(warc.Damaged):
+        list(warc.Records(io.BytesIO(data), bool(zipped)))
+    records = warc.Records(io.BytesIO(data), bool(zipped), skip=True)
+    assert [block()[-4:] for _, block in records] == [b"body"] * 2 and records.skipped == 1
+
+
+def test_members_that_are_cut_off():
+    data = warc.packed(warc.record({"WARC-Type": "response"}, b"x" * 90_000))
+    with pytest.raises(warc.Damaged):
+        [block() for _, block in warc.Records(io.BytesIO(data[:60]), True)]
+    with pytest.raises(warc.Damaged):
+        list(warc.Records(io.BytesIO(gzip.compress(b"nothing of the kind")), True))
