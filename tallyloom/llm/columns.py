@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+BYTES_AT_ONCE = 4 << 20
+
 
 def lowered(texts: pa.Array) -> pa.Array:
     """The texts with A-Z as a-z; null as empty. Bytes of other characters are 128 or more."""
@@ -29,3 +33,14 @@ def parted(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     if empty >= 0:  # comes before and after white space at a text's ends
         owner, code = owner[code != empty], code[code != empty]
     return flat.dictionary, code, np.bincount(owner, minlength=len(texts))
+
+
+def slices(batch: pa.RecordBatch, text: str, rows: int, size: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of so many rows at most, and of texts of about so many bytes or one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        before = ends[lo - 1] if lo else 0
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(lo, hi - lo)
+        lo = hi

@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import slices
 from .shared import stored
 from .tokens import encoder, ragged
 
@@ -55,8 +56,7 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, length: int, text: str, i
         end = np.array([end_id], enc.dtype)
         sequence = TaskContext.get().partitionId() << 40
         for b in batches:
-            for lo in range(0, b.num_rows, TEXTS_AT_ONCE):
-                part = b.slice(lo, TEXTS_AT_ONCE)
+            for part in slices(b, "text", TEXTS_AT_ONCE):
                 ids, sizes = enc.batch(part.column(1))
                 out = []
                 for doc_id, one in zip(part.column(0).to_pylist(), np.split(ids, np.cumsum(sizes)[:-1]), strict=True):

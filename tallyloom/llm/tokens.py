@@ -4,7 +4,8 @@ A text's ids are those of its parts one after another, if it is cut only where a
 it in any case: at white space, and between a letter and the punctuation after it. A batch of
 texts is cut and its distinct parts are found by Arrow; only parts that this worker hasn't met yet
 are encoded, many in one call. It keeps the ids of two generations of parts, and lets go of the
-older one when the younger has MOST_KEPT parts.
+older one when the younger has MOST_KEPT parts, some 15 MB. Callers give it a few MB of text at
+once (see columns.slices), so this bounds what a worker holds.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ import pyarrow.compute as pc
 
 from .columns import lowered
 
-MOST_KEPT = 400_000
+MOST_KEPT = 1 << 16
 TOGETHER = 64
 WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 LETTER, SIGN = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~"
-#: Stands between parts; texts that have it are encoded as they are.
+#: Stands between parts; texts that have it, or the string of an added token, are encoded as they are.
 CUT = "\x01"
 
 
@@ -40,7 +41,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes texts with a vocabulary file; special tokens' strings in a text are ordinary text.
+    """Encodes texts with a vocabulary file, without adding special tokens.
 
     leading_space: the vocabulary is byte-level and has a word's space at the word's start.
     Otherwise white space only parts words.
@@ -51,7 +52,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
-        self.tokenizer.encode_special_tokens = True
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.leading_space = leading_space
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.young: dict[str, bytes] = {}
@@ -94,28 +95,36 @@ class Encoder:
 
     def of_parts(self, parts: list[str]) -> list[bytes]:
         """The ids of each of these distinct parts."""
-        new = [x for x in parts if x not in self.young and x not in self.old]
-        if len(self.young) + len(new) > MOST_KEPT:
-            now = dict.fromkeys(parts)
-            self.old = self.young | {k: v for k, v in self.old.items() if k in now}
-            self.young = {}
-        self.young.update(zip(new, self.encoded(new), strict=True))
-        young, old = self.young, self.old
-        return [young.get(x) or old.get(x, b"") for x in parts]
+        out = [self.young.get(x) for x in parts]
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        new = []
+        for i in missing:
+            out[i] = self.old.get(parts[i])
+            if out[i] is None:
+                new.append(i)
+        for i, ids in zip(new, self.encoded([parts[i] for i in new]), strict=True):
+            out[i] = ids
+        if len(self.young) > MOST_KEPT:
+            self.old, self.young = self.young, {}
+        self.young.update((parts[i], out[i]) for i in missing[:MOST_KEPT])
+        return out
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each text has; null has none."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if self.leading_space:
             # two runs of white space on both sides of a space may belong together
-            odd = np.flatnonzero(pc.match_substring_regex(texts, rf"[{WHITE}] ([{WHITE}]|\z)|{CUT}").to_numpy(zero_copy_only=False))
+            odd = pc.match_substring_regex(texts, rf"[{WHITE}] ([{WHITE}]|\z)|{CUT}")
             cut = pc.replace_substring(texts, " ", f"{CUT} ")
             cut = pc.replace_substring_regex(cut, rf"([{LETTER}])([{SIGN}])", rf"\1{CUT}\2")
             cut = pc.replace_substring_regex(cut, rf"([^{WHITE}{CUT}]\n)([^{WHITE}{CUT}])", rf"\1{CUT}\2")
             parts = pc.split_pattern(cut, CUT)
         else:
-            odd = np.flatnonzero(pc.match_substring(texts, CUT).to_numpy(zero_copy_only=False))
+            odd = pc.match_substring(texts, CUT)
             parts = pc.ascii_split_whitespace(pc.replace_substring_regex(lowered(texts), rf"([{LETTER}])([{SIGN}])", r"\1 \2"))
+        for token in self.added:  # in any case, as parts may be lower-cased
+            odd = pc.or_(odd, pc.match_substring(texts, token, ignore_case=True))
+        odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         flat = parts.flatten().dictionary_encode()
         code = flat.indices.to_numpy().astype(np.int64)
         ends = parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()

@@ -6,11 +6,13 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tokenizers import Tokenizer
+
 from tallyloom.llm import token_files
-from tallyloom.llm.columns import lowered, parted
-from tallyloom.llm.tokens import Encoder, encoder
+from tallyloom.llm.columns import lowered, parted, slices
+from tallyloom.llm.tokens import Encoder, vocabulary
 
-ODD = [*"ab'stve 1 \n\t\r   é́\x1c\x0b !.#<|>ÀßİΣ漢​\x85\x01 ", "<|endoftext|>", "</w>", "'s", "\n\n", "a,", "É,", "É.", "≠", " \n", "x\n"]
+ODD = ["<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|>x", *"ab'stve 1 \n\t\r   é́\x1c\x0b !.#<|>ÀßİΣ漢​\x85\x01 ", "<|endoftext|>", "</w>", "'s", "\n\n", "a,", "É,", "É.", "≠", " \n", "x\n"]
 
 
 def texts(n):
@@ -23,7 +25,7 @@ def test_ids_are_those_of_the_whole_text(name, leading):
     e = Encoder(name, leading)
     t = texts(20_000)
     ids, sizes = e.batch(pa.array([None, *t]).slice(1))
-    want = [np.array(x.ids, e.dtype) for x in e.tokenizer.encode_batch_fast(t, add_special_tokens=False)]
+    want = [np.array(x.ids, e.dtype) for x in Tokenizer.from_file(vocabulary(name)).encode_batch(t, add_special_tokens=False)]
     assert sizes.tolist() == [len(x) for x in want] and np.array_equal(ids, np.concatenate(want))
 
 
@@ -37,6 +39,24 @@ def test_kept_ids_may_go(monkeypatch):
     assert len(e.young) + len(e.old) < 400
 
 
+@pytest.mark.parametrize("name,leading,token", [("byte_bpe_50k.json", True, "<|endoftext|>"), ("word_bpe_49k.json", False, "<|endoftext|>"), ("word_bpe_49k.json", False, "<|startoftext|>")])
+def test_added_tokens_are_one_id(name, leading, token):
+    plain = Tokenizer.from_file(vocabulary(name))
+    t = [token, f"a {token} b", f"a{token}b", f"{token}{token}", f"x.\n{token}\ny", token.upper(), token[:-1], f" {token} ", "none"]
+    ids, sizes = Encoder(name, leading).batch(pa.array(t))
+    want = [plain.encode(x, add_special_tokens=False).ids for x in t]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    assert want[0] == [plain.token_to_id(token)] and want[0][0] in want[2]
+
+
+def test_slices_hold_all_rows_and_few_bytes():
+    b = pa.RecordBatch.from_pydict({"text": ["a" * n for n in (5, 50, 0, 3, 3, 200)] + [None, "x"], "k": list(range(8))})
+    got = list(slices(b, "text", 3, 20))
+    assert [x for s in got for x in s.column("k").to_pylist()] == list(range(8))
+    assert all(s.num_rows <= 3 and (s.num_rows == 1 or sum(len(x or "") for x in s.column("text").to_pylist()) <= 20) for s in got)
+    assert list(slices(b.slice(0, 0), "text", 3)) == []
+
+
 def test_words_of_slices():
     t = [" É A b", None, "", "\x1cX\x0bY ", "Zz É"] * 3
     for lo in range(5):
@@ -51,7 +71,7 @@ def test_words_of_slices():
 
 def test_round_trip(spark, docs, rows, none):
     got = token_files.round_trip(spark, docs).collect()
-    t = encoder("word_bpe_49k.json", False).tokenizer
+    t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     ids = sorted(((r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""), [*t.encode(r[1] or "", add_special_tokens=False).ids, 1]) for r in rows)
     start, want = 0, []
     for key, x in ids:
