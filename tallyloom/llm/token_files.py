@@ -34,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .columns import slices
 from .shared import shared_dir, stored
 from .tokens import encoder
 
@@ -147,8 +148,7 @@ def written(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str, en
         where.create_dir(base)
         file, out, n_ids = f"{uuid4().hex}.tokens", None, 0
         for b in batches:
-            for lo in range(0, b.num_rows, TEXTS_AT_ONCE):
-                cut = b.slice(lo, TEXTS_AT_ONCE)
+            for cut in slices(b, "text", TEXTS_AT_ONCE):
                 ids, sizes = enc.batch(cut.column(1))
                 n_ids += len(ids) + len(sizes)
                 for doc_id, one in zip(cut.column(0).to_pylist(), np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
@@ -169,7 +169,7 @@ def written(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str, en
 
 
 def read(manifest: DataFrame, wanted: list[int] | None = None) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of the documents, or of those wanted, from the files."""
+    """doc_id, start, n_tokens and ids_crc32 of the documents, or of those wanted, from the files; a task for each file."""
 
     def docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,7 +181,8 @@ def read(manifest: DataFrame, wanted: list[int] | None = None) -> DataFrame:
                     crc = [zlib.crc32(r.document(int(i)).astype("<u4").tobytes()) for i in which]
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(r.doc_ids[which], pa.int64(), mask=r.null[which]), "start": pa.array(start + r.starts[which], pa.int64()), "n_tokens": pa.array(r.sizes[which], pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return manifest.select("file", "start").repartition(F.col("file")).mapInArrow(docs, READ)
+    files = manifest.select("file", "start")
+    return files.repartition(max(1, files.count()), "file").mapInArrow(docs, READ)
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1) -> DataFrame:
