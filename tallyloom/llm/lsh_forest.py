@@ -38,9 +38,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .columns import lowered, parted
+from .columns import lowered, parted, slices
 from .components import components
-from .shared import removed, shared_dir, stored
+from .shared import heavy_keys, removed, shared_dir, spread_join, stored
 
 TREES, DEPTH, ROOT = 16, 8, 3
 NEIGHBOURS = 64
@@ -104,8 +104,7 @@ def signed(docs: DataFrame, width: int, text: str, id_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, TEXTS_AT_ONCE):
-                cut = b.slice(lo, TEXTS_AT_ONCE)
+            for cut in slices(b, "text", TEXTS_AT_ONCE):
                 sets = shingle_sets(cut.column(2), width)
                 found = [signature(s) if len(s) else (None, None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([f[k] for f in found], pa.binary()) for k in range(3))], ["doc_id", "text_id", "n_shingles", "digest", "labels", "sketch"])
@@ -304,8 +303,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int, text: str, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, TEXTS_AT_ONCE):
-                cut = b.slice(lo, TEXTS_AT_ONCE)
+            for cut in slices(b, "text", TEXTS_AT_ONCE):
                 sets = shingle_sets(cut.column("text"), width)
                 fine = [bits_of(least_hashes(s, _FACTORS[BITS:])) for s in sets]
                 yield pa.RecordBatch.from_arrays([cut.column("node"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(fine, pa.binary())], ["node", "shingles", "sketch"])
@@ -320,7 +318,7 @@ def linked(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: flo
     neighbours and block change what the work costs, never the links.
     """
     rows = stored(signed(docs, width, text, id_col), spark)
-    alike = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"))
+    alike = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_rows"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"))
     nodes = stored(alike, spark)
     chosen = stored(likeliest(in_order(forest(nodes.where("node is not null"))), similarity, neighbours), spark)
     paths = [shared_dir(spark), shared_dir(spark)]
@@ -340,7 +338,8 @@ def linked(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: flo
     if more.limit(1).count():
         groups = components(spark, links.union(more))
     of = nodes.select("digest", "node").join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    out = rows.select("doc_id", "text_id", "n_shingles", "digest").join(of, "digest", "left")
+    heavy = heavy_keys(nodes, "digest", "n_rows", nodes.agg(F.sum("n_rows")).first()[0] or 0)
+    out = spread_join(rows.select("doc_id", "text_id", "n_shingles", "digest"), of, "digest", heavy)
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "text_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .columns import parted
+from .columns import parted, slices
 
 BITS, SAMPLE, EPOCHS, C = 18, 20_000, 8, 1.0
 TEXTS_AT_ONCE = 1024
@@ -168,8 +168,7 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", text: st
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in batches:
-            for lo in range(0, b.num_rows, TEXTS_AT_ONCE):
-                cut = b.slice(lo, TEXTS_AT_ONCE)
+            for cut in slices(b, "text", TEXTS_AT_ONCE):
                 idx, sizes = features(cut.column("text"), hashes, bits)
                 yield pa.RecordBatch.from_arrays([cut.column("doc_id"), cut.column("y"), pa.array([x.tobytes() for x in np.split(idx, np.cumsum(sizes)[:-1])], pa.binary())], ["doc_id", "y", "idx"])
 
@@ -196,8 +195,7 @@ def scored(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in batches:
-            for lo in range(0, b.num_rows, TEXTS_AT_ONCE):
-                cut = b.slice(lo, TEXTS_AT_ONCE)
+            for cut in slices(b, "text", TEXTS_AT_ONCE):
                 score = sent.value.scores(*features(cut.column("text"), hashes, bits))
                 yield pa.RecordBatch.from_arrays([cut.column("doc_id"), cut.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
