@@ -339,7 +339,7 @@ def linked(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: flo
         groups = components(spark, links.union(more))
     of = nodes.select("digest", "node").join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     heavy = heavy_keys(nodes, "digest", "n_rows", nodes.agg(F.sum("n_rows")).first()[0] or 0)
-    out = spread_join(rows.select("doc_id", "text_id", "n_shingles", "digest"), of, "digest", heavy)
+    out = spread_join(rows.select("doc_id", "text_id", "n_shingles", "digest"), of, "digest", heavy, nulls=True)
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "text_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 

@@ -69,19 +69,22 @@ def spread(rows: int, per_part: int, least: int = 1) -> int:
 SHARE = 1000
 
 
-def heavy_keys(counted: DataFrame, key: str, n: str, total: int) -> DataFrame:
+def heavy_keys(counted: DataFrame, key: str, n: str, total: int) -> list:
     """The keys with more than 1 / SHARE of `total` rows, so fewer than SHARE; counted has a key once and its rows n."""
-    return counted.where(F.col(n) * SHARE > total).select(key)
+    return [r[0] for r in counted.where(F.col(n) * SHARE > total).select(key).collect()]
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, heavy: list, nulls: bool = False) -> DataFrame:
     """left with the other columns of right, which has a key once; null where it lacks a row's key.
 
     Rows of heavy keys, of which there are fewer than SHARE, are answered by a broadcast and go to
-    the join under made-up keys, as rows with a null key do, so no task gets more rows of one key than heavy_keys() lets be.
+    the join under made-up keys, as rows with a null key do if `nulls` may be many. So no task gets
+    more rows of one key than heavy_keys() lets be.
     """
+    if not heavy and not nulls:
+        return left.join(right, key, "left")
     names = [c for c in right.columns if c != key]
-    few = right.join(F.broadcast(heavy), key, "left_semi").select(F.col(key).alias("_heavy"), *[F.col(c).alias(f"_heavy_{c}") for c in names])
+    few = right.where(F.col(key).isin(heavy)).select(F.col(key).alias("_heavy"), *[F.col(c).alias(f"_heavy_{c}") for c in names])
     made_up = F.xxhash64(F.monotonically_increasing_id()).cast("string").cast(left.schema[key].dataType)
     marked = left.join(F.broadcast(few), F.col(key) == F.col("_heavy"), "left").withColumn("_key", F.when(F.col("_heavy").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(made_up))
     other = right.select(F.col(key).alias("_right"), *[F.col(c).alias(f"_right_{c}") for c in names])

@@ -86,7 +86,9 @@ def test_one_of_each_group_stays(spark, family):
     assert {r["doc_id"] for r in kept.collect()} == set(by_hand(rows).values())
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr("tallyloom.llm.components.FEW", few)  # with 0 all keys are heavy
     r = random.Random(1)
     links = [(i, i + 1) for i in range(0, 40)] + [(r.randrange(100, 200), r.randrange(100, 200)) for _ in range(80)] + [(500, 501), (501, 500), (7, 7)]
     root = {}
@@ -104,3 +106,4 @@ def test_components(spark):
     got = {x["node"]: x["component"] for x in components(spark, spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: find(i) for a, b in links if a != b for i in (a, b)}
     assert components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark, spark.createDataFrame([(1, None), (None, 2), (3, 3)], "a long, b long")).count() == 0
