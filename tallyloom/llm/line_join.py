@@ -1,21 +1,27 @@
 """Line deduplication by an edit join over segments.
 
-Lines of at least `shortest` characters, without the white space around them, are linked when their
-edit distance is at most what the shorter one allows: `threshold`, but 1 below FULL characters and
-0 below ONE, where only equal lines are in a class. Links give classes; the first line of a class,
-by doc_id and line number, stays and the others go. Lines without words stay as they are.
-
-1. A line of l characters is cut into one segment more than it allows edits, and is in the index under each segment
-   with its number and l. Within the threshold at least one segment is left whole in the other
-   line, so every line probes the index for its own and the shorter lengths with those substrings,
-   and at those places only, that a segment can have moved to. Entries and probes are rows of a
-   hash, the line's id (a 64-bit hash), and 64 parities of its characters.
-2. Rows meet in a shuffle by hash. A run of equal hashes gives pairs of an entry and a probe whose
-   parities differ in at most 2 * threshold bits; more edits are certain otherwise. A run of more
-   than RUN rows is dealt anew by each of 2 * threshold + 1 parts of the parities: of two lines
-   that are near enough one part is equal. So no task holds a run, and no pair is lost.
-3. Candidates meet their texts in two joins and are verified by a banded bit-parallel automaton.
-4. Links give components; the classes' first lines come from partial minima.
+Lines, without the white space around them, are linked when few edits turn one into the other. The
+unit is the character where the line with fewer words has less than WORDS of them: one edit from
+ONE characters on, two from FULL, three from LONG; shorter lines are in a class only if equal. From
+WORDS words on the unit is the word, with an edit for each WORDS words, so a replaced word is one
+edit whatever its length. `threshold` is the most edits in either case. Links give classes; the
+first line of a class, by doc_id and line number, stays and the others go. Lines without words stay
+as they are.
+
+1. Lines are first reduced to one row for each text, by a 64-bit hash. All that follows works on these.
+2. A text of l units is cut into one segment more than it allows edits, and is in the index under
+   each segment with its number and l. Within the threshold at least one segment is left whole in
+   the other text, so every text probes the index for its own and the shorter lengths with those
+   stretches, and at those places only, that a segment can have moved to. Entries and probes are
+   rows of a hash, the text's id, and 59 parities of its units, of which an edit changes two at most.
+3. Rows meet in a shuffle by hash. A run of equal hashes gives pairs of an entry and a probe whose
+   parities are near enough. A run of more than RUN rows is dealt anew by parts of the parities, as
+   of two texts that are near enough one part is equal. A run that is still longer, such as that of
+   a template's lines, is cut into blocks of ROWS; each two blocks meet in a unit of their own. So
+   no task holds a run, and no pair is lost.
+4. Candidates meet their texts in two joins and are verified by a banded bit-parallel automaton.
+5. Links give components; the classes' first lines come from partial minima, and go back to the
+   lines in joins that spread the rows of frequent lines and of large classes.
 
 Nulls and other cases: a null text has no lines. Lines of documents with a null doc_id come after
 all others. Rows that repeat a doc_id, a line number and the line are the same line: all stay or
@@ -25,7 +31,7 @@ through. Texts and lines are read whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +39,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import parted, slices
 from .components import components
-from .shared import SPACES, removed, shared_dir, stored
+from .shared import SPACES, heavy_keys, removed, shared_dir, spread_join, stored
 
-THRESHOLD, SHORTEST = 2, 1
-ONE, FULL = 12, 25
-RUN = 256
-LINES_AT_ONCE = 1000
+THRESHOLD, SHORTEST = 3, 1
+ONE, FULL, LONG, WORDS = 12, 25, 96, 16
+RUN, ROWS = 256, 4096
+LINES_AT_ONCE = 1 << 14
 ENTRY, PROBE = 1, 2
-ROWS = "hash long, id long, role int, parity long"
+#: A mark holds BITS parities, then two bits of the role and two of the edits that the indexed length allows.
+BITS = 59
+INDEX = "hash long, id long, mark long"
 SEED = 42  # of Spark's xxhash64
+_FACTOR = 0x9E3779B97F4A7C15
+_BACK = np.uint64(pow(_FACTOR, -1, 1 << 64))
 
 
 def signed64(x: int) -> int:
@@ -54,9 +65,13 @@ def line_id(line: str) -> int:
     return signed64(xxhash.xxh64_intdigest(line, SEED))
 
 
-def allowed(length: int, threshold: int) -> int:
+def of_characters(length: int, threshold: int) -> int:
     """The edits that a line of this length may be away from one as long or longer."""
-    return threshold if length >= FULL else min(threshold, 1) if length >= ONE else 0
+    return min(threshold, (length >= ONE) + (length >= FULL) + (length >= LONG))
+
+
+def of_words(length: int, threshold: int) -> int:
+    return min(threshold, length // WORDS)
 
 
 def segments(length: int, threshold: int) -> list[tuple[int, int]]:
@@ -67,7 +82,7 @@ def segments(length: int, threshold: int) -> list[tuple[int, int]]:
     return [(sum(sizes[:k]), sizes[k]) for k in range(n)]
 
 
-def places(length: int, threshold: int) -> list[tuple[int, int, int, int, int]]:
+def places(length: int, threshold: int, allowed: Callable[[int, int], int]) -> list[tuple[int, int, int, int, int]]:
     """(indexed length, segment, begin, size, role) of all rows of a line of this length."""
     out = {}
     for l in range(max(length - threshold, 1), length + 1):
@@ -86,74 +101,93 @@ def places(length: int, threshold: int) -> list[tuple[int, int, int, int, int]]:
     return [(*where, role) for where, role in out.items()]
 
 
-def parities(lines: list[str]) -> np.ndarray:
-    """For each line 61 bits: bit c is the parity of how often characters of that residue occur. An edit changes two at most."""
-    out = []
-    for lo in range(0, len(lines), LINES_AT_ONCE):
-        part = lines[lo : lo + LINES_AT_ONCE]
-        chars = np.frombuffer("".join(part).encode("utf-32-le"), "<u4") % 61
-        owner = np.repeat(np.arange(len(part)), [len(x) for x in part])
-        odd = np.bincount(owner * 64 + chars, minlength=64 * len(part)).reshape(-1, 64).astype(np.uint8) & 1
-        out.append(np.packbits(odd, axis=1, bitorder="little").view("<i8")[:, 0])
-    return np.concatenate(out) if out else np.empty(0, np.int64)
-
-
-def index_rows(lines: DataFrame, threshold: int) -> DataFrame:
-    """Entries and probes of the lines; a task writes those of a line once for each batch."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def parities(units: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each line BITS bits: bit c is the parity of how often units of that residue occur."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    odd = np.bincount(owner * 64 + (units % np.uint64(BITS)).astype(np.int64), minlength=64 * len(sizes)).reshape(-1, 64).astype(np.uint8) & 1
+    return np.packbits(odd, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def rows_of(units: np.ndarray, sizes: np.ndarray, members: np.ndarray, allowed: Callable[[int, int], int], threshold: int, kind: int, known: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hash, line and mark of the members' entries and probes; the units of all lines come one after another."""
+    out = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64))]
+    begins, parity = np.cumsum(sizes) - sizes, parities(units, sizes)
+    with np.errstate(over="ignore"):
+        power, back = (np.cumprod(np.append(np.uint64(1), np.full(len(units), f, np.uint64))) for f in (np.uint64(_FACTOR), _BACK))
+        sums = np.append(np.uint64(0), np.cumsum(mixed(units + np.uint64(_FACTOR)) * power[:-1]))
+        for length in np.unique(sizes[members]).tolist():
+            if (kind, length) not in known:
+                found = places(length, threshold, allowed)
+                l, k, at, size, role = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else [np.empty(0, np.int64)] * 5
+                most = np.array([allowed(int(x), threshold) for x in l], np.uint64)
+                known[kind, length] = at, at + size, mixed(((l << 8 | k) << 2 | kind).astype(np.uint64)), role.astype(np.uint64) << np.uint64(BITS) | most << np.uint64(BITS + 2)
+            lo, hi, name, role = known[kind, length]
+            if not len(lo):
+                continue
+            lines = members[sizes[members] == length]
+            lo, hi = begins[lines, None] + lo, begins[lines, None] + hi
+            out.append((mixed((sums[hi] - sums[lo]) * back[lo] ^ name).ravel(), np.repeat(lines, len(name)), (parity[lines, None] | role).ravel()))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def index_rows(texts: DataFrame, threshold: int) -> DataFrame:
+    """Entries and probes of the texts (id, line)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, list] = {}
-        for b in batches:
-            hashes, roles, sizes = [], [], []
-            lines = b.column(0).unique().to_pylist()
-            for line in lines:
-                if len(line) not in known:
-                    known[len(line)] = [(f"{l},{k},", at, at + size, role) for l, k, at, size, role in places(len(line), threshold)]
-                rows = known[len(line)]
-                hashes += [digest(name + line[lo:hi]) for name, lo, hi, _ in rows]
-                roles += [r[3] for r in rows]
-                sizes.append(len(rows))
-            ids = np.repeat(np.array([line_id(x) for x in lines], np.int64), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(ids), pa.array(roles, pa.int32()), pa.array(np.repeat(parities(lines), sizes))], ["hash", "id", "role", "parity"])
-
-    digest = xxhash.xxh64_intdigest
-    return lines.select("line").mapInArrow(run, ROWS)
-
-
-def part_of(parity, k: int, threshold: int):
-    """The k-th of 2 * threshold + 1 parts of parities."""
-    width = -(-64 // (2 * threshold + 1))
-    return (parity >> k * width) & ((1 << width) - 1)
-
-
-def _pairs(hashes, ids, roles, parity, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+        known: dict = {}
+        for batch in batches:
+            for b in slices(batch, "line", LINES_AT_ONCE):
+                lines, ids = b.column("line").cast(pa.large_string()), b.column("id").to_numpy()
+                names, code, n_words = parted(lines)
+                words = np.array([xxhash.xxh64_intdigest(x) for x in names.to_pylist()], np.uint64)[code]
+                # an edit of a character makes a word more or less at most
+                few, many = np.flatnonzero(n_words < WORDS + threshold), np.flatnonzero(n_words >= WORDS)
+                text = lines.take(pa.array(few)).to_pylist()
+                chars = np.frombuffer("".join(text).encode("utf-32-le"), "<u4").astype(np.uint64)
+                n_chars = np.zeros(len(lines), np.int64)
+                n_chars[few] = [len(x) for x in text]
+                for found in (rows_of(chars, n_chars, few, of_characters, threshold, 1, known), rows_of(words, n_words, many, of_words, threshold, 2, known)):
+                    yield pa.RecordBatch.from_pydict({"hash": found[0].view(np.int64), "id": ids[found[1]], "mark": found[2].view(np.int64)})
+
+    return texts.select("id", "line").mapInArrow(run, INDEX)
+
+
+def _near(ids, marks, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the rows x and y of one hash are an entry and a probe of candidates."""
+    role = marks >> BITS & 3
+    meet = (role[x] & (role[y] >> 1) | role[y] & (role[x] >> 1)) & ENTRY
+    apart = np.bitwise_count((marks[x] ^ marks[y]) & ((1 << BITS) - 1))
+    return (meet > 0) & (ids[x] != ids[y]) & (apart <= 2 * (marks[x] >> (BITS + 2)))
+
+
+def _pairs(hashes, ids, marks) -> tuple[np.ndarray, np.ndarray]:
     """Ids of candidates among rows that are sorted by hash."""
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     at, k = np.arange(len(hashes)), 1
     while len(at):
         at = at[at + k < len(hashes)]
         at = at[hashes[at + k] == hashes[at]]
-        x, y = at, at + k
-        meet = (roles[x] & (roles[y] >> 1) | roles[y] & (roles[x] >> 1)) & ENTRY
-        for p in range(2 * threshold):  # of a pair that agrees in several parts only the first gives it
-            if not (roles[x] >> 2 > p).any():
-                break
-            meet &= ~((roles[x] >> 2 > p) & (part_of(parity[x], p, threshold) == part_of(parity[y], p, threshold)))
-        ok = (meet > 0) & (ids[x] != ids[y]) & (np.bitwise_count(parity[x] ^ parity[y]) <= 2 * threshold)
-        a.append(np.minimum(ids[x[ok]], ids[y[ok]]))
-        b.append(np.maximum(ids[x[ok]], ids[y[ok]]))
+        ok = at[_near(ids, marks, at, at + k)]
+        a.append(np.minimum(ids[ok], ids[ok + k]))
+        b.append(np.maximum(ids[ok], ids[ok + k]))
         k += 1
     return np.concatenate(a), np.concatenate(b)
 
 
-def candidates(rows: DataFrame, threshold: int, run_rows: int) -> DataFrame:
-    """a, b: pairs of ids; hash, id, role, parity: rows of longer runs, with a and b null. The run's
-    rows come sorted, so a task holds a batch and a short run at most."""
+def candidates(rows: DataFrame, run_rows: int) -> DataFrame:
+    """a, b: pairs of ids; hash, id, mark: rows of longer runs, with a and b null. The run's rows
+    come sorted, so a task holds a batch and a short run at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(cols: tuple, last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, long
-            hashes, ids, roles, parity = cols
+            hashes = cols[0]
             ends = np.flatnonzero(np.append(hashes[1:] != hashes[:-1], last)) + 1 if len(hashes) else np.empty(0, np.int64)
             whole = int(ends[-1]) if len(ends) else 0
             begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
@@ -166,17 +200,16 @@ def candidates(rows: DataFrame, threshold: int, run_rows: int) -> DataFrame:
                 long, deferred, whole = rest[0][0], np.append(deferred, np.ones(len(rest[0]), bool)), len(hashes)
                 rest = tuple(c[:0] for c in cols)
             held = rest
-            keep = ~deferred
-            a, b = _pairs(*(c[:whole][keep] for c in cols), threshold)
+            a, b = _pairs(*(c[:whole][~deferred] for c in cols))
             if len(a):
                 pair = np.unique(np.stack([a, b], 1), axis=0)
                 none = pa.nulls(len(pair), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), none, none, pa.nulls(len(pair), pa.int32()), none], names)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), none, none, none], names)
             if deferred.any():
                 none = pa.nulls(int(deferred.sum()), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, *(pa.array(c[:whole][deferred]) for c in cols)], names)
 
-        names = ["a", "b", "hash", "id", "role", "parity"]
+        names = ["a", "b", "hash", "id", "mark"]
         held, long = None, None
         for batch in batches:
             cols = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
@@ -187,23 +220,46 @@ def candidates(rows: DataFrame, threshold: int, run_rows: int) -> DataFrame:
             yield from out(held, True)
 
     ordered = rows.repartition(F.col("hash")).sortWithinPartitions("hash", "id")
-    return ordered.mapInArrow(run, f"a long, b long, {ROWS}")
-
-
-def dealt_anew(rows: DataFrame, threshold: int) -> DataFrame:
-    """The rows of long runs, each once for each part of its parities; the part's number is above the role's two bits."""
-    n = 2 * threshold + 1
-    width = -(-64 // n)
-    one = lambda k: F.xxhash64("hash", F.lit(k), F.shiftright("parity", k * width).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
-    parts = F.explode(F.array(*[F.struct(one(k).alias("hash"), F.lit(k * 4).alias("part")) for k in range(n)]))
-    return rows.select(parts.alias("p"), "id", "role", "parity").select("p.hash", "id", (F.col("role") + F.col("p.part")).alias("role"), "parity")
-
-
-def within(a: str, b: str, threshold: int) -> bool:
-    """Whether the edit distance of a and b is at most the threshold.
-
-    After j characters of b bit i of at[e] says that j - threshold + i characters of a have been
-    matched with e edits. The band of 2 * threshold + 1 bits moves with j.
+    return ordered.mapInArrow(run, f"a long, b long, {INDEX}")
+
+
+def dealt_anew(rows: DataFrame) -> DataFrame:
+    """The rows of long runs, each once for each of 2 * edits + 1 parts of its parities."""
+    parts = rows.withColumn("n", F.shiftright("mark", BITS + 2) * 2 + 1).withColumn("width", F.expr(f"cast(ceil({BITS} / n) as int)"))
+    each = parts.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    part = F.expr(f"shiftright(mark & {(1 << BITS) - 1}L, k * width) & (shiftleft(1L, width) - 1)")
+    return each.select(F.xxhash64("hash", "k", part).alias("hash"), "id", "mark")
+
+
+def in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """a, b: candidates of runs of any length; each two blocks of a run are a group of their own."""
+
+    def run(t: pa.Table) -> pa.Table:
+        side, ids, marks = (t.column(c).to_numpy() for c in ("side", "id", "mark"))
+        left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for j in right:
+            i = left if side[j] == 2 else left[:j]
+            i = i[_near(ids, marks, i, np.full(len(i), j))]
+            a.append(np.minimum(ids[i], ids[j]))
+            b.append(np.maximum(ids[i], ids[j]))
+        pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+        return pa.table({"a": pair[:, 0], "b": pair[:, 1]})
+
+    sized = rows.join(rows.groupBy("hash").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "hash")
+    own = sized.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # side 0 and 2: the blocks of a unit; 1: the only block of a unit
+    side = F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2)
+    units = each.select("hash", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side.alias("side"), "id", "mark")
+    return units.groupBy("hash", "x", "y").applyInArrow(run, "a long, b long")
+
+
+def within(a, b, threshold: int) -> bool:
+    """Whether the edit distance of the sequences a and b is at most the threshold.
+
+    After j units of b bit i of at[e] says that j - threshold + i units of a have been matched with
+    e edits. The band of 2 * threshold + 1 bits moves with j.
     """
     if abs(len(a) - len(b)) > threshold:
         return False
@@ -215,7 +271,7 @@ def within(a: str, b: str, threshold: int) -> bool:
         hi += 1
     a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
     band = (1 << 2 * threshold + 1) - 1
-    where: dict[str, int] = {}
+    where: dict = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i + threshold
     inside = ((1 << len(a) + 1) - 1) << threshold
@@ -232,32 +288,51 @@ def within(a: str, b: str, threshold: int) -> bool:
     return any(r >> len(a) - len(b) + threshold & 1 for r in at)
 
 
+def linked(a: str, b: str, threshold: int) -> bool:
+    """Whether the lines are near enough."""
+    x, y = a.encode().split(), b.encode().split()
+    if (few := min(len(x), len(y))) >= WORDS:
+        return within(x, y, of_words(few, threshold))
+    return within(a, b, of_characters(min(len(a), len(b)), threshold))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """Those of the pairs a, b whose lines are near enough; texts: id, line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = [within(x, y, allowed(min(len(x), len(y)), threshold)) for x, y in zip(b.column("of_a").to_pylist(), b.column("of_b").to_pylist(), strict=True)]
+            near = [linked(x, y, threshold) for x, y in zip(b.column("of_a").to_pylist(), b.column("of_b").to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    sided = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"of_{c}")).hint("merge")
+    sided = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"of_{c}"))
     return pairs.join(sided("a"), "a").join(sided("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def links(spark: SparkSession, lines: DataFrame, threshold: int, run_rows: int = RUN) -> DataFrame:
-    """a, b: ids of lines within the threshold of each other; each pair once. lines: id, line."""
-    path = shared_dir(spark)
-    found = stored(candidates(index_rows(lines, threshold), threshold, run_rows), spark, path)
-    pairs = found.where("a is not null").select("a", "b")
-    late = found.where("a is null").select("hash", "id", "role", "parity")
-    if late.limit(1).count():
-        again = candidates(dealt_anew(late, threshold), threshold, 1 << 62)
-        pairs = pairs.union(again.select("a", "b"))
+def links(spark: SparkSession, texts: DataFrame, threshold: int = THRESHOLD, run_rows: int = RUN, block: int = ROWS) -> DataFrame:
+    """a, b: ids of lines that are near enough; each pair once. texts: id, line, each text once.
+
+    run_rows and block change what the work costs, never the links.
+    """
+    late = index_rows(texts, threshold)
+    found, paths = [], []
+    for k in range(2):
+        paths.append(shared_dir(spark))
+        all_ = stored(candidates(late if k == 0 else dealt_anew(late), run_rows), spark, paths[-1])
+        found.append(all_.where("a is not null").select("a", "b"))
+        late = all_.where("a is null").select("hash", "id", "mark")
+        if not late.limit(1).count():
+            break
+    else:
+        found.append(in_blocks(late, block))
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.union(more)
     pairs = stored(pairs.distinct(), spark)
-    removed(spark, path)
+    for path in paths:
+        removed(spark, path)
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = stored(lines.join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), spark)
-    return stored(verified(pairs, texts, threshold), spark)
+    some = stored(texts.join(wanted, "id", "left_semi"), spark)
+    return stored(verified(pairs, some, threshold), spark)
 
 
 def trimmed(c: Column) -> Column:
@@ -274,17 +349,18 @@ def classes(spark: SparkSession, docs: DataFrame, threshold: int, shortest: int,
     """doc_id, line_no, id, n_links (other texts linked with the line), first (doc_id and line_no of the first line
     of its class) and stays of each line that takes part."""
     lines = line_rows(docs, shortest, text, id_col)
-    found = links(spark, lines.select("id", "line"), threshold)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
+    texts = stored(lines.groupBy("id").agg(F.first("line").alias("line"), F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), spark)
+    found = links(spark, texts.select("id", "line"), threshold)
     degree = found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     known = components(spark, found).withColumnRenamed("node", "id").join(degree, "id", "left")
-    rows = stored(lines.select("doc_id", "line_no", "id"), spark)
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
-    # first by text, so that a very common line is one row in the joins
-    by_text = rows.groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).join(known, "id", "left")
-    by_text = by_text.select("id", "first", "n", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "id").alias("class"))
-    by_class = by_text.groupBy("class").agg(F.min("first").alias("class_first"), F.sum("n").alias("class_n"))
-    several = by_text.drop("first", "n").join(by_class.where("class_n > 1"), "class").select("id", "n_links", "class_first")
-    out = rows.join(several, "id", "left")
+    by_text = texts.select("id", "first", "n").join(known, "id", "left")
+    by_text = by_text.select("id", "first", "n", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "id").alias("class")).where("n > 1 or n_links > 0")
+    by_class = stored(by_text.groupBy("class").agg(F.min("first").alias("class_first"), F.count(F.lit(1)).alias("n_texts")), spark)
+    large = heavy_keys(by_class, "class", "n_texts", by_class.agg(F.sum("n_texts")).first()[0] or 0)
+    several = spread_join(by_text.select("id", "n_links", "class"), by_class.select("class", "class_first"), "class", large).drop("class")
+    frequent = heavy_keys(texts, "id", "n", texts.agg(F.sum("n")).first()[0] or 0)
+    out = spread_join(lines.select("doc_id", "line_no", "id"), stored(several, spark), "id", frequent)
     first = F.coalesce("class_first", place)
     return out.select("doc_id", "line_no", "id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), first.alias("first"), (first == place).alias("stays"))
 

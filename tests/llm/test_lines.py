@@ -27,29 +27,73 @@ def test_automaton_is_the_edit_distance():
             assert L.within(x, y, k) == (distance(x, y) <= k)
 
 
+def near(x, y, threshold=3):
+    """The rule of linked(), with a plain edit distance."""
+    a, b = x.encode().split(), y.encode().split()
+    if min(len(a), len(b)) >= 16:
+        return distance(a, b) <= min(threshold, min(len(a), len(b)) // 16)
+    n = min(len(x), len(y))
+    most = min(threshold, 0 if n < 12 else 1 if n < 25 else 2 if n < 96 else 3)
+    return abs(len(x) - len(y)) <= most and distance(x, y) <= most
+
+
+def joined(spark, lines, **more):
+    """The ids of all near pairs by brute force, and what links() gives."""
+    df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("id", F.xxhash64("line"))
+    ids = {r["line"]: r["id"] for r in df.collect()}
+    assert all(L.line_id(x) == i for x, i in ids.items())
+    want = {tuple(sorted((ids[x], ids[y]))) for i, x in enumerate(lines) for y in lines[:i] if near(x, y)}
+    got = [(r["a"], r["b"]) for r in L.links(spark, df, **more).collect()]
+    assert len(got) == len(set(got))
+    return want, set(got)
+
+
 @pytest.fixture(scope="module")
 def lines():
     r = random.Random(4)
-    base = ["".join(r.choice("abcdefgh ") for _ in range(r.randint(26, 40))).strip() for _ in range(100)]
+    base = ["".join(r.choice("abcdefgh ") for _ in range(r.randint(26, 40))).strip() for _ in range(80)]
+    base += ["".join(r.choice("abcdefghijk") for _ in range(r.randint(90, 100))) for _ in range(20)]
 
     def changed(x):
-        for _ in range(r.randint(0, 3)):
+        for _ in range(r.randint(0, 4)):
             p = r.randrange(len(x))
-            x = r.choice([x[:p] + r.choice("abxyé") + x[p:], x[:p] + x[p + 1 :], x[:p] + r.choice("abxy") + x[p + 1 :]])
+            x = r.choice([x[:p] + r.choice("abxyé") + x[p:], x[:p] + x[p + 1 :], x[:p] + r.choice("abxy ") + x[p + 1 :]])
         return x
 
     out = base + [changed(r.choice(base)) for _ in range(200)] + [f"one common beginning of number {i:03d} and one common end" for i in range(60)]
-    return sorted({x.strip() for x in out if len(x.strip()) >= 25})
+    return sorted({x.strip() for x in out if x.strip()})
 
 
-@pytest.mark.parametrize("run_rows", [256, 8])
-def test_join_finds_every_pair_once(spark, lines, run_rows):
-    df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("id", F.xxhash64("line"))
-    ids = {r["line"]: r["id"] for r in df.collect()}
-    assert all(L.line_id(x) == i for x, i in ids.items())
-    want = {tuple(sorted((ids[x], ids[y]))) for i, x in enumerate(lines) for y in lines[:i] if abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2}
-    got = [(r["a"], r["b"]) for r in L.links(spark, df, 2, run_rows).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+@pytest.mark.parametrize("run_rows,block", [(256, 4096), (8, 5), (2, 64)])
+def test_join_finds_every_pair_once(spark, lines, run_rows, block):
+    want, got = joined(spark, lines, run_rows=run_rows, block=block)
+    assert got == want and len(want) > 500
+
+
+def test_lines_with_replaced_words(spark):
+    r = random.Random(8)
+    words = [f"{w}{k}" for w in ("one", "another", "extraordinary") for k in range(60)]
+
+    def changed(x, n):
+        x = list(x)
+        for _ in range(n):
+            p = r.randrange(len(x))
+            x[p : p + 1] = r.choice([[r.choice(words)], [], [x[p], r.choice(words)]])
+        return x
+
+    base = [[r.choice(words) for _ in range(n)] for n in (14, 15, 16, 17, 18, 19, 31, 32, 33, 47, 48, 60, 200) for _ in range(2)]
+    lines = sorted({" ".join(changed(b, n)) for b in base for n in (0, 1, 1, 2, 2, 3, 4)})
+    want, got = joined(spark, lines)
+    assert got == want and len(want) > 60
+    x = base[20]  # 48 words or more: three replaced words, of any length, still link
+    assert L.linked(" ".join(x), " ".join(["extraordinarily", *x[1:20], "new", *x[21:-1], "last"]), 3)
+
+
+def test_a_template_of_many_lines(spark):
+    """All lines share all segments but one: the run is long in every part of the parities."""
+    lines = [f"Order {i:05d} was sent to the customer" for i in range(0, 3000, 7)]
+    want, got = joined(spark, lines, run_rows=16, block=50)
+    assert got == want and len(want) > 1000
 
 
 def by_hand(rows):
@@ -68,18 +112,18 @@ def by_hand(rows):
             t = root[t]
         return t
 
-    near = Counter()
+    n_links = Counter()
     for i, x in enumerate(texts):
         for y in texts[:i]:
-            if abs(len(x) - len(y)) <= 2 and len(x) < 2000 and distance(x, y) <= 2:
-                near[x] += 1
-                near[y] += 1
+            if max(len(x), len(y)) < 3000 and near(x, y):
+                n_links[x] += 1
+                n_links[y] += 1
                 root[find(x)] = find(y)
     first = {}
     for p in part:
         c = find(p[3])
         first[c] = min(first.get(c, p[:3]), p[:3])
-    return part, {t: first[find(t)] for t in texts}, near
+    return part, {t: first[find(t)] for t in texts}, n_links
 
 
 @pytest.fixture(scope="module")
@@ -126,12 +170,9 @@ def test_texts_without_repeats(spark, documents, none):
 def test_short_lines_are_joined_by_their_length(spark):
     r = random.Random(6)
     base = ["".join(r.choice("abc ") for _ in range(n)).strip() for n in range(4, 30) for _ in range(12)]
-    some = {x for b in base for x in (b, b[:-1], b + "d", b[:2] + "e" + b[3:], "x" + b[:-1] + "y") if x}
-    df = spark.createDataFrame([(x,) for x in sorted(some)], "line string").withColumn("id", F.xxhash64("line"))
-    ids = {x: L.line_id(x) for x in some}
-    most = lambda x, y: (n := min(len(x), len(y))) and (2 if n >= 25 else 1 if n >= 12 else 0)
-    want = {tuple(sorted((ids[x], ids[y]))) for x in some for y in some if x < y and abs(len(x) - len(y)) <= 2 and distance(x, y) <= most(x, y)}
-    assert want and {(p["a"], p["b"]) for p in L.links(spark, df, 2).collect()} == want
+    some = {x.strip() for b in base for x in (b, b[:-1], b + "d", b[:2] + "e" + b[3:], "x" + b[:-1] + "y") if x.strip()}
+    want, got = joined(spark, sorted(some))
+    assert want and got == want
 
 
 def test_repeats_of_short_lines_go(spark):
