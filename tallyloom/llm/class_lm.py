@@ -12,7 +12,7 @@
 4. Pairs of neighbouring units are counted over all training documents. Their number is bounded by
    the square of the units, so is what one task gets for the exchange clustering: each of the top
    words moves to the class that most raises the classes' mutual information, again and again
-   until at most STILL of them move or `sweeps` are over. Then every other word seen `enough` times goes to
+   until a sweep raises it by less than STILL of itself or `sweeps` are over. Then every other word seen `enough` times goes to
    the class that most raises it, by the classes before and after the word, which are counted over
    all training documents; a bucket's task does so for its words, all at once, in rounds until at
    most SETTLED of them move, the mutual information grows by less than GAIN of itself, or ROUNDS
@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,19 +48,32 @@ from .shared import removed, shared_dir, spread, stored
 BLOCK = 16 << 20
 BUCKET_WORDS, BUCKETS = 1 << 20, 32  # words of all blocks in a bucket, and the least number of buckets
 TOP, CLASSES, SWEEPS = 2048, 64, 30  # the least of the first two; a bound that ends what does not settle
-ENOUGH, ROUNDS, SETTLED, GAIN, STILL = 10, 4, 0.02, 0.01, 0.01
+ENOUGH, ROUNDS, SETTLED, GAIN, STILL = 10, 3, 0.02, 0.01, 0.002
 BANDS = 62
 PRIOR = 2.0
 AT_ONCE = 1 << 21  # numbers in an array of classes by neighbours
 END_HASH = np.uint64(xxhash.xxh64_intdigest(b""))  # no word is empty
-BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, tokens binary, hashes binary, trained binary, n_words long"
-READY = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, tokens binary, hashes binary, counts binary"
+PARTS = 32  # ranges of unit pairs that are summed apart
+BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, tokens binary, order binary, hashes binary, trained binary, n_words long"
+READY = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, n_known array<long>, base array<double>, log_counts array<double>, tokens binary, unit binary, movable binary, words binary, end int"
 ANSWERS = "block long, bucket int, data binary, words binary, tokens long, types long, once long, twice long"
 NEAR = "bucket int, block long, words binary, was binary, size binary, keys binary, n binary"
 CLASSED = "block long, bucket int, data binary, n long, moved long"
+PAIRS = "part int, codes binary, n binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def packed(x: np.ndarray) -> bytes:
+    """An array as compressed bytes, its numbers' first bytes first."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(data: bytes, dtype: str) -> np.ndarray:
+    planes, width = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), np.dtype(dtype).itemsize
+    return np.ascontiguousarray(planes.reshape(width, len(planes) // width).T).ravel().view(dtype)
+
+
 def held_out(id_col: str, rest: int = 1, of: int = 5) -> Column:
     """Whether crc32 of the id as text leaves this rest; a null id never does."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % of == rest, F.lit(False))
@@ -86,10 +100,13 @@ def blocks(docs: DataFrame, text: str, id_col: str) -> DataFrame:
         hashes, tokens, sizes = tokenized(t.column("text").combine_chunks() if t.num_rows else pa.array([], pa.string()))
         held = t.column("held").to_pylist()
         trained = np.bincount(tokens[np.repeat(~np.array(held, bool), sizes)], minlength=len(hashes))
+        order = np.argsort(-np.bincount(tokens, minlength=len(hashes)), kind="stable")  # small numbers for frequent words
+        rank = np.empty(len(order), "<u4")
+        rank[order] = np.arange(len(order))
         return pa.RecordBatch.from_pydict({
             "block": [block], "doc_ids": pa.array([t.column("doc_id").to_pylist()], pa.list_(pa.int64())), "held": [held],
-            "sizes": pa.array([sizes], pa.list_(pa.int32())), "tokens": [tokens.astype("<u4").tobytes()],
-            "hashes": [hashes.tobytes()], "trained": [trained.astype("<u4").tobytes()], "n_words": [len(hashes)],
+            "sizes": pa.array([sizes], pa.list_(pa.int32())), "tokens": [packed(rank[tokens])], "order": [packed(order.astype("<u4"))],
+            "hashes": [hashes.tobytes()], "trained": [packed(trained.astype("<u4"))], "n_words": [len(hashes)],
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,13 +142,10 @@ def cut(ends: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
             yield bucket, *(x[lo:hi] for x in arrays)
 
 
-def joined(column: pa.ChunkedArray, dtype: str) -> np.ndarray:
-    """The arrays of a binary column, one after another."""
-    return np.frombuffer(b"".join(x or b"" for x in column.to_pylist()), dtype)
-
-
-def sizes_of(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    return np.array([len(x or b"") // width for x in column.to_pylist()], np.int64)
+def joined(column: pa.ChunkedArray, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """The packed arrays of a column, one after another, and where they end."""
+    arrays = [unpacked(x, dtype) for x in column.to_pylist()]
+    return np.concatenate([np.empty(0, dtype), *arrays]), np.cumsum([len(x) for x in arrays], dtype=np.int64)
 
 
 def counted(of: DataFrame, buckets: int) -> DataFrame:
@@ -141,18 +155,19 @@ def counted(of: DataFrame, buckets: int) -> DataFrame:
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, h, n in zip(*(b.column(c).to_pylist() for c in ("block", "hashes", "trained")), strict=True):
-                h, n = np.frombuffer(h, "<u8"), np.frombuffer(n, "<u4")
-                rows = [(k, x.tobytes(), y.tobytes()) for k, x, y in cut(bucket_ends(h, buckets), h, n)]
+                h, n = np.frombuffer(h, "<u8"), unpacked(n, "<u4")
+                rows = [(k, packed(x), packed(y)) for k, x, y in cut(bucket_ends(h, buckets), h, n)]
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": [block] * len(rows), "hashes": [r[1] for r in rows], "trained": [r[2] for r in rows]})
 
     def count(t: pa.Table) -> pa.Table:
-        word, at = np.unique(joined(t.column("hashes"), "<u8"), return_inverse=True)
-        n = np.bincount(at, joined(t.column("trained"), "<u4"), len(word)).astype(np.int64)
-        each, bucket, is_end = np.cumsum(sizes_of(t.column("hashes"), 8))[:-1], t.column("bucket")[0].as_py(), word == END_HASH
+        words, ends = joined(t.column("hashes"), "<u8")
+        word, at = np.unique(words, return_inverse=True)
+        n = np.bincount(at, joined(t.column("trained"), "<u4")[0], len(word)).astype(np.int64)
+        each, bucket, is_end = ends[:-1], t.column("bucket")[0].as_py(), word == END_HASH
         known, rows, zero = n > 0, t.num_rows, [0] * t.num_rows
         return pa.table({
             "block": pa.array([*t.column("block").to_pylist(), None], pa.int64()), "bucket": pa.array([bucket] * (rows + 1), pa.int32()),
-            "data": [*(x.tobytes() for x in np.split(n[at], each)), n[known].tobytes()], "words": [*[None] * rows, word[known].tobytes()],
+            "data": [*(packed(x) for x in np.split(n[at], each)), packed(n[known])], "words": [*[None] * rows, packed(word[known])],
             "tokens": [*zero, int(n.sum())], "types": [*zero, int(known.sum())], "once": [*zero, int(((n == 1) & ~is_end).sum())], "twice": [*zero, int(((n == 2) & ~is_end).sum())],
         })
 
@@ -165,7 +180,7 @@ def most_frequent(dictionaries: DataFrame, top: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for word, n in zip(b.column("words").to_pylist(), b.column("data").to_pylist(), strict=True):
-                word, n = np.frombuffer(word, "<u8"), np.frombuffer(n, "<i8")
+                word, n = unpacked(word, "<u8"), unpacked(n, "<i8")
                 best = np.lexsort((word, -n))[: top + 1]
                 best = best[word[best] != END_HASH]
                 yield pa.RecordBatch.from_pydict({"word": word[best].view(np.int64), "c": n[best]})
@@ -173,16 +188,6 @@ def most_frequent(dictionaries: DataFrame, top: int) -> DataFrame:
     return dictionaries.select("words", "data").mapInArrow(run, "word long, c long").orderBy(F.desc("c"), "word").limit(top)
 
 
-def with_counts(of: DataFrame, answers: DataFrame) -> DataFrame:
-    """The blocks with their words' counts."""
-
-    def run(got: pa.Table, block: pa.Table) -> pa.Table:
-        counts = joined(got.sort_by("bucket").column("data"), "<i8")
-        return block.drop_columns(["trained", "n_words"]).append_column("counts", pa.array([counts.tobytes()], pa.binary()))
-
-    return answers.select("block", "bucket", "data").groupBy("block").cogroup(of.groupBy("block")).applyInArrow(run, READY)
-
-
 @dataclass(frozen=True)
 class Counts:
     """What is known of all training tokens; words: hashes of the top words, the most frequent first."""
@@ -221,29 +226,55 @@ class Counts:
         return out
 
 
+def with_units(of: DataFrame, answers: DataFrame, counts: Counts, enough: int) -> DataFrame:
+    """The blocks with their words' units, the hashes of the words that get a class in rounds, and the sums of
+    each document that need its words' counts."""
+
+    def run(got: pa.Table, block: pa.Table) -> pa.Table:
+        row = block.to_pylist()[0]
+        n, _ = joined(got.sort_by("bucket").column("data"), "<i8")
+        hashes, order, tokens = np.frombuffer(row["hashes"], "<u8"), unpacked(row["order"], "<u4"), unpacked(row["tokens"], "<u4")
+        unit, sizes = counts.units(hashes, n), np.array(row["sizes"], np.int64)
+        rank = np.empty(len(order), "<u4")
+        rank[order] = np.arange(len(order))
+        movable = np.flatnonzero((n >= enough) & (unit >= len(counts.words)) & (hashes != END_HASH))
+        begins = np.cumsum(sizes) - sizes
+        each = lambda v: np.add.reduceat(v[order][tokens], begins)  # noqa: E731  every document has an end token
+        lists = {"n_known": (each((n > 0).astype(np.int64)), pa.int64()), "base": (each(np.log10(n + 0.5)), pa.float64()), "log_counts": (each(np.log10(np.maximum(n, 1))), pa.float64())}
+        return pa.table({
+            **{c: block.column(c) for c in ("block", "doc_ids", "held", "sizes")}, **{c: pa.array([x], pa.list_(kind)) for c, (x, kind) in lists.items()},
+            "tokens": block.column("tokens"), "unit": [packed(unit[order].astype("<u2"))], "movable": [packed(rank[movable])], "words": [hashes[movable].tobytes()],
+            "end": pa.array([int(rank[np.searchsorted(hashes, END_HASH)])], pa.int32()),
+        })
+
+    return answers.select("block", "bucket", "data").groupBy("block").cogroup(of.drop("trained", "n_words").groupBy("block")).applyInArrow(run, READY)
+
+
 class Block:
-    """A block's arrays; classes: what classed() has for it, or none."""
+    """A block's arrays; classes: what assigned() has for it, or none."""
 
-    def __init__(self, row: dict, counts: Counts, enough: int, classes: pa.Table | None = None):
-        self.hashes, self.n = np.frombuffer(row["hashes"], "<u8"), np.frombuffer(row["counts"], "<i8")
-        self.tokens, self.sizes = np.frombuffer(row["tokens"], "<u4"), np.array(row["sizes"], np.int64)
+    def __init__(self, row: dict, counts: Counts, classes: pa.Table | None = None):
+        self.block, self.end = row["block"], row["end"]
+        self.tokens, self.sizes = unpacked(row["tokens"], "<u4"), np.array(row["sizes"], np.int64)
         self.train = np.repeat(~np.array(row["held"], bool), self.sizes)
-        self.unit = counts.units(self.hashes, self.n)
-        self.movable = np.flatnonzero((self.n >= enough) & (self.unit >= len(counts.words)) & (self.hashes != END_HASH))
+        self.unit, self.movable, self.words = unpacked(row["unit"], "<u2").astype(np.int64), unpacked(row["movable"], "<u4"), np.frombuffer(row["words"], "<u8")
         if classes is not None and classes.num_rows:
-            self.unit[self.movable] = counts.class_unit + joined(classes.sort_by("bucket").column("data"), "<i2")
+            self.unit[self.movable] = counts.class_unit + joined(classes.sort_by("bucket").column("data"), "<i2")[0]
 
     def before(self) -> np.ndarray:
         """The token before each token; a text's last one is the end, too."""
-        end = np.searchsorted(self.hashes, END_HASH).astype(self.tokens.dtype)
-        return np.append(end, self.tokens[:-1])
+        return np.append(np.array([self.end], self.tokens.dtype), self.tokens[:-1])
 
+    def pairs(self) -> np.ndarray:
+        """Each pair of neighbouring units of the training documents as a number."""
+        return self.unit[self.before()[self.train]] << 16 | self.unit[self.tokens[self.train]]
 
-def neighbours(b: Block, block: int, every: np.ndarray, total: int, buckets: int) -> pa.RecordBatch:
-    """A row for each bucket, with the block's movable words there: their classes (was) and how often (n) class key
-    follows, class key - total comes before, or, for key 2 * total, the word follows itself; size: the keys of each word."""
+
+def neighbours(b: Block, every: np.ndarray, total: int, buckets: int) -> list[tuple]:
+    """A row of NEAR for each bucket, with the block's movable words there: their classes (was) and how often (n) class
+    key follows, class key - total comes before, or, for key 2 * total, the word follows itself; size: the keys of each word."""
     kind, width = every[b.unit], 2 * total + 1
-    place = np.full(len(b.hashes), -1)
+    place = np.full(len(b.unit), -1)
     place[b.movable] = np.arange(len(b.movable))
     x, y = b.before()[b.train], b.tokens[b.train]
     px, py, kx, ky = place[x], place[y], kind[x], kind[y]
@@ -253,13 +284,18 @@ def neighbours(b: Block, block: int, every: np.ndarray, total: int, buckets: int
     size = np.bincount(codes // width, minlength=len(b.movable))
     end = np.append(0, np.cumsum(size))
     keys, n = (codes % width).astype("<u2"), n.astype("<u4")
-    words, was, size = b.hashes[b.movable], kind[b.movable].astype("<i2"), size.astype("<u4")
+    was, size = kind[b.movable].astype("<i2"), size.astype("<u4")
     rows = []
-    for bucket, at in cut(bucket_ends(words, buckets), np.arange(len(words))):
+    for bucket, at in cut(bucket_ends(b.words, buckets), np.arange(len(b.words))):
         lo, hi = at[0], at[-1] + 1
-        rows.append((bucket, words[lo:hi].tobytes(), was[lo:hi].tobytes(), size[lo:hi].tobytes(), keys[end[lo] : end[hi]].tobytes(), n[end[lo] : end[hi]].tobytes()))
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array([block] * len(rows), pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "block", "words", "was", "size", "keys", "n"])
+        rows.append((bucket, b.block, packed(b.words[lo:hi]), packed(was[lo:hi]), packed(size[lo:hi]), packed(keys[end[lo] : end[hi]]), packed(n[end[lo] : end[hi]])))
+    return rows
+
+
+def near_rows(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "block", "words", "was", "size", "keys", "n"])
 
 
 def assigned(near: DataFrame, pairs: np.ndarray, classes: int) -> DataFrame:
@@ -268,62 +304,52 @@ def assigned(near: DataFrame, pairs: np.ndarray, classes: int) -> DataFrame:
     width = 2 * len(pairs) + 1
 
     def run(t: pa.Table) -> pa.Table:
-        word, first, at = np.unique(joined(t.column("words"), "<u8"), return_index=True, return_inverse=True)
-        was = joined(t.column("was"), "<i2")[first].astype(np.int64)
-        code = np.repeat(at, joined(t.column("size"), "<u4")) * width + joined(t.column("keys"), "<u2")
+        words, ends = joined(t.column("words"), "<u8")
+        word, first, at = np.unique(words, return_index=True, return_inverse=True)
+        was = joined(t.column("was"), "<i2")[0][first].astype(np.int64)
+        code = np.repeat(at, joined(t.column("size"), "<u4")[0]) * width + joined(t.column("keys"), "<u2")[0]
         code, entry = np.unique(code, return_inverse=True)
-        new = best_classes(pairs, classes, was, code // width, code % width, np.bincount(entry, joined(t.column("n"), "<u4"), len(code)))
-        each, rows = np.cumsum(sizes_of(t.column("words"), 8))[:-1], t.num_rows
+        new = best_classes(pairs, classes, was, code // width, code % width, np.bincount(entry, joined(t.column("n"), "<u4")[0], len(code)))
+        rows = t.num_rows
         return pa.table({
             "block": pa.array([*t.column("block").to_pylist(), None], pa.int64()), "bucket": pa.array([t.column("bucket")[0].as_py()] * (rows + 1), pa.int32()),
-            "data": [*(x.tobytes() for x in np.split(new[at].astype("<i2"), each)), None], "n": [*[0] * rows, len(word)], "moved": [*[0] * rows, int((new != was).sum())],
+            "data": [*(packed(x) for x in np.split(new[at].astype("<i2"), ends[:-1])), None], "n": [*[0] * rows, len(word)], "moved": [*[0] * rows, int((new != was).sum())],
         })
 
     return near.groupBy("bucket").applyInArrow(run, CLASSED)
 
 
-def summed(codes: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct codes and how often each comes."""
-    seen, held = [], 0
+def in_parts(codes: np.ndarray, n: np.ndarray) -> list[tuple]:
+    """Ascending codes of pairs and their counts in PARTS stretches, by a hash of the first unit."""
+    part = (codes >> 16) * 7919 % PARTS
+    return [(int(k), packed(codes[part == k]), packed(n[part == k])) for k in np.unique(part)]
 
-    def reduced() -> tuple[np.ndarray, np.ndarray]:
-        keys, at = np.unique(np.concatenate([k for k, _ in seen]), return_inverse=True)
-        return keys, np.bincount(at, np.concatenate([n for _, n in seen])).astype(np.int64)
 
-    for code in codes:
-        seen.append(np.unique(code, return_counts=True))
-        held += len(seen[-1][0])
-        if held > 1 << 22:
-            seen = [reduced()]
-            held = len(seen[0][0])
-    return reduced() if seen else (np.empty(0, np.int64), np.empty(0, np.int64))
+def part_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["part", "codes", "n"])
 
 
-def unit_pairs(ready: DataFrame, counts: Counts, enough: int) -> DataFrame:
-    """a, b, n: how often unit b comes after unit a in the training documents; counted in each task first."""
+def unit_pairs(ready: DataFrame, counts: Counts) -> DataFrame:
+    """part, codes, n: how often unit code & 0xffff comes after unit code >> 16 in a task's training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def codes():
-            for batch in batches:
-                for row in batch.to_pylist():
-                    b = Block(row, counts, enough)
-                    yield b.unit[b.before()[b.train]] << 16 | b.unit[b.tokens[b.train]]
-
-        keys, n = summed(codes())
-        yield pa.RecordBatch.from_pydict({"a": (keys >> 16).astype(np.int32), "b": (keys & 0xFFFF).astype(np.int32), "n": n})
-
-    return ready.drop("doc_ids").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        seen: list[tuple] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                seen.append(np.unique(Block(row, counts).pairs(), return_counts=True))
+                if sum(len(k) for k, _ in seen) > 1 << 22:
+                    seen = [summed(seen)]
+        if seen:
+            yield part_rows(in_parts(*summed(seen)))
 
+    return ready.select("block", "held", "sizes", "tokens", "unit", "movable", "words", "end").mapInArrow(run, PAIRS)
 
-def classed_pairs(ready: DataFrame, classes: DataFrame, counts: Counts, enough: int) -> DataFrame:
-    """As unit_pairs, where the movable words have the units of their classes."""
 
-    def run(got: pa.Table, block: pa.Table) -> pa.Table:
-        b = Block(block.to_pylist()[0], counts, enough, got)
-        keys, n = np.unique(b.unit[b.before()[b.train]] << 16 | b.unit[b.tokens[b.train]], return_counts=True)
-        return pa.table({"a": (keys >> 16).astype(np.int32), "b": (keys & 0xFFFF).astype(np.int32), "n": n.astype(np.int64)})
-
-    return by_block(ready.drop("doc_ids"), classes).applyInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+def summed(counted: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, ascending, and their counts in all."""
+    keys, at = np.unique(np.concatenate([k for k, _ in counted]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in counted])).astype(np.int64)
 
 
 def by_block(ready: DataFrame, classes: DataFrame):
@@ -421,8 +447,8 @@ def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, words: int, units: int
 
     after, before = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
     a_at, b_at = np.searchsorted(a[after], np.arange(words + 1)), np.searchsorted(b[before], np.arange(words + 1))
+    before_it = information(pairs)
     for _ in range(sweeps):
-        moved = 0
         for w in range(words):
             i, j = after[a_at[w] : a_at[w + 1]], before[b_at[w] : b_at[w + 1]]
             own = float(n[i][b[i] == w].sum())
@@ -434,11 +460,11 @@ def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, words: int, units: int
             best = int(np.argmax(gain))
             if gain[best] <= gain[was] + 1e-9:
                 best = was
-            moved += best != was
             of[w] = best
             moved_by(best, right, left, own)
-        if moved <= STILL * words:
+        if (now := information(pairs)) - before_it < STILL * abs(now):
             break
+        before_it = now
     return of
 
 
@@ -474,33 +500,36 @@ class Model:
 
 
 def model_of(pairs: DataFrame, counts: Counts, classes: int, sweeps: int, known: np.ndarray | None = None) -> Model:
-    """One task fits the model; it gets as many rows as there are pairs of units at most."""
+    """Parts of the pairs are summed apart; then one task fits the model, with as many numbers as pairs of units at most."""
+
+    def total(t: pa.Table) -> pa.Table:
+        both = zip(t.column("codes").to_pylist(), t.column("n").to_pylist(), strict=True)
+        codes, n = summed([(unpacked(c, "<i8"), unpacked(n, "<i8")) for c, n in both])
+        return pa.table({"codes": [packed(codes)], "n": [packed(n)]})
 
     def fit(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("a", "ascending"), ("b", "ascending")])
-        m = Model.fitted(counts, t.column("a").to_numpy().astype(np.int64), t.column("b").to_numpy().astype(np.int64), t.column("n").to_numpy().astype(float), classes, sweeps, known)
+        codes, n = joined(t.column("codes"), "<i8")[0], joined(t.column("n"), "<i8")[0]
+        order = np.argsort(codes)
+        m = Model.fitted(counts, codes[order] >> 16, codes[order] & 0xFFFF, n[order].astype(float), classes, sweeps, known)
         return pa.table({"pairs": [m.pairs.tobytes()], "of": [m.of.astype("<i8").tobytes()], "transition": [m.transition.tobytes()], "emission": [m.emission.tobytes()]})
 
-    got = pairs.groupBy(F.lit(1).alias("all")).applyInArrow(fit, "pairs binary, of binary, transition binary, emission binary").first()
+    sums = pairs.groupBy("part").applyInArrow(total, "codes binary, n binary")
+    got = sums.groupBy(F.lit(1).alias("all")).applyInArrow(fit, "pairs binary, of binary, transition binary, emission binary").first()
     if got is None:
         none = np.empty(0, np.int64)
         return Model.fitted(counts, none, none, np.empty(0), classes, sweeps)
     of, transition = np.frombuffer(got["of"], "<i8"), np.frombuffer(got["transition"])
-    total = round(len(transition) ** 0.5)
-    return Model(of, np.frombuffer(got["pairs"]).reshape(total, -1), transition.reshape(total, -1), np.frombuffer(got["emission"]), counts.end_unit)
+    total_ = round(len(transition) ** 0.5)
+    return Model(of, np.frombuffer(got["pairs"]).reshape(total_, -1), transition.reshape(total_, -1), np.frombuffer(got["emission"]), counts.end_unit)
 
 
 def scores(b: Block, row: dict, model: Model, counts: Counts) -> pa.Table:
     """The rows of SCORES for a block."""
-    begins = np.cumsum(b.sizes) - b.sizes
-    each = lambda v: np.add.reduceat(v, begins)  # noqa: E731  every document has an end token
-    kind, n = model.of[b.unit], b.n
-    emission = model.emission[b.unit] + np.log10(np.maximum(n, 1))
-    base = each(np.log10(n + 0.5)[b.tokens]) - b.sizes * np.log10(counts.tokens + 0.5 * (counts.types + 1))
-    score = each(model.transition[kind[b.before()], kind[b.tokens]] + emission[b.tokens])
+    kind = model.of[b.unit]
+    each = np.add.reduceat(model.transition[kind[b.before()], kind[b.tokens]] + model.emission[b.unit][b.tokens], np.cumsum(b.sizes) - b.sizes)
     return pa.table({
-        "doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": row["held"], "n_tokens": b.sizes, "n_known": each((n > 0).astype(np.int64)[b.tokens]),
-        "train_tokens": np.full(len(b.sizes), counts.tokens), "base_score": base, "score": score,
+        "doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": row["held"], "n_tokens": b.sizes, "n_known": row["n_known"], "train_tokens": np.full(len(b.sizes), counts.tokens),
+        "base_score": np.array(row["base"]) - b.sizes * np.log10(counts.tokens + 0.5 * (counts.types + 1)), "score": each + np.array(row["log_counts"]),
     })
 
 
@@ -508,10 +537,9 @@ def scored(spark: SparkSession, docs: DataFrame, top: int | None = None, classes
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document. Where
     they aren't given, classes are the cube root of the types and top words 32 for each, CLASSES and TOP at least."""
     first, second = shared_dir(spark), shared_dir(spark)
-    gathered = stored(blocks(docs, text, id_col), spark, first)
+    gathered = stored(blocks(docs, text, id_col), spark, first, "uncompressed")
     buckets = spread(gathered.agg(F.sum("n_words")).first()[0] or 0, BUCKET_WORDS, BUCKETS)
-    answers = stored(counted(gathered, buckets), spark, second)
-    ready = stored(with_counts(gathered, answers.where("block is not null")), spark)
+    answers = stored(counted(gathered, buckets), spark, second, "uncompressed")
     dictionaries = answers.where("block is null")
     sums = dictionaries.agg(*(F.sum(c).alias(c) for c in ("tokens", "types", "once", "twice"))).first()
     sums = [sums[c] or 0 for c in ("tokens", "types", "once", "twice")]
@@ -519,41 +547,50 @@ def scored(spark: SparkSession, docs: DataFrame, top: int | None = None, classes
     top = top or max(TOP, 32 * classes)
     best = most_frequent(dictionaries, top).collect()  # `top` rows
     counts = Counts(*sums, np.array([r["word"] for r in best], np.int64).view(np.uint64))
+    ready = stored(with_units(gathered, answers.where("block is not null"), counts, enough), spark, None, "uncompressed")
     removed(spark, first)
     removed(spark, second)
-    model = model_of(unit_pairs(ready, counts, enough), counts, classes, sweeps)
+    model = model_of(unit_pairs(ready, counts), counts, classes, sweeps)
     core, found = model.of, None
-    groups = max(1, min(classes, len(counts.words)))
+    groups, total = max(1, min(classes, len(counts.words))), len(model.pairs)
+    tokens = ready.select("block", "held", "sizes", "tokens", "unit", "movable", "words", "end")
 
     def near_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield neighbours(Block(row, counts, enough), row["block"], core, len(model.pairs), buckets)
+                yield from near_rows(neighbours(Block(row, counts), core, total, buckets)).to_batches()
 
     def near_classed(got: pa.Table, block: pa.Table) -> pa.Table:
-        row = block.to_pylist()[0]
-        return pa.Table.from_batches([neighbours(Block(row, counts, enough, got), row["block"], core, len(model.pairs), buckets)])
+        """A block's pairs of classes, under the buckets below 0, and its words' neighbours."""
+        b = Block(block.to_pylist()[0], counts, got)
+        pairs = [(-1 - part, None, codes, None, None, None, n) for part, codes, n in in_parts(*np.unique(b.pairs(), return_counts=True))]
+        return near_rows(pairs + neighbours(b, core, total, buckets))
 
-    for _ in range(rounds if len(counts.words) else 0):
-        near = ready.drop("doc_ids").mapInArrow(near_alone, NEAR) if found is None else by_block(ready.drop("doc_ids"), found).applyInArrow(near_classed, NEAR)
+    near, path = tokens.mapInArrow(near_alone, NEAR), None
+    for k in range(rounds if len(counts.words) else 0):
         found = stored(assigned(near, model.pairs, groups), spark)
         moved = found.agg(F.sum("n").alias("n"), F.sum("moved").alias("moved")).first()
+        if path:
+            removed(spark, path)
         if not moved["n"]:
             found = None
             break
-        known = information(model.pairs)
-        model = model_of(classed_pairs(ready, found, counts, enough), counts, classes, sweeps, core)
-        if moved["moved"] <= SETTLED * moved["n"] or information(model.pairs) - known < GAIN * known:
+        path = shared_dir(spark)
+        after = stored(by_block(tokens, found).applyInArrow(near_classed, NEAR), spark, path, "uncompressed")
+        near, known = after.where("bucket >= 0"), information(model.pairs)
+        model = model_of(after.where("bucket < 0").select((-1 - F.col("bucket")).alias("part"), F.col("words").alias("codes"), "n"), counts, classes, sweeps, core)
+        if k + 1 == rounds or moved["moved"] <= SETTLED * moved["n"] or information(model.pairs) - known < GAIN * known:
+            removed(spark, path)
             break
     sent = spark.sparkContext.broadcast(model)
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield from scores(Block(row, counts, enough), row, sent.value, counts).to_batches()
+                yield from scores(Block(row, counts), row, sent.value, counts).to_batches()
 
     def classed(got: pa.Table, block: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
-        return scores(Block(row, counts, enough, got), row, sent.value, counts)
+        return scores(Block(row, counts, got), row, sent.value, counts)
 
     return ready.mapInArrow(alone, SCORES) if found is None else by_block(ready, found).applyInArrow(classed, SCORES)
