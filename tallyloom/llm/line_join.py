@@ -15,13 +15,16 @@ as they are.
    stretches, and at those places only, that a segment can have moved to. Entries and probes are
    rows of a hash, the text's id, and 59 parities of its units, of which an edit changes two at most.
 3. Rows meet in a shuffle by hash. A run of equal hashes gives pairs of an entry and a probe whose
-   parities are near enough. A run of more than RUN rows is dealt anew by parts of the parities, as
-   of two texts that are near enough one part is equal. A run that is still longer, such as that of
-   a template's lines, is cut into blocks of ROWS; each two blocks meet in a unit of their own. So
-   no task holds a run, and no pair is lost.
-4. Candidates meet their texts in two joins and are verified by a banded bit-parallel automaton.
-5. Links give components; the classes' first lines come from partial minima, and go back to the
-   lines in joins that spread the rows of frequent lines and of large classes.
+   parities are near enough, if they are not many more than its rows. These candidates meet their
+   texts in two joins, are verified by a banded bit-parallel automaton and give components.
+4. What is left are the rows of long runs and of runs with many candidates, such as those of a
+   template's lines or of near-copies. They are dealt anew by parts of their parities, as of two
+   texts that are near enough one part is equal, and get their texts and components. A run is cut
+   into blocks of ROWS; each two blocks are a unit, where pairs of different components are
+   verified at once, the likeliest first, and each link joins two components. So no task holds a
+   run, no group gives all its pairs, and no two near texts are left in different components.
+5. The classes' first lines come from partial minima, and go back to the lines in joins that spread
+   the rows of frequent lines and of large classes.
 
 Nulls and other cases: a null text has no lines. Lines of documents with a null doc_id come after
 all others. Rows that repeat a doc_id, a line number and the line are the same line: all stay or
@@ -45,7 +48,7 @@ from .shared import SPACES, heavy_keys, removed, shared_dir, spread_join, stored
 
 THRESHOLD, SHORTEST = 3, 1
 ONE, FULL, LONG, WORDS = 12, 25, 96, 16
-RUN, ROWS = 256, 4096
+RUN, ROWS, PAIRS_A_ROW = 256, 1024, 2
 LINES_AT_ONCE = 1 << 14
 ENTRY, PROBE = 1, 2
 #: A mark holds BITS parities, then two bits of the role and two of the edits that the indexed length allows.
@@ -167,22 +170,22 @@ def _near(ids, marks, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _pairs(hashes, ids, marks) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of candidates among rows that are sorted by hash."""
+    """Positions of candidates among rows that are sorted by hash."""
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     at, k = np.arange(len(hashes)), 1
     while len(at):
         at = at[at + k < len(hashes)]
         at = at[hashes[at + k] == hashes[at]]
         ok = at[_near(ids, marks, at, at + k)]
-        a.append(np.minimum(ids[ok], ids[ok + k]))
-        b.append(np.maximum(ids[ok], ids[ok + k]))
+        a.append(ok)
+        b.append(ok + k)
         k += 1
     return np.concatenate(a), np.concatenate(b)
 
 
 def candidates(rows: DataFrame, run_rows: int) -> DataFrame:
-    """a, b: pairs of ids; hash, id, mark: rows of longer runs, with a and b null. The run's rows
-    come sorted, so a task holds a batch and a short run at most."""
+    """a, b: pairs of ids; hash, id, mark: rows of long runs and of those with many candidates, with a and b
+    null. The run's rows come sorted, so a task holds a batch and a short run at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(cols: tuple, last: bool) -> Iterator[pa.RecordBatch]:
@@ -200,9 +203,15 @@ def candidates(rows: DataFrame, run_rows: int) -> DataFrame:
                 long, deferred, whole = rest[0][0], np.append(deferred, np.ones(len(rest[0]), bool)), len(hashes)
                 rest = tuple(c[:0] for c in cols)
             held = rest
-            a, b = _pairs(*(c[:whole][~deferred] for c in cols))
+            short = np.flatnonzero(~deferred)
+            own = [c[short] for c in cols]
+            x, y = _pairs(*own)
+            of = np.cumsum(np.append(True, own[0][1:] != own[0][:-1])) - 1 if len(short) else short
+            many = (np.bincount(of[x], minlength=len(short)) > PAIRS_A_ROW * np.bincount(of, minlength=len(short)))[of[x]]
+            deferred[short[np.concatenate([x[many], y[many]])]] = True
+            a, b = own[1][x[~many]], own[1][y[~many]]
             if len(a):
-                pair = np.unique(np.stack([a, b], 1), axis=0)
+                pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
                 none = pa.nulls(len(pair), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), none, none, none], names)
             if deferred.any():
@@ -231,28 +240,58 @@ def dealt_anew(rows: DataFrame) -> DataFrame:
     return each.select(F.xxhash64("hash", "k", part).alias("hash"), "id", "mark")
 
 
-def in_blocks(rows: DataFrame, block: int) -> DataFrame:
-    """a, b: candidates of runs of any length; each two blocks of a run are a group of their own."""
+def joining(ids, marks, component, lines, left: np.ndarray, right: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Links that join components; of two rows at one position in left and right the earlier ones only."""
+    out, same = [], left is right
+    for k, j in enumerate(right):
+        i = left[:k] if same else left
+        i = i[component[i] != component[j]]
+        i = i[_near(ids, marks, i, np.full(len(i), j))]
+        for x in i[np.argsort(np.bitwise_count(marks[i] ^ marks[j]), kind="stable")]:
+            if component[x] != component[j] and linked(lines[x], lines[j], threshold):
+                out.append((int(min(ids[x], ids[j])), int(max(ids[x], ids[j]))))
+                component[component == component[j]] = component[x]
+    return out
 
-    def run(t: pa.Table) -> pa.Table:
-        side, ids, marks = (t.column(c).to_numpy() for c in ("side", "id", "mark"))
-        left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for j in right:
-            i = left if side[j] == 2 else left[:j]
-            i = i[_near(ids, marks, i, np.full(len(i), j))]
-            a.append(np.minimum(ids[i], ids[j]))
-            b.append(np.maximum(ids[i], ids[j]))
-        pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-        return pa.table({"a": pair[:, 0], "b": pair[:, 1]})
 
-    sized = rows.join(rows.groupBy("hash").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "hash")
+def in_blocks(rows: DataFrame, threshold: int, block: int) -> DataFrame:
+    """a, b: links between components, in runs of any length; each two blocks of a run are a unit.
+    rows: hash, id, mark, line, component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(t: pa.Table) -> pa.RecordBatch:
+            """Of whole units."""
+            key = np.stack([t.column(c).to_numpy() for c in ("hash", "x", "y")])
+            side, ids, marks, component = (t.column(c).to_numpy() for c in ("side", "id", "mark", "component"))
+            component, lines = component.copy(), t.column("line").to_pylist()
+            begins = np.append(np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0))), len(side))
+            found = []
+            for lo, hi in zip(begins, begins[1:], strict=False):
+                own = slice(lo, hi)
+                left, right = np.flatnonzero(side[own] <= 1), np.flatnonzero(side[own] >= 1)
+                found += joining(ids[own], marks[own], component[own], lines[lo:hi], left, left if side[lo] == 1 else right, threshold)
+            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            hash_, x, y = (t.column(c).to_numpy() for c in ("hash", "x", "y"))
+            lo = int(np.flatnonzero((hash_ != hash_[-1]) | (x != x[-1]) | (y != y[-1])).max(initial=-1)) + 1
+            if lo:
+                yield done(t.slice(0, lo))
+            held = t.slice(lo)
+        if held is not None:
+            yield done(held)
+
+    sized = rows.join(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "hash").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     own = sized.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # side 0 and 2: the blocks of a unit; 1: the only block of a unit
     side = F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2)
-    units = each.select("hash", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side.alias("side"), "id", "mark")
-    return units.groupBy("hash", "x", "y").applyInArrow(run, "a long, b long")
+    units = each.select("hash", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side.alias("side"), "id", "mark", "line", "component")
+    return units.repartition(F.col("hash"), F.col("x"), F.col("y")).sortWithinPartitions("hash", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def within(a, b, threshold: int) -> bool:
@@ -309,30 +348,24 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
 
 
 def links(spark: SparkSession, texts: DataFrame, threshold: int = THRESHOLD, run_rows: int = RUN, block: int = ROWS) -> DataFrame:
-    """a, b: ids of lines that are near enough; each pair once. texts: id, line, each text once.
+    """a, b: ids of lines that are near enough, so many that near lines are in one component. texts: id, line,
+    each text once.
 
-    run_rows and block change what the work costs, never the links.
+    run_rows and block change what the work costs and which links stand for a component, never the components.
     """
-    late = index_rows(texts, threshold)
-    found, paths = [], []
-    for k in range(2):
-        paths.append(shared_dir(spark))
-        all_ = stored(candidates(late if k == 0 else dealt_anew(late), run_rows), spark, paths[-1])
-        found.append(all_.where("a is not null").select("a", "b"))
-        late = all_.where("a is null").select("hash", "id", "mark")
-        if not late.limit(1).count():
-            break
-    else:
-        found.append(in_blocks(late, block))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    pairs = stored(pairs.distinct(), spark)
-    for path in paths:
-        removed(spark, path)
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    some = stored(texts.join(wanted, "id", "left_semi"), spark)
-    return stored(verified(pairs, some, threshold), spark)
+    path = shared_dir(spark)
+    found = stored(candidates(index_rows(texts, threshold), run_rows), spark, path)
+    pairs = stored(found.where("a is not null").select("a", "b").distinct(), spark)
+    late = stored(found.where("a is null").select("hash", "id", "mark"), spark)
+    removed(spark, path)
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(late.select("id"))
+    some = stored(texts.join(ids.distinct(), "id", "left_semi"), spark)
+    first = stored(verified(pairs, some, threshold), spark)
+    if not late.limit(1).count():
+        return first
+    known = some.join(components(spark, first).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    more = in_blocks(dealt_anew(late).join(known, "id"), threshold, block)
+    return stored(first.union(more).distinct(), spark)
 
 
 def trimmed(c: Column) -> Column:
@@ -346,36 +379,36 @@ def line_rows(docs: DataFrame, shortest: int, text: str, id_col: str) -> DataFra
 
 
 def classes(spark: SparkSession, docs: DataFrame, threshold: int, shortest: int, text: str, id_col: str) -> DataFrame:
-    """doc_id, line_no, id, n_links (other texts linked with the line), first (doc_id and line_no of the first line
+    """doc_id, line_no, id, linked (whether its class has other texts), first (doc_id and line_no of the first line
     of its class) and stays of each line that takes part."""
     lines = line_rows(docs, shortest, text, id_col)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
     texts = stored(lines.groupBy("id").agg(F.first("line").alias("line"), F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), spark)
     found = links(spark, texts.select("id", "line"), threshold)
-    degree = found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    known = components(spark, found).withColumnRenamed("node", "id").join(degree, "id", "left")
+    known = components(spark, found).withColumnRenamed("node", "id")
     by_text = texts.select("id", "first", "n").join(known, "id", "left")
-    by_text = by_text.select("id", "first", "n", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "id").alias("class")).where("n > 1 or n_links > 0")
+    by_text = by_text.select("id", "first", "n", F.col("component").isNotNull().alias("linked"), F.coalesce("component", "id").alias("class")).where("n > 1 or linked")
     by_class = stored(by_text.groupBy("class").agg(F.min("first").alias("class_first"), F.count(F.lit(1)).alias("n_texts")), spark)
     large = heavy_keys(by_class, "class", "n_texts", by_class.agg(F.sum("n_texts")).first()[0] or 0)
-    several = spread_join(by_text.select("id", "n_links", "class"), by_class.select("class", "class_first"), "class", large).drop("class")
+    several = spread_join(by_text.select("id", "linked", "class"), by_class.select("class", "class_first"), "class", large).drop("class")
     frequent = heavy_keys(texts, "id", "n", texts.agg(F.sum("n")).first()[0] or 0)
     out = spread_join(lines.select("doc_id", "line_no", "id"), stored(several, spark), "id", frequent)
     first = F.coalesce("class_first", place)
-    return out.select("doc_id", "line_no", "id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), first.alias("first"), (first == place).alias("stays"))
+    return out.select("doc_id", "line_no", "id", F.coalesce("linked", F.lit(False)).alias("linked"), first.alias("first"), (first == place).alias("stays"))
 
 
 def by_document(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_lines (those that take part), n_links, n_removed, removed_lines and first_docs: for each removed
-    line its number and the document that has the first line of its class. A row for each doc_id."""
+    """doc_id, n_lines (those that take part), n_linked (those whose class has other texts), n_removed, removed_lines
+    and first_docs: for each removed line its number and the document that has the first line of its class. A row
+    for each doc_id."""
     c = classes(spark, docs, threshold, shortest, text, id_col)
     gone = F.when(~F.col("stays"), F.struct("line_no", F.col("first")["doc_id"].alias("doc")))
-    per = c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("n_links").alias("n_links"), F.sort_array(F.collect_list(gone)).alias("gone"))
+    per = c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("linked").alias("n_linked"), F.sort_array(F.collect_list(gone)).alias("gone"))
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
     out = ids.join(per.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     zero = lambda x: F.coalesce(x, F.lit(0)).cast("long")
     gone = F.coalesce("gone", F.array().cast("array<struct<line_no:int,doc:bigint>>"))
-    return out.select("doc_id", zero(F.col("n_lines")).alias("n_lines"), zero(F.col("n_links")).alias("n_links"), F.size(gone).cast("long").alias("n_removed"), F.transform(gone, lambda x: x["line_no"]).alias("removed_lines"), F.transform(gone, lambda x: x["doc"]).alias("first_docs"))
+    return out.select("doc_id", zero(F.col("n_lines")).alias("n_lines"), zero(F.col("n_linked")).alias("n_linked"), F.size(gone).cast("long").alias("n_removed"), F.transform(gone, lambda x: x["line_no"]).alias("removed_lines"), F.transform(gone, lambda x: x["doc"]).alias("first_docs"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST, text: str = "text", id_col: str = "doc_id") -> DataFrame:

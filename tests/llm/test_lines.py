@@ -37,15 +37,32 @@ def near(x, y, threshold=3):
     return abs(len(x) - len(y)) <= most and distance(x, y) <= most
 
 
+def components(nodes, pairs):
+    root = {x: x for x in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    groups = {}
+    for x in nodes:
+        groups.setdefault(find(x), set()).add(x)
+    return {frozenset(g) for g in groups.values()}
+
+
 def joined(spark, lines, **more):
-    """The ids of all near pairs by brute force, and what links() gives."""
+    """How many pairs are near by brute force; links() gives some of them, and the same components."""
     df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("id", F.xxhash64("line"))
     ids = {r["line"]: r["id"] for r in df.collect()}
     assert all(L.line_id(x) == i for x, i in ids.items())
     want = {tuple(sorted((ids[x], ids[y]))) for i, x in enumerate(lines) for y in lines[:i] if near(x, y)}
     got = [(r["a"], r["b"]) for r in L.links(spark, df, **more).collect()]
-    assert len(got) == len(set(got))
-    return want, set(got)
+    assert len(got) == len(set(got)) and set(got) <= want
+    assert components(ids.values(), got) == components(ids.values(), want)
+    return len(want), len(got)
 
 
 @pytest.fixture(scope="module")
@@ -65,9 +82,9 @@ def lines():
 
 
 @pytest.mark.parametrize("run_rows,block", [(256, 4096), (8, 5), (2, 64)])
-def test_join_finds_every_pair_once(spark, lines, run_rows, block):
+def test_join_loses_no_link(spark, lines, run_rows, block):
     want, got = joined(spark, lines, run_rows=run_rows, block=block)
-    assert got == want and len(want) > 500
+    assert want > 500 and (got < want or run_rows == 256)
 
 
 def test_lines_with_replaced_words(spark):
@@ -83,17 +100,18 @@ def test_lines_with_replaced_words(spark):
 
     base = [[r.choice(words) for _ in range(n)] for n in (14, 15, 16, 17, 18, 19, 31, 32, 33, 47, 48, 60, 200) for _ in range(2)]
     lines = sorted({" ".join(changed(b, n)) for b in base for n in (0, 1, 1, 2, 2, 3, 4)})
-    want, got = joined(spark, lines)
-    assert got == want and len(want) > 60
+    want, _ = joined(spark, lines)
+    assert want > 60
     x = base[20]  # 48 words or more: three replaced words, of any length, still link
     assert L.linked(" ".join(x), " ".join(["extraordinarily", *x[1:20], "new", *x[21:-1], "last"]), 3)
 
 
 def test_a_template_of_many_lines(spark):
-    """All lines share all segments but one: the run is long in every part of the parities."""
+    """All lines share all segments but one: the run is long in every part of the parities. Links join components, they
+    aren't all pairs."""
     lines = [f"Order {i:05d} was sent to the customer" for i in range(0, 3000, 7)]
     want, got = joined(spark, lines, run_rows=16, block=50)
-    assert got == want and len(want) > 1000
+    assert want > 10_000 and got < want / 2
 
 
 def by_hand(rows):
@@ -136,13 +154,13 @@ def documents(spark, rows):
 
 def test_by_document(spark, documents, none):
     rows, docs = documents
-    part, first, near = by_hand(rows)
+    part, first, n_links = by_hand(rows)
     got = {r["doc_id"]: r for r in L.by_document(spark, docs).collect()}
     assert set(got) == {r[0] for r in rows}
     for doc_id, r in got.items():
         mine = [p for p in part if (None if p[0] else p[1]) == doc_id]
         gone = sorted((p[2], first[p[3]][1]) for p in mine if first[p[3]] != p[:3])
-        assert r["n_lines"] == len(mine) and r["n_links"] == sum(near[p[3]] for p in mine)
+        assert r["n_lines"] == len(mine) and r["n_linked"] == sum(n_links[p[3]] > 0 for p in mine)
         assert list(zip(r["removed_lines"], r["first_docs"], strict=True)) == gone and r["n_removed"] == len(gone)
     assert L.by_document(spark, none).count() == 0
 
@@ -171,8 +189,7 @@ def test_short_lines_are_joined_by_their_length(spark):
     r = random.Random(6)
     base = ["".join(r.choice("abc ") for _ in range(n)).strip() for n in range(4, 30) for _ in range(12)]
     some = {x.strip() for b in base for x in (b, b[:-1], b + "d", b[:2] + "e" + b[3:], "x" + b[:-1] + "y") if x.strip()}
-    want, got = joined(spark, sorted(some))
-    assert want and got == want
+    assert joined(spark, sorted(some))[0]
 
 
 def test_repeats_of_short_lines_go(spark):
