@@ -48,7 +48,8 @@ from .shared import SPACES, heavy_keys, removed, shared_dir, spread_join, stored
 
 THRESHOLD, SHORTEST = 3, 1
 ONE, FULL, LONG, WORDS = 12, 25, 96, 16
-RUN, ROWS, PAIRS_A_ROW = 256, 1024, 2
+RUN, ROWS, PAIRS_A_ROW = 256, 4096, 2
+CHARACTERS = 32 << 20  # of a block's lines
 LINES_AT_ONCE = 1 << 14
 ENTRY, PROBE = 1, 2
 #: A mark holds BITS parities, then two bits of the role and two of the edits that the indexed length allows.
@@ -232,14 +233,6 @@ def candidates(rows: DataFrame, run_rows: int) -> DataFrame:
     return ordered.mapInArrow(run, f"a long, b long, {INDEX}")
 
 
-def dealt_anew(rows: DataFrame) -> DataFrame:
-    """The rows of long runs, each once for each of 2 * edits + 1 parts of its parities."""
-    parts = rows.withColumn("n", F.shiftright("mark", BITS + 2) * 2 + 1).withColumn("width", F.expr(f"cast(ceil({BITS} / n) as int)"))
-    each = parts.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-    part = F.expr(f"shiftright(mark & {(1 << BITS) - 1}L, k * width) & (shiftleft(1L, width) - 1)")
-    return each.select(F.xxhash64("hash", "k", part).alias("hash"), "id", "mark")
-
-
 def joining(ids, marks, component, lines, left: np.ndarray, right: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     """Links that join components; of two rows at one position in left and right the earlier ones only."""
     out, same = [], left is right
@@ -285,7 +278,9 @@ def in_blocks(rows: DataFrame, threshold: int, block: int) -> DataFrame:
         if held is not None:
             yield done(held)
 
-    sized = rows.join(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "hash").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    runs = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("characters")).where("n > 1")
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("characters") / CHARACTERS)).cast("int")
+    sized = rows.join(runs.select("hash", blocks.alias("blocks")), "hash")
     own = sized.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # side 0 and 2: the blocks of a unit; 1: the only block of a unit
@@ -364,7 +359,7 @@ def links(spark: SparkSession, texts: DataFrame, threshold: int = THRESHOLD, run
     if not late.limit(1).count():
         return first
     known = some.join(components(spark, first).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    more = in_blocks(dealt_anew(late).join(known, "id"), threshold, block)
+    more = in_blocks(late.join(known, "id"), threshold, block)
     return stored(first.union(more).distinct(), spark)
 
 
