@@ -71,6 +71,11 @@ def json_or_raw(body: Column, schema: str) -> Column:
     return F.when(F.get_json_object(body, "$").isNotNull() & F.ltrim(body).startswith("{"), F.to_json(parsed)).otherwise(body)
 
 
+def any_json_or_raw(body: Column) -> Column:
+    """Any JSON (objects with all their fields, arrays, single values) as compact JSON, else the body as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(body)), body)
+
+
 def detail(parts: dict[str, Column]) -> Column:
     """A line for each part that is there, in order."""
     return F.concat_ws("\n", *[F.when(c.isNotNull(), F.concat(F.lit(f"{name}: "), c.cast("string"))) for name, c in parts.items()])

@@ -71,6 +71,18 @@ def metric_lines(stats: DataFrame, prefix: str) -> DataFrame:
     return long.select(F.concat(F.lit(f"{prefix}_"), "name").alias("name"), "value", F.concat_ws(" ", F.concat(F.lit(f"{prefix}_"), "name"), F.col("value").cast("string")).alias("line"))
 
 
+def metric_exports(groups: dict[str, DataFrame], prefix: str, at: int) -> DataFrame:
+    """K7: the gauges of each group, a row each, as name, value, the line `prefix_group_name value` and the
+    line protocol's `prefix_group name=value at`. Each group has one row."""
+    out = None
+    for group, stats in groups.items():
+        long = stats.select(*[F.col(c).cast("long").alias(c) for c in stats.columns]).unpivot([], stats.columns, "gauge", "value")
+        name, value = F.concat(F.lit(f"{prefix}_{group}_"), "gauge"), F.col("value").cast("string")
+        rows = long.select(name.alias("name"), "value", F.concat_ws(" ", name, value).alias("line"), F.concat(F.lit(f"{prefix}_{group} "), "gauge", F.lit("="), value, F.lit(f" {at}")).alias("protocol"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def container_members(containers: DataFrame, results: DataFrame) -> DataFrame:
     """Containers have uuid and children; a row for each child with its result, null without one."""
     each = containers.select(F.col("uuid").alias("container"), F.explode("children").alias("uuid"))

@@ -63,7 +63,8 @@ ORACLES = {
     "cat_two_level": "select c_custkey, n_name, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_name = 'ASIA' and n_nationkey % 2 = 0",
     "cat_brand_counts": "select p_brand as brand, count(*)::bigint as n from part group by 1",
     "cat_nth_strict": "select p_partkey, p_name from part order by p_partkey limit 1 offset 5",
-    "cat_nth_lenient": "select p_partkey, trim(p_name) as p_name from (select * from part where p_partkey <= 3) order by p_partkey limit 1 offset 5",
+    "cat_nth_lenient": f"""with n as (select l_orderkey, l_partkey, row_number() over (partition by l_orderkey order by {_LINES}) as rn from lineitem)
+      select o_orderkey, 'part ' || l_partkey as item from orders left join n on o_orderkey = l_orderkey and rn = 5""",
     "cat_first": "select p_partkey, p_retailprice from part order by p_retailprice desc, p_partkey limit 1",
     "cat_second_else_first": """with n as (select c_custkey, c_nationkey::bigint as c_nationkey, row_number() over (partition by c_nationkey order by c_custkey) as rn, count(*) over (partition by c_nationkey) as k from customer)
       select c_custkey, c_nationkey from n where rn = least(k, 2)""",
@@ -107,4 +108,28 @@ ORACLES = {
     "bit_flags": "select p_partkey, ((p_size > 10)::bigint + 2 * (p_size > 25)::bigint + 4 * (p_size > 40)::bigint)::bigint as bits, p_size > 25 as can_write from part",
     "state_transition": "select c_custkey, case c_custkey % 4 when 0 then 'green' when 1 then 'yellow' when 2 then 'red' end as next_light from customer",
     "invoice_text": "select o_orderkey, 'Hi ' || c_name || ', Your total purchase amount is ' || floor(o_totalprice)::bigint || '. Thank you' as invoice from orders join customer on o_custkey = c_custkey",
+    "metric_exports": f"""{_LAST}, r as (select count(*) as runs, sum(n - 1) as retries from (select count(*) as n from a group by history_id)),
+      g as (select unnest([{", ".join(f"{{'g': 'status', 'n': '{s}', 'v': (select count(*) from l where status = '{s}')}}" for s in _STATUSES)},
+        {{'g': 'time', 'n': 'duration', 'v': (select max(start + duration) - min(start) from l)}}, {{'g': 'time', 'n': 'min_duration', 'v': (select min(duration) from l)}},
+        {{'g': 'time', 'n': 'max_duration', 'v': (select max(duration) from l)}}, {{'g': 'time', 'n': 'sum_duration', 'v': (select sum(duration)::bigint from l)}},
+        {{'g': 'time', 'n': 'start', 'v': (select min(start) from l)}}, {{'g': 'time', 'n': 'stop', 'v': (select max(start + duration) from l)}},
+        {{'g': 'retries', 'n': 'retries', 'v': (select retries::bigint from r)}}, {{'g': 'retries', 'n': 'run', 'v': (select runs from r)}}]) as x)
+      select 'launch_' || x.g || '_' || x.n as name, x.v::bigint as value, 'launch_' || x.g || '_' || x.n || ' ' || x.v as line,
+        'launch_' || x.g || ' ' || x.n || '=' || x.v || ' 1700000000000000000' as protocol from g""",
+    "body_any_json": """select event_id, case event_id % 4 when 0 then 'no json: ' || event_type when 1 then '[{"k":' || (props->>'k') || '},1]'
+      when 2 then event_id::varchar else '{"k":' || (props->>'k') || '}' end as body from events""",
+    "files_results": f"""{_LAST} select epic, status, count(*)::bigint as tests, sum(duration)::bigint as "time" from l group by 1, 2""",
+    "files_sections": """select r_name as section, row_number() over (partition by r_name order by n_nationkey) - 1 as position, n_nationkey::varchar as key, n_name as name
+      from nation join region on n_regionkey = r_regionkey where r_name in ('ASIA', 'EUROPE')""",
+    "files_attachments": """with b as (select *, '{"k":' || (props->>'k') || '}' as body from events)
+      select event_id, 'GET: ' || event_type || case when event_id % 2 = 0 then chr(10) || 'Params: ' || user_id else '' end as request, body, left(body, 500) || '...' as summary,
+        '{"code":"' || case event_type when 'error' then 404 when 'click' then 200 else 201 end || '"}' as headers from b""",
+    "files_failed_days": f"""with {_A} select strftime(make_timestamp(start), '%Y-%m-%d') as dt, count(*)::bigint as failed, min(attempt) as "first", max(attempt) as "last" from a where status = 'failed' group by 1""",
+    "files_quoted": """select c_custkey, c_name || chr(10) || 'says "hi", ' || c_custkey || '"' as text from customer""",
+    "files_workbook": f"""{_SUM} select 'messages' as sheet, 2::bigint as n union all select 'tasks', (select count(*) from t where sprint = 1997)
+      union all select 'summary', (select count(*) + 1 from s) union all select 'dashboard', 1""",
+    "task_generated": """with d as (select i as task, ('0x' || md5('7-0-' || i)[1:8])::bigint / 4294967296.0 as o, ('0x' || md5('7-1-' || i)[1:8])::bigint / 4294967296.0 as p,
+        ('0x' || md5('7-2-' || i)[1:8])::bigint / 4294967296.0 as s, ('0x' || md5('7-3-' || i)[1:8])::bigint / 4294967296.0 as q from range(1, 1001) r(i))
+      select task, ['Ann', 'Bo', 'Cy'][floor(o * 3)::int + 1] as owner, case when p < 0.3 then 'High' when p < 0.75 then 'Medium' else 'Low' end as priority,
+        case when s < 0.3 then 'Done' when s < 0.6 then 'In-Progress' when s < 0.8 then 'Pending' else 'To-Do' end as status, round(0.1 + 0.8 * q, 2) as share from d""",
 }

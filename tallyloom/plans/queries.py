@@ -9,6 +9,7 @@ from tallyloom.functions import rules as R
 from tallyloom.operators import catalogue as C
 from tallyloom.operators import harness as H
 from tallyloom.operators import runs, tasks
+from tallyloom.sources import files
 
 from .tables import AS_OF, SPRINT, attempts, owners, read
 from .tables import tasks as task_rows
@@ -210,8 +211,12 @@ def cat_nth_strict(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def cat_nth_lenient(s: SparkSession, d: str) -> DataFrame:
-    few = read(s, d, "part").where("p_partkey <= 3").select("p_partkey", F.trim("p_name").alias("p_name"))
-    return C.nth(few, [F.col("p_partkey")], 5)
+    """The fifth line of each order; null where an order has fewer."""
+    lines = read(s, d, "lineitem")
+    order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")]
+    fifth = C.numbered(lines, order, ["l_orderkey"]).where("position = 4").select("l_orderkey", F.trim(F.concat(F.lit(" part "), F.col("l_partkey").cast("string"), F.lit(" "))).alias("item"))
+    orders = read(s, d, "orders").select("o_orderkey")
+    return orders.join(fifth, orders.o_orderkey == fifth.l_orderkey, "left").select("o_orderkey", "item")
 
 
 @query
@@ -415,8 +420,109 @@ def state_transition(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def invoice_text(s: SparkSession, d: str) -> DataFrame:
-    from tallyloom.sources.files import invoice_lines
-
     o, c = read(s, d, "orders"), read(s, d, "customer")
     j = o.join(c, o.o_custkey == c.c_custkey).withColumn("total", F.floor("o_totalprice").cast("long"))
-    return invoice_lines(j, "c_name", "total").select("o_orderkey", "invoice")
+    return files.invoice_lines(j, "c_name", "total").select("o_orderkey", "invoice")
+
+
+# -- files: written, read back and summed up
+
+
+@query
+def metric_exports(s: SparkSession, d: str) -> DataFrame:
+    """All thirteen gauges, in both formats."""
+    a = attempts(s, d).drop("labels")
+    last = runs.latest(a)
+    stop = F.col("start") + F.col("duration")
+    time = runs.duration_stats(last).select(F.col("wall").alias("duration"), F.col("shortest").alias("min_duration"), F.col("longest").alias("max_duration"), F.col("total").alias("sum_duration"))
+    ends = last.agg(F.min("start").alias("start"), F.max(stop).alias("stop"))
+    groups = {"status": runs.status_counts(last).drop("total"), "time": time.crossJoin(F.broadcast(ends)), "retries": runs.retry_totals(a).select("retries", F.col("runs").alias("run"))}
+    return runs.metric_exports(groups, "launch", 1_700_000_000_000_000_000)
+
+
+@query
+def body_any_json(s: SparkSession, d: str) -> DataFrame:
+    """Objects, arrays and texts that are no JSON."""
+    e = read(s, d, "events")
+    kind = F.col("event_id") % 4
+    body = F.when(kind == 0, F.concat(F.lit("no json: "), F.col("event_type"))).when(kind == 1, F.concat(F.lit("[ "), F.col("props"), F.lit(" , 1 ]"))).when(kind == 2, F.concat(F.lit(" "), F.col("event_id").cast("string"))).otherwise(F.col("props"))
+    return e.select("event_id", R.any_json_or_raw(body).alias("body"))
+
+
+@query
+def files_results(s: SparkSession, d: str) -> DataFrame:
+    """Result records, read with their schema; latest attempts by epic and status, with their time."""
+    a = attempts(s, d)
+    path = files.scratch(s)
+    a.select(F.col("attempt").cast("string").alias("uuid"), F.col("history_id").alias("historyId"), "status", "start", (F.col("start") + F.col("duration")).alias("stop"), "labels").write.json(path)
+    r = files.read_results(s, path, a_file_each=False)
+    last = runs.latest(r.select(F.col("historyId").alias("history_id"), F.col("uuid").cast("long").alias("attempt"), "start", "stop", "status", R.label(F.col("labels"), "epic").alias("epic")))
+    return last.groupBy("epic", "status").agg(F.count(F.lit(1)).alias("tests"), F.sum(F.col("stop") - F.col("start")).alias("time"))
+
+
+def _nations_file(s: SparkSession, d: str) -> str:
+    """A file of sections, one for each region, with its nations."""
+    n, r = read(s, d, "nation"), read(s, d, "region")
+    row = F.concat(F.lit("  - {key: '"), F.col("n_nationkey").cast("string"), F.lit("', name: '"), F.col("n_name"), F.lit("'}"))
+    by = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).groupBy("r_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", row.alias("row")))), lambda x: x["row"]), "\n").alias("rows"))
+    path = files.scratch(s)
+    by.select(F.concat("r_name", F.lit(":\n"), "rows").alias("value")).coalesce(1).write.text(path)
+    return path
+
+
+@query
+def files_sections(s: SparkSession, d: str) -> DataFrame:
+    """A section that must be there, one that is, and one that isn't."""
+    path = f"{_nations_file(s, d)}/*.txt"
+    out = None
+    for name, required in (("ASIA", True), ("EUROPE", False), ("ATLANTIS", False)):
+        rows = files.read_sections(s, path, name, required).select(F.lit(name).alias("section"), F.col("position").cast("long").alias("position"), F.get_json_object("row", "$.key").alias("key"), F.get_json_object("row", "$.name").alias("name"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def files_attachments(s: SparkSession, d: str) -> DataFrame:
+    """K2: request, body, summary and headers of each event, as JSON lines."""
+    e = read(s, d, "events").join(F.broadcast(s.createDataFrame([("error", 404), ("click", 200)], "event_type string, code int")), "event_type", "left")
+    body = R.any_json_or_raw(F.col("props"))
+    headers = F.to_json(F.map_from_entries(F.array(F.struct(F.lit("code"), F.coalesce("code", F.lit(201)).cast("string")))))
+    path = files.scratch(s)
+    files.write_attachments(e.select("event_id", R.detail({"GET": F.col("event_type"), "Params": F.when(F.col("event_id") % 2 == 0, F.col("user_id").cast("string"))}).alias("request"), body.alias("body"), R.summary(body, 500).alias("summary"), headers.alias("headers")), path)
+    return s.read.schema("event_id long, request string, body string, summary string, headers string").json(path)
+
+
+@query
+def files_failed_days(s: SparkSession, d: str) -> DataFrame:
+    """K4: failed attempts by day, from the folders of the days."""
+    path = files.scratch(s)
+    files.write_failed(attempts(s, d).withColumn("start", F.timestamp_micros("start")), path)
+    return s.read.schema("attempt long, dt string").parquet(path).groupBy("dt").agg(F.count(F.lit(1)).alias("failed"), F.min("attempt").alias("first"), F.max("attempt").alias("last"))
+
+
+@query
+def files_quoted(s: SparkSession, d: str) -> DataFrame:
+    """K6: texts with line ends, quotes and commas come back as they were."""
+    c = read(s, d, "customer").select("c_custkey", F.concat("c_name", F.lit('\nsays "hi", '), F.col("c_custkey").cast("string"), F.lit('"')).alias("text"))
+    path = files.scratch(s)
+    files.write_quoted(c, path)
+    return files.read_quoted(s, path, "c_custkey long, text string")
+
+
+@query
+def files_workbook(s: SparkSession, d: str) -> DataFrame:
+    """K1: three sheets; a second save finds them there and says so."""
+    summary = task_summary(s, d)
+    sheets = {"tasks": task_rows(s, d, SPRINT), "summary": tasks.with_total(summary), "dashboard": tasks.kpis(summary)}
+    path = files.scratch(s)
+    said = [files.write_workbook(sheets, path), files.write_workbook(sheets, path)]
+    out = s.createDataFrame([("messages", len(set(said)))], "sheet string, n long")
+    for name in sheets:
+        out = out.unionByName(s.read.option("header", True).csv(f"{path}/{name}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("sheet"), "n"))
+    return out
+
+
+@query
+def task_generated(s: SparkSession, d: str) -> DataFrame:
+    """A thousand tasks in the form whose draws follow from the task's number."""
+    return files.keyed_tasks(s, 1000, ["Ann", "Bo", "Cy"], seed=7)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,9 +21,19 @@ RESULT = (
 CONTAINER = f"uuid string, children array<string>, befores array<struct<{_STEP}>>, afters array<struct<{_STEP}>>, start bigint, stop bigint"
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON document a file, of a fixed schema; files that are no JSON have null fields."""
-    return spark.read.schema(RESULT).option("multiLine", True).json(path)
+def scratch(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which every executor sees; of this machine only where the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="files-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def read_results(spark: SparkSession, path: str, a_file_each: bool = True) -> DataFrame:
+    """JSON documents of a fixed schema, one a file or else one a line; what is no JSON has null fields."""
+    return spark.read.schema(RESULT).option("multiLine", a_file_each).json(path)
 
 
 def read_containers(spark: SparkSession, path: str) -> DataFrame:
@@ -49,9 +62,18 @@ def read_sections(spark: SparkSession, path: str, section: str, required: bool =
 
 def generate_tasks(spark: SparkSession, n: int, owners: list[str], seed: int = 1) -> DataFrame:
     """N tasks with a random owner, weighted priority and status; equal seeds give equal tasks."""
-    draw = lambda k: F.rand(seed + k)
+    return _tasks(spark, n, owners, [F.rand(seed + k) for k in range(4)])
+
+
+def keyed_tasks(spark: SparkSession, n: int, owners: list[str], seed: int = 1) -> DataFrame:
+    """As generate_tasks, with draws that follow from the task's number and the seed by md5, on any cluster."""
+    draw = lambda k: F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.lit(str(k)), F.col("id").cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
+    return _tasks(spark, n, owners, [draw(k) for k in range(4)])
+
+
+def _tasks(spark: SparkSession, n: int, owners: list[str], draws: list[Column]) -> DataFrame:
     pick = F.element_at(F.array(*[F.lit(o) for o in owners]), (F.floor(F.col("_o") * len(owners)) + 1).cast("int"))
-    t = spark.range(1, n + 1).withColumns({"_o": draw(0), "_p": draw(1), "_s": draw(2), "_d": draw(3)})
+    t = spark.range(1, n + 1).withColumns(dict(zip(("_o", "_p", "_s", "_d"), draws, strict=True)))
     priority = F.when(F.col("_p") < 0.3, "High").when(F.col("_p") < 0.75, "Medium").otherwise("Low")
     status = F.when(F.col("_s") < 0.3, "Done").when(F.col("_s") < 0.6, "In-Progress").when(F.col("_s") < 0.8, "Pending").otherwise("To-Do")
     return t.select(F.col("id").alias("task"), pick.alias("owner"), priority.alias("priority"), status.alias("status"), F.round(0.1 + 0.8 * F.col("_d"), 2).alias("share"))
@@ -62,6 +84,17 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).csv(path)
 
 
+def write_workbook(sheets: dict[str, DataFrame], path: str) -> str:
+    """K1: each sheet as a CSV folder below path. Returns a message: what was saved, or the sheet that is there already,
+    before which the sheets have been written and after which none is."""
+    for name, df in sheets.items():
+        try:
+            write_table(df, f"{path}/{file_name(name)}")
+        except AnalysisException as e:
+            return f"{name} was not saved: {e.getCondition()}"
+    return f"saved {', '.join(sheets)}"
+
+
 def write_quoted(df: DataFrame, path: str) -> None:
     """K6: every field in quotes, quotes doubled."""
     df.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
@@ -82,13 +115,9 @@ def write_failed(df: DataFrame, path: str, at: str = "start", status: str = "sta
     df.where(F.col(status) == "failed").withColumn("dt", F.date_format(at, "yyyy-MM-dd")).write.partitionBy("dt").parquet(path)
 
 
-#: Fixed text of an invoice, around the name and the total.
-INVOICE = ("Hi ", ", Your total purchase amount is ", ". Thank you")
-
-
 def invoice_lines(df: DataFrame, name: str, total: str) -> DataFrame:
     """K5: the invoice's text for each row."""
-    return df.withColumn("invoice", F.concat(F.lit(INVOICE[0]), F.col(name), F.lit(INVOICE[1]), F.col(total).cast("string"), F.lit(INVOICE[2])))
+    return df.withColumn("invoice", F.format_string("Hi %s, Your total purchase amount is %s. Thank you", F.col(name), F.col(total).cast("string")))
 
 
 def file_name(name: str) -> str:
