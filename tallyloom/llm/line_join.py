@@ -8,7 +8,8 @@ edit whatever its length. `threshold` is the most edits in either case. Links gi
 first line of a class, by doc_id and line number, stays and the others go. Lines without words stay
 as they are.
 
-1. Lines are first reduced to one row for each text, by a 64-bit hash. All that follows works on these.
+1. A task first leaves out the lines that it has met, by a 64-bit hash, so a very common line is one
+   row a task in all that follows.
 2. A text of l units is cut into one segment more than it allows edits, and is in the index under
    each segment with its number and l. Within the threshold at least one segment is left whole in
    the other text, so every text probes the index for its own and the shorter lengths with those
@@ -50,6 +51,7 @@ THRESHOLD, SHORTEST = 3, 1
 ONE, FULL, LONG, WORDS = 12, 25, 96, 16
 RUN, ROWS, PAIRS_A_ROW = 256, 4096, 2
 CHARACTERS = 32 << 20  # of a block's lines
+KEPT = 1 << 18
 LINES_AT_ONCE = 1 << 14
 ENTRY, PROBE = 1, 2
 #: A mark holds BITS parities, then two bits of the role and two of the edits that the indexed length allows.
@@ -140,6 +142,22 @@ def rows_of(units: np.ndarray, sizes: np.ndarray, members: np.ndarray, allowed:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def once_a_task(lines: DataFrame) -> DataFrame:
+    """id, line: the lines without those that their task has given already, as far as it remembers KEPT of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            ids, first = np.unique(b.column("id").to_numpy(), return_index=True)
+            new = [k for k, i in zip(first.tolist(), ids.tolist(), strict=True) if i not in seen]
+            if len(seen) > KEPT:
+                seen = set()
+            seen.update(ids.tolist())
+            yield b.take(pa.array(sorted(new), pa.int64()))
+
+    return lines.select("id", "line").mapInArrow(run, "id long, line string")
+
+
 def index_rows(texts: DataFrame, threshold: int) -> DataFrame:
     """Entries and probes of the texts (id, line)."""
 
@@ -191,6 +209,8 @@ def candidates(rows: DataFrame, run_rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(cols: tuple, last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, long
+            new = [np.append(True, c[1:] != c[:-1]) for c in cols] if len(cols[0]) else [np.empty(0, bool)]
+            cols = tuple(c[np.logical_or.reduce(new)] for c in cols)  # a text comes once for each task that has it
             hashes = cols[0]
             ends = np.flatnonzero(np.append(hashes[1:] != hashes[:-1], last)) + 1 if len(hashes) else np.empty(0, np.int64)
             whole = int(ends[-1]) if len(ends) else 0
@@ -229,7 +249,7 @@ def candidates(rows: DataFrame, run_rows: int) -> DataFrame:
         if held is not None and len(held[0]):
             yield from out(held, True)
 
-    ordered = rows.repartition(F.col("hash")).sortWithinPartitions("hash", "id")
+    ordered = rows.repartition(F.col("hash")).sortWithinPartitions("hash", "id", "mark")
     return ordered.mapInArrow(run, f"a long, b long, {INDEX}")
 
 
@@ -343,18 +363,18 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
 
 
 def links(spark: SparkSession, texts: DataFrame, threshold: int = THRESHOLD, run_rows: int = RUN, block: int = ROWS) -> DataFrame:
-    """a, b: ids of lines that are near enough, so many that near lines are in one component. texts: id, line,
-    each text once.
+    """a, b: ids of lines that are near enough, so many that near lines are in one component. texts: id, line;
+    repeated ones are one text.
 
     run_rows and block change what the work costs and which links stand for a component, never the components.
     """
     path = shared_dir(spark)
     found = stored(candidates(index_rows(texts, threshold), run_rows), spark, path)
     pairs = stored(found.where("a is not null").select("a", "b").distinct(), spark)
-    late = stored(found.where("a is null").select("hash", "id", "mark"), spark)
+    late = stored(found.where("a is null").select("hash", "id", "mark").distinct(), spark)
     removed(spark, path)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(late.select("id"))
-    some = stored(texts.join(ids.distinct(), "id", "left_semi"), spark)
+    some = stored(texts.join(ids.distinct(), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), spark)
     first = stored(verified(pairs, some, threshold), spark)
     if not late.limit(1).count():
         return first
@@ -378,8 +398,11 @@ def classes(spark: SparkSession, docs: DataFrame, threshold: int, shortest: int,
     of its class) and stays of each line that takes part."""
     lines = line_rows(docs, shortest, text, id_col)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
-    texts = stored(lines.groupBy("id").agg(F.first("line").alias("line"), F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), spark)
-    found = links(spark, texts.select("id", "line"), threshold)
+    path = shared_dir(spark)
+    found = links(spark, stored(once_a_task(lines), spark, path), threshold)
+    removed(spark, path)
+    rows = stored(lines.select("doc_id", "line_no", "id"), spark)
+    texts = stored(rows.groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), spark)
     known = components(spark, found).withColumnRenamed("node", "id")
     by_text = texts.select("id", "first", "n").join(known, "id", "left")
     by_text = by_text.select("id", "first", "n", F.col("component").isNotNull().alias("linked"), F.coalesce("component", "id").alias("class")).where("n > 1 or linked")
@@ -387,7 +410,7 @@ def classes(spark: SparkSession, docs: DataFrame, threshold: int, shortest: int,
     large = heavy_keys(by_class, "class", "n_texts", by_class.agg(F.sum("n_texts")).first()[0] or 0)
     several = spread_join(by_text.select("id", "linked", "class"), by_class.select("class", "class_first"), "class", large).drop("class")
     frequent = heavy_keys(texts, "id", "n", texts.agg(F.sum("n")).first()[0] or 0)
-    out = spread_join(lines.select("doc_id", "line_no", "id"), stored(several, spark), "id", frequent)
+    out = spread_join(rows, stored(several, spark), "id", frequent)
     first = F.coalesce("class_first", place)
     return out.select("doc_id", "line_no", "id", F.coalesce("linked", F.lit(False)).alias("linked"), first.alias("first"), (first == place).alias("stays"))
 
