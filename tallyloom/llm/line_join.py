@@ -16,8 +16,9 @@ as they are.
    stretches, and at those places only, that a segment can have moved to. Entries and probes are
    rows of a hash, the text's id, and 59 parities of its units, of which an edit changes two at most.
 3. Rows meet in a shuffle by hash. A run of equal hashes gives pairs of an entry and a probe whose
-   parities are near enough, if they are not many more than its rows. These candidates meet their
-   texts in two joins, are verified by a banded bit-parallel automaton and give components.
+   parities are near enough, if they are not many more than its rows. The texts of these candidates
+   are found by a sieve of their ids, so that the others aren't shuffled, meet them in two joins,
+   are verified by a banded bit-parallel automaton and give components.
 4. What is left are the rows of long runs and of runs with many candidates, such as those of a
    template's lines or of near-copies. They are dealt anew by parts of their parities, as of two
    texts that are near enough one part is equal, and get their texts and components. A run is cut
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .columns import parted, slices
 from .components import components
-from .shared import SPACES, heavy_keys, removed, shared_dir, spread_join, stored
+from .shared import SPACES, heavy_keys, removed, shared_dir, sieved, spread_join, stored
 
 THRESHOLD, SHORTEST = 3, 1
 ONE, FULL, LONG, WORDS = 12, 25, 96, 16
@@ -142,29 +143,24 @@ def rows_of(units: np.ndarray, sizes: np.ndarray, members: np.ndarray, allowed:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def once_a_task(lines: DataFrame) -> DataFrame:
-    """id, line: the lines without those that their task has given already, as far as it remembers KEPT of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            ids, first = np.unique(b.column("id").to_numpy(), return_index=True)
-            new = [k for k, i in zip(first.tolist(), ids.tolist(), strict=True) if i not in seen]
-            if len(seen) > KEPT:
-                seen = set()
-            seen.update(ids.tolist())
-            yield b.take(pa.array(sorted(new), pa.int64()))
-
-    return lines.select("id", "line").mapInArrow(run, "id long, line string")
+def new_in_task(b: pa.RecordBatch, seen: set[int]) -> pa.RecordBatch:
+    """The rows with ids that the batch has not had before and that are not in `seen`, which remembers about KEPT."""
+    ids, first = np.unique(b.column("id").to_numpy(), return_index=True)
+    new = [k for k, i in zip(first.tolist(), ids.tolist(), strict=True) if i not in seen]
+    if len(seen) > KEPT:
+        seen.clear()
+    seen.update(ids.tolist())
+    return b.take(pa.array(sorted(new), pa.int64()))
 
 
 def index_rows(texts: DataFrame, threshold: int) -> DataFrame:
-    """Entries and probes of the texts (id, line)."""
+    """Entries and probes of the texts (id, line); those of a text that a task has met are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
+        seen: set[int] = set()
         for batch in batches:
-            for b in slices(batch, "line", LINES_AT_ONCE):
+            for b in slices(new_in_task(batch, seen), "line", LINES_AT_ONCE):
                 lines, ids = b.column("line").cast(pa.large_string()), b.column("id").to_numpy()
                 names, code, n_words = parted(lines)
                 words = np.array([xxhash.xxh64_intdigest(x) for x in names.to_pylist()], np.uint64)[code]
@@ -373,8 +369,8 @@ def links(spark: SparkSession, texts: DataFrame, threshold: int = THRESHOLD, run
     pairs = stored(found.where("a is not null").select("a", "b").distinct(), spark)
     late = stored(found.where("a is null").select("hash", "id", "mark").distinct(), spark)
     removed(spark, path)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(late.select("id"))
-    some = stored(texts.join(ids.distinct(), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), spark)
+    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(late.select("id")).distinct(), spark)
+    some = stored(sieved(texts, ids, "id").join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), spark)
     first = stored(verified(pairs, some, threshold), spark)
     if not late.limit(1).count():
         return first
@@ -398,9 +394,7 @@ def classes(spark: SparkSession, docs: DataFrame, threshold: int, shortest: int,
     of its class) and stays of each line that takes part."""
     lines = line_rows(docs, shortest, text, id_col)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
-    path = shared_dir(spark)
-    found = links(spark, stored(once_a_task(lines), spark, path), threshold)
-    removed(spark, path)
+    found = links(spark, lines.select("id", "line"), threshold)
     rows = stored(lines.select("doc_id", "line_no", "id"), spark)
     texts = stored(rows.groupBy("id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), spark)
     known = components(spark, found).withColumnRenamed("node", "id")

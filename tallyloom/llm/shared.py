@@ -90,3 +90,17 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, heavy: list, nulls:
     other = right.select(F.col(key).alias("_right"), *[F.col(c).alias(f"_right_{c}") for c in names])
     out = marked.join(other, F.col("_key") == F.col("_right"), "left")
     return out.select(*left.columns, *[F.when(F.col(key).isNull(), None).when(F.col("_heavy").isNull(), F.col(f"_right_{c}")).otherwise(F.col(f"_heavy_{c}")).alias(c) for c in names])
+
+
+WORDS_OF_BITS = 1 << 19
+
+
+def sieved(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows without most of those whose key, a 64-bit hash, is not in keys; a semi-join of what is left is exact.
+
+    A bit is set for each key in a broadcast table of WORDS_OF_BITS longs at most, whatever the number of keys.
+    """
+    word = lambda: F.pmod(F.col(key), F.lit(WORDS_OF_BITS)).cast("int").alias("_word")
+    bit = F.shiftrightunsigned(F.col(key), 32).bitwiseAND(63).cast("int")
+    bits = keys.select(word(), bit.alias("_bit")).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+    return rows.withColumn("_word", word()).join(F.broadcast(bits), "_word").where(F.getbit("_bits", bit) == 1).select(*rows.columns)
