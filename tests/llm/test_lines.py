@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.llm import line_join as L
+from tallyloom.llm.shared import sieved
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -197,3 +198,13 @@ def test_repeats_of_short_lines_go(spark):
     assert {r["doc_id"]: r["text"] for r in L.without_repeats(spark, docs).collect()} == {1: "Yes.\nAll rights reserved.\nNo\n", 2: "Not\n\n", 3: None}
     got = {r["doc_id"]: (r["n_lines"], r["removed_lines"]) for r in L.by_document(spark, docs).collect()}
     assert got == {1: (4, [4]), 2: (3, [0, 1]), 3: (0, [])}
+
+
+def test_sieve_keeps_all_keys_and_few_others(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 != 3, F.xxhash64("id")).alias("id"), F.col("id").alias("n")).union(spark.sql("select xxhash64(0L), -1L"))
+    keys = spark.range(0, 20_000, 50).select(F.xxhash64("id").alias("id"))
+    left = {r["n"] for r in sieved(rows, keys, "id").collect()}
+    assert left >= {-1, *range(0, 20_000, 50)}
+    assert len(left) < 500
+    assert sieved(rows, keys.where("false"), "id").count() == 0
+    assert sieved(rows.where("false"), keys, "id").columns == rows.columns
