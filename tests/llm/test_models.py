@@ -2,12 +2,15 @@
 
 import math
 import random
+import struct
 import zlib
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from tallyloom.llm import class_lm, nb_svm
 
@@ -110,6 +113,74 @@ def test_held_out_accuracy(spark):
     assert np.allclose(nb_svm.trained(docs, turned).weight, model.weight)
 
 
+def plain_features(text):
+    """The distinct n-grams of a text of ASCII without "_" as they are, unhashed."""
+    kind = lambda c: "A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else c
+    ws = text.split()
+    shapes = ["=" if i and w == ws[i - 1] else "".join(k for k, _ in groupby(w, kind)) for i, w in enumerate(ws)]
+    out = set()
+    for name, stream in (("word", [w.lower() for w in ws]), ("shape", shapes)):
+        out |= {(name, x) for x in stream} | {(name, *x) for x in zip(stream, stream[1:], strict=False)}
+    return sorted(out)
+
+
+def plain_scores(docs, labels, bits, c=1.0, epochs=8):
+    """The score of each text, by dictionaries and loops."""
+    order = sorted((i for i in labels if zlib.crc32(str(i).encode()) % 5), key=lambda i: int.from_bytes(xxhash.xxh64_digest(struct.pack("<q", i), 42), "big", signed=True))
+    fit = [i for k, i in enumerate(order) if k % 5 != 4]
+    aside = [i for k, i in enumerate(order) if k % 5 == 4]
+    feats = {i: plain_features(t) for i, t in docs}
+    n = {y: Counter(f for i in fit if labels[i] == y for f in feats[i]) for y in (0, 1)}
+    total = {y: sum(n[y].values()) + (1 << bits) for y in (0, 1)}
+    ratio = lambda f: math.log((n[1][f] + 1) / total[1]) - math.log((n[0][f] + 1) / total[0])
+
+    def vector(i):
+        x = {f: ratio(f) for f in feats[i]}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        return {f: v / max(norm, 1e-9) for f, v in x.items()}
+
+    xs, w, bias, alpha = [vector(i) for i in fit], Counter(), 0.0, [0.0] * len(fit)
+    rng = np.random.default_rng(1)
+    for _ in range(epochs):
+        for k in rng.permutation(len(fit)):
+            x, y = xs[k], 2 * labels[fit[k]] - 1
+            gradient = y * (sum(w[f] * v for f, v in x.items()) + bias) - 1
+            new = min(max(alpha[k] - gradient / (sum(v * v for v in x.values()) + 1), 0.0), c)
+            step, alpha[k] = (new - alpha[k]) * y, new
+            for f, v in x.items():
+                w[f] += step * v
+            bias += step
+    margin = {i: sum(w[f] * v for f, v in vector(i).items()) + bias for i, _ in docs}
+    n1 = sum(labels[i] for i in aside)
+    goal = {i: (n1 + 1) / (n1 + 2) if labels[i] else 1 / (len(aside) - n1 + 2) for i in aside}
+    slope, level = 1.0, 0.0
+    for _ in range(50):  # Newton's method on the log loss with a small ridge
+        p = {i: 1 / (1 + math.exp(-slope * margin[i] - level)) for i in aside}
+        g1 = sum((goal[i] - p[i]) * margin[i] for i in aside) - 1e-3 * slope
+        g0 = sum(goal[i] - p[i] for i in aside) - 1e-3 * level
+        v = {i: p[i] * (1 - p[i]) for i in aside}
+        h11, h10, h00 = sum(v[i] * margin[i] ** 2 for i in aside) + 1e-3, sum(v[i] * margin[i] for i in aside), sum(v.values()) + 1e-3
+        det = h11 * h00 - h10 * h10
+        slope, level = slope + (h00 * g1 - h10 * g0) / det, level + (h11 * g0 - h10 * g1) / det
+    return {i: 1 / (1 + math.exp(-slope * m - level)) for i, m in margin.items()}
+
+
+def test_scores_are_those_of_a_plain_model(spark):
+    r = random.Random(5)
+    words = [f"w{chr(97 + i)}" for i in range(12)] + ["Big", "X1", "no!!"]
+    docs = [(i, " ".join(r.choice(words[: 8 + i % 8]) for _ in range(r.randint(0, 12)))) for i in range(120)]
+    labels = {i: int("Big" not in t and r.random() < 0.9) for i, t in docs if i < 100}
+    bits = 22
+    hashed = {int(x) for _, t in docs for x in nb_svm.features(pa.array([t], pa.string()), nb_svm.Hashes(), bits)[0]}
+    assert len(hashed) == len({f for _, t in docs for f in plain_features(t)})  # no two share a hash
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    model = nb_svm.trained(frame, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"), bits=bits)
+    want = plain_scores(docs, labels, bits)
+    assert 0 < sum(labels.values()) < len(labels) and max(want.values()) - min(want.values()) > 0.3
+    got = {x["doc_id"]: x["score"] for x in nb_svm.scored(spark, frame, model).collect()}
+    assert got == pytest.approx(want, abs=1e-4)
+
+
 def test_classifier_edge_cases(spark, docs, rows, none):
     labels = spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int")
     one = nb_svm.trained(docs, labels)
