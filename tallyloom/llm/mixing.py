@@ -8,8 +8,9 @@ pseudorandom permutation of the block indexes gives for k; after all blocks have
 the next pass has another permutation. Slots and blocks meet in a join by index.
 
 What goes through the driver is a row for each source and, for SHARDS shards at most, the drawn
-counts. Positions in a source's stream come from sums over hashed buckets, so one source may hold
-any share of the rows.
+counts. Positions in a source's stream come from sums over buckets of hashes of doc_id and text, so
+one source may hold any share of the rows, and so may rows without a doc_id. Rows with the same
+doc_id and the same text share a bucket.
 
 Weights 1, 2, 3, 1, ... go to the sources in code-point order, a null source last. Targets share
 the words of all sources by weight; a target stops at `most` times its source's words and the rest
@@ -53,9 +54,9 @@ def targets(sources: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def sized(docs: DataFrame, text: str, source: str, id_col: str) -> DataFrame:
-    """row (a number for each row of docs), doc_id, source and size."""
+    """row (a number for each row of docs), doc_id, source, size and digest (a hash of the text)."""
     size = F.size(words(F.col(text))).cast("long")
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source).alias("source"), size.alias("size"))
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(F.col(text)).alias("digest"))
 
 
 def placed(rows: DataFrame) -> DataFrame:
@@ -63,12 +64,12 @@ def placed(rows: DataFrame) -> DataFrame:
     its source's stream, to what sized() gave and was stored."""
     known = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     n = spread(rows.count(), BUCKET_ROWS)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(n)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(n)))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("s"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("_start"))
     starts = starts.join(known, F.col("_source").eqNullSafe(F.col("source"))).drop("source")
-    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "digest", "row").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_before", F.sum("size").over(inside) - F.col("size"))
     both = rows.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))
     return both.select("row", "doc_id", "source", "size", "source_size", "source_no", "target", (F.col("_start") + F.col("_before")).alias("start"))
@@ -174,7 +175,7 @@ def mixed(spark: SparkSession, docs: DataFrame, seed: int = 1, block: int = BLOC
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     numbered = stored(own.withColumn("row", F.monotonically_increasing_id()), spark)
     size = F.size(words(F.col(f"doc.`{text}`"))).cast("long")
-    rows = stored(placed(stored(numbered.select("row", F.col(f"doc.`{id_col}`").alias("doc_id"), F.col(f"doc.`{source}`").alias("source"), size.alias("size")), spark)), spark)
+    rows = stored(placed(stored(numbered.select("row", F.col(f"doc.`{id_col}`").alias("doc_id"), F.col(f"doc.`{source}`").alias("source"), size.alias("size"), F.xxhash64(F.col(f"doc.`{text}`")).alias("digest")), spark)), spark)
     p = _pieces(rows, _times(spark, rows, seed, block), block).where("n > 0")
     copies = p.select("row", "size", "lo", "hi", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
     part = copies.groupBy("row", "copy").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("parts"), (F.sum(F.col("hi") - F.col("lo")) == F.first("size")).alias("whole"))
