@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,3 +44,15 @@ def slices(batch: pa.RecordBatch, text: str, rows: int, size: int = BYTES_AT_ONC
         hi = min(lo + rows, max(lo + 1, int(np.searchsorted(ends, before + size, "right"))))
         yield batch.slice(lo, hi - lo)
         lo = hi
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives memory that it no longer needs back to the machine. Workers
+    stay for later tasks, some of which don't need Python at all."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+            pool.release_unused()
+
+    return whole

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .columns import parted, slices
+from .columns import parted, releasing, slices
 from .components import components
 from .shared import SPACES, heavy_keys, removed, shared_dir, sieved, spread_join, stored
 
@@ -173,7 +173,7 @@ def index_rows(texts: DataFrame, threshold: int) -> DataFrame:
                 for found in (rows_of(chars, n_chars, few, of_characters, threshold, 1, known), rows_of(words, n_words, many, of_words, threshold, 2, known)):
                     yield pa.RecordBatch.from_pydict({"hash": found[0].view(np.int64), "id": ids[found[1]], "mark": found[2].view(np.int64)})
 
-    return texts.select("id", "line").mapInArrow(run, INDEX)
+    return texts.select("id", "line").mapInArrow(releasing(run), INDEX)
 
 
 def _near(ids, marks, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -246,7 +246,7 @@ def candidates(rows: DataFrame, run_rows: int) -> DataFrame:
             yield from out(held, True)
 
     ordered = rows.repartition(F.col("hash")).sortWithinPartitions("hash", "id", "mark")
-    return ordered.mapInArrow(run, f"a long, b long, {INDEX}")
+    return ordered.mapInArrow(releasing(run), f"a long, b long, {INDEX}")
 
 
 def joining(ids, marks, component, lines, left: np.ndarray, right: np.ndarray, threshold: int) -> list[tuple[int, int]]:
@@ -302,7 +302,7 @@ def in_blocks(rows: DataFrame, threshold: int, block: int) -> DataFrame:
     # side 0 and 2: the blocks of a unit; 1: the only block of a unit
     side = F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2)
     units = each.select("hash", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side.alias("side"), "id", "mark", "line", "component")
-    return units.repartition(F.col("hash"), F.col("x"), F.col("y")).sortWithinPartitions("hash", "x", "y").mapInArrow(run, "a long, b long")
+    return units.repartition(F.col("hash"), F.col("x"), F.col("y")).sortWithinPartitions("hash", "x", "y").mapInArrow(releasing(run), "a long, b long")
 
 
 def within(a, b, threshold: int) -> bool:
@@ -355,7 +355,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     sided = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"of_{c}"))
-    return pairs.join(sided("a"), "a").join(sided("b"), "b").mapInArrow(run, "a long, b long")
+    return pairs.join(sided("a"), "a").join(sided("b"), "b").mapInArrow(releasing(run), "a long, b long")
 
 
 def links(spark: SparkSession, texts: DataFrame, threshold: int = THRESHOLD, run_rows: int = RUN, block: int = ROWS) -> DataFrame:

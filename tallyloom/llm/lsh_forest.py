@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .columns import lowered, parted, slices
+from .columns import lowered, parted, releasing, slices
 from .components import components
 from .shared import heavy_keys, removed, shared_dir, spread_join, stored
 
@@ -110,7 +110,7 @@ def signed(docs: DataFrame, width: int, text: str, id_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([f[k] for f in found], pa.binary()) for k in range(3))], ["doc_id", "text_id", "n_shingles", "digest", "labels", "sketch"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, SIGNED)
+    return rows.mapInArrow(releasing(run), SIGNED)
 
 
 def forest(nodes: DataFrame, *more: str) -> DataFrame:
@@ -192,7 +192,7 @@ def likeliest(ordered: DataFrame, similarity: float, neighbours: int) -> DataFra
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_pydict({"node": s.node[at], "partner": pa.array(partner[at], mask=best[at] < 0), "agree": best[at]})
 
-    found = ordered.mapInArrow(run, "node long, partner long, agree long")
+    found = ordered.mapInArrow(releasing(run), "node long, partner long, agree long")
     return found.groupBy("node").agg(F.max(F.when(F.col("partner").isNotNull(), F.struct("agree", "partner")))["partner"].alias("partner"))
 
 
@@ -215,7 +215,7 @@ def likeliest_across(ordered: DataFrame, similarity: float, neighbours: int) ->
         at = at[first]
         yield pa.RecordBatch.from_pydict({"low": low[at], "high": high[at], "agree": agree[at], "a": s.node[i[at]], "b": s.node[j[at]]})
 
-    found = ordered.mapInArrow(run, "low long, high long, agree long, a long, b long")
+    found = ordered.mapInArrow(releasing(run), "low long, high long, agree long, a long, b long")
     return found.groupBy("low", "high").agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b")
 
 
@@ -241,7 +241,7 @@ def thin_across(rows: DataFrame, similarity: float, neighbours: int) -> DataFram
             yield pa.RecordBatch.from_pydict({"a": s.node[i], "b": s.node[j]})
 
     cols = rows.where("not dense").select("tree", "root", "label", "node", "n_shingles", "sketch", "roots", "component")
-    return cols.repartition("tree", "root").sortWithinPartitions("tree", "root").drop("root").mapInArrow(run, "a long, b long")
+    return cols.repartition("tree", "root").sortWithinPartitions("tree", "root").drop("root").mapInArrow(releasing(run), "a long, b long")
 
 
 def dense_links(rows: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
@@ -295,7 +295,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     sided = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"))
-    return pairs.join(sided("a"), "a").join(sided("b"), "b").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(sided("a"), "a").join(sided("b"), "b").mapInArrow(releasing(run), "a long, b long").distinct()
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, width: int, text: str, id_col: str) -> DataFrame:
@@ -309,7 +309,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int, text: str, id_col:
                 yield pa.RecordBatch.from_arrays([cut.column("node"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(fine, pa.binary())], ["node", "shingles", "sketch"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text).alias("text"))
-    return rows.join(nodes.select("node"), "node", "left_semi").mapInArrow(run, "node long, shingles binary, sketch binary")
+    return rows.join(nodes.select("node"), "node", "left_semi").mapInArrow(releasing(run), "node long, shingles binary, sketch binary")
 
 
 def linked(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: float = 0.75, text: str = "text", id_col: str = "doc_id", neighbours: int = NEIGHBOURS, block: int = BLOCK) -> DataFrame:

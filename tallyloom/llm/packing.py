@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .columns import slices
+from .columns import releasing, slices
 from .shared import stored
 from .tokens import encoder, ragged
 
@@ -69,7 +69,7 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, length: int, text: str, i
                 yield _rows(out, [*PIECE, ("ids", pa.binary())])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, PIECES + ", ids binary")
+    return rows.mapInArrow(releasing(run), PIECES + ", ids binary")
 
 
 def document_frequencies(tails: DataFrame, dtype: str) -> DataFrame:
@@ -86,7 +86,7 @@ def document_frequencies(tails: DataFrame, dtype: str) -> DataFrame:
         there = np.flatnonzero(n)
         yield pa.RecordBatch.from_pydict({"id": pa.array(there, pa.int64()), "n": pa.array(n[there], pa.int64())})
 
-    return tails.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tails.select("ids").mapInArrow(releasing(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 class Weights:
@@ -209,8 +209,8 @@ def packed(spark: SparkSession, docs: DataFrame, vocabulary: str = "byte_bpe_50k
         for out in pack_range(rows(), weights.value, length, TaskContext.get().partitionId() << 40):
             yield _rows(out, PIECE)
 
-    keyed = tails.mapInArrow(heaviest, "doc_id long, start long, doc_tokens long, length long, ids binary, key1 long, key2 long")
+    keyed = tails.mapInArrow(releasing(heaviest), "doc_id long, start long, doc_tokens long, length long, ids binary, key1 long, key2 long")
     keyed = keyed.withColumn("spread", F.xxhash64("doc_id", "ids"))
     order = ["key1", "key2", "spread"]
     ranges = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-    return full.unionByName(ranges.drop(*order, "length").mapInArrow(pack, PIECES))
+    return full.unionByName(ranges.drop(*order, "length").mapInArrow(releasing(pack), PIECES))

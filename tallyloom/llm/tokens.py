@@ -104,7 +104,7 @@ class Encoder:
                 new.append(i)
         for i, ids in zip(new, self.encoded([parts[i] for i in new]), strict=True):
             out[i] = ids
-        if len(self.young) > MOST_KEPT:
+        if len(self.young) + len(missing) > MOST_KEPT:
             self.old, self.young = self.young, {}
         self.young.update((parts[i], out[i]) for i in missing[:MOST_KEPT])
         return out
