@@ -33,7 +33,7 @@ BLOCK = 128
 MOST = 3
 SHARDS = 4096
 SLOTS = 4096
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4096
 RUN = 65_536
 
 
