@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, exact_dedup, line_join, lsh_forest, mixing, nb_svm, packing, quality_rules, token_files, warc
+from . import class_lm, exact_dedup, hard_negatives, lexical_search, line_join, lsh_forest, mixing, nb_svm, packing, quality_rules, simhash_join, token_files, warc
 from .oracles import ORACLES
 from .shared import shared_dir, table
 
@@ -61,8 +61,24 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(spark, spark.read.parquet(table(sf_dir, "documents")))
 
 
+def op11_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_join.linked(spark, spark.read.parquet(table(sf_dir, "documents")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(table(sf_dir, "embeddings"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(spark, rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.Index.built(spark, spark.read.parquet(table(sf_dir, "documents")))
+    return index.ranked(spark.read.parquet(table(sf_dir, "benchmark")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_warc, op4_class_lm, op5_line_join, op6_mixing, op7_lsh_forest, op8_exact_dedup, op9_nb_svm, op10_token_files)}
+    first = (op1_quality_rules, op2_packing, op3_warc, op4_class_lm, op5_line_join, op6_mixing, op7_lsh_forest, op8_exact_dedup, op9_nb_svm, op10_token_files)
+    return {f.__name__: f for f in (*first, op11_simhash_gph, op12_hard_negatives, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
