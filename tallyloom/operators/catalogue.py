@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import rules as R
 
+from .ranges import ranged
+
+FAR = 10_000  # rows up to here are taken task by task
+
 
 def search(items: DataFrame, name: str, term: str) -> DataFrame:
     """items whose name has the term, in any case."""
@@ -20,7 +24,13 @@ def numbered(rows: DataFrame, order: list[Column], by: list[str] | None = None)
 
 
 def nth(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
-    """L2, L3: the n-th row (from 0) in the order, or no row. Each task keeps n + 1 rows at most."""
+    """L2, L3: the n-th row (from 0) in the order, or no row.
+
+    Near the front each task keeps n + 1 rows at most; a row beyond FAR is found by ranges of the order, of which only its own is
+    numbered.
+    """
+    if n > FAR:
+        return ranged(rows, order).at(n)
     first = rows.orderBy(*order).limit(n + 1)
     return numbered(first, order).where(F.col("position") == n).drop("position")
 

@@ -18,6 +18,22 @@ _LAST = f"with {_A}, l as (select * from a qualify row_number() over (partition
 _LINES = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate"
 _STATUSES = ["failed", "broken", "passed", "skipped", "unknown"]
 _COUNTS = ", ".join(f"(count(*) filter (where status = '{s}'))::bigint as {s}" for s in _STATUSES) + ", count(*)::bigint as total"
+#: Lines as steps, by recursion from the lines that start one.
+_STEPS = f"""with recursive line as (
+    select l_orderkey, l_linenumber, l_quantity, l_returnflag, epoch_us(l_shipdate) as start,
+      l_quantity < 15 or row_number() over w = 1 as top, row_number() over w as k from lineitem window w as (partition by l_orderkey order by {_LINES})),
+  r as (
+    select *, (row_number() over (partition by l_orderkey order by k) - 1)::varchar as path, 1 as depth from line where top
+    union all
+    select line.*, r.path || '.1', r.depth + 1 from r join line on line.l_orderkey = r.l_orderkey and line.k = r.k + 1 and not line.top),
+  steps as (
+    select l_orderkey::varchar as uuid, path, depth, 'line ' || l_linenumber as name, case when l_quantity > 45 then 'failed' else 'passed' end as status, start, start + l_linenumber as stop,
+      1 + (exists (select 1 from line n where n.l_orderkey = r.l_orderkey and n.k = r.k + 1 and not n.top))::int as n_steps from r
+    union all
+    select l_orderkey::varchar, path || '.0', depth + 1, 'flag ' || l_returnflag, case when l_returnflag = 'R' then 'broken' else 'passed' end, start, null, 0 from r)"""
+_PRICED = "with p as (select l_orderkey, l_linenumber, l_extendedprice, l_quantity, row_number() over (order by l_extendedprice desc, l_orderkey, l_linenumber)::bigint - 1 as position from lineitem)"
+_TESTS = """with h as (select strftime(ts, '%Y-%m-%d') as run, user_id::varchar as history_id, event_id as attempt, epoch_us(ts) as start, floor(value * 1000)::bigint as duration,
+  case when event_type = 'error' then 'failed' else 'passed' end as status from events)"""
 
 ORACLES = {
     "task_summary": f"{_SUM} select * from s",
@@ -132,4 +148,32 @@ ORACLES = {
         ('0x' || md5('7-2-' || i)[1:8])::bigint / 4294967296.0 as s, ('0x' || md5('7-3-' || i)[1:8])::bigint / 4294967296.0 as q from range(1, 1001) r(i))
       select task, ['Ann', 'Bo', 'Cy'][floor(o * 3)::int + 1] as owner, case when p < 0.3 then 'High' when p < 0.75 then 'Medium' else 'Low' end as priority,
         case when s < 0.3 then 'Done' when s < 0.6 then 'In-Progress' when s < 0.8 then 'Pending' else 'To-Do' end as status, round(0.1 + 0.8 * q, 2) as share from d""",
+    "files_steps": f"""{_STEPS} select uuid, path, depth::bigint as depth, name, status, start, stop, n_steps::bigint as n_steps from steps""",
+    "files_step_stats": f"""{_STEPS}, bad as (select uuid, path, depth from steps where status in ('failed', 'broken')
+        qualify row_number() over (partition by uuid order by depth desc, list_transform(string_split(path, '.'), lambda x: x::int)) = 1)
+      select s.uuid, count(*)::bigint as steps, (count(*) filter (where n_steps = 0))::bigint as leaves, max(s.depth)::bigint as deepest,
+      (count(*) filter (where status in ('failed', 'broken')))::bigint as failed, any_value(bad.path) as failed_at
+      from steps s left join bad using (uuid) group by s.uuid""",
+    "line_middle": f"{_PRICED} select * exclude (position) from p where position = (select count(*) // 2 from lineitem)",
+    "line_far_lenient": f"{_PRICED} select * exclude (position) from p where position in (12345, 1000000000000)",
+    "line_page": f"{_PRICED} select p.* from p, (select count(*) // 2 as half from lineitem) where position >= half - 50 and position < half + 50",
+    "order_positions": "select o_orderkey, o_totalprice, row_number() over (order by o_totalprice desc, o_orderkey)::bigint - 1 as position from orders",
+    "history_trend": f"""{_TESTS}, b as (select 3::bigint as version, * from h union all select 1::bigint, * from h where attempt % 3 = 2),
+      l as (select *, count(*) over w as n, count(distinct status) over (partition by version, run, history_id) as kinds from b window w as (partition by version, run, history_id)
+        qualify row_number() over (partition by version, run, history_id order by start desc, attempt desc) = 1),
+      t as (select version, run, {_COUNTS}, sum(n - 1)::bigint as retries, (count(*) filter (where kinds > 1))::bigint as changed, min(duration) as shortest, max(duration) as longest,
+        sum(duration)::bigint as time, (max(start + duration) - min(start))::bigint as wall from l group by version, run)
+      select *, lag(passed) over w as passed_before, lag(failed) over w as failed_before, lag(total) over w as total_before from t window w as (partition by version order by run)""",
+    "history_changes": f"""{_TESTS}, l as (select * from h qualify row_number() over (partition by run, history_id order by start desc, attempt desc) = 1),
+      c as (select run, history_id, status, lag(status) over w as before, lag(run) over w as last_run from l window w as (partition by history_id order by run))
+      select run, history_id, status, before, case when last_run is null then 'new' when status = 'failed' then 'broke' else 'mended' end as change
+      from c where last_run is null or status <> before""",
+    "ext_asof": """with e as (select user_id, event_id, epoch_us(ts) as micros, event_type from events),
+      r as (select user_id, micros, max(event_id) as error_id from e where event_type = 'error' group by 1, 2)
+      select e.user_id, e.event_id, e.micros, case when e.micros - r.micros <= 86400000000 then r.micros end as error_at, case when e.micros - r.micros <= 86400000000 then error_id end as error_id
+      from e asof left join r on e.user_id = r.user_id and e.micros > r.micros""",
+    "ext_running": f"""select l_returnflag, l_orderkey, l_linenumber, l_partkey, count(*) over w as n, (sum(l_quantity::bigint) over w)::bigint as total
+      from lineitem window w as (partition by l_returnflag order by l_orderkey, {_LINES} rows unbounded preceding)""",
+    "ext_moving": f"""select l_returnflag, l_orderkey, l_linenumber, l_partkey, (sum(l_quantity::bigint) over w)::bigint as total
+      from lineitem window w as (partition by l_returnflag order by l_orderkey, {_LINES} rows 99 preceding)""",
 }

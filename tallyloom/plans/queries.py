@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import rules as R
 from tallyloom.operators import catalogue as C
 from tallyloom.operators import harness as H
-from tallyloom.operators import runs, tasks
-from tallyloom.sources import files
+from tallyloom.operators import ranges, runs, tasks
+from tallyloom.operators.history import RunHistory
+from tallyloom.sources import files, records
 
 from .tables import AS_OF, SPRINT, attempts, owners, read
 from .tables import tasks as task_rows
 
 QUERIES: dict = {}
+#: A total order of an order's lines, whose numbers repeat.
+LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
 
 
 def query(f):
@@ -213,8 +216,7 @@ def cat_nth_strict(s: SparkSession, d: str) -> DataFrame:
 def cat_nth_lenient(s: SparkSession, d: str) -> DataFrame:
     """The fifth line of each order; null where an order has fewer."""
     lines = read(s, d, "lineitem")
-    order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")]
-    fifth = C.numbered(lines, order, ["l_orderkey"]).where("position = 4").select("l_orderkey", F.trim(F.concat(F.lit(" part "), F.col("l_partkey").cast("string"), F.lit(" "))).alias("item"))
+    fifth = C.numbered(lines, [F.col(c) for c in LINE], ["l_orderkey"]).where("position = 4").select("l_orderkey", F.trim(F.concat(F.lit(" part "), F.col("l_partkey").cast("string"), F.lit(" "))).alias("item"))
     orders = read(s, d, "orders").select("o_orderkey")
     return orders.join(fifth, orders.o_orderkey == fifth.l_orderkey, "left").select("o_orderkey", "item")
 
@@ -526,3 +528,133 @@ def files_workbook(s: SparkSession, d: str) -> DataFrame:
 def task_generated(s: SparkSession, d: str) -> DataFrame:
     """A thousand tasks in the form whose draws follow from the task's number."""
     return files.keyed_tasks(s, 1000, ["Ann", "Bo", "Cy"], seed=7)
+
+
+# -- records with steps of any depth
+
+
+def _line_steps(s: SparkSession, d: str) -> DataFrame:
+    """An order's lines as steps: a line of few pieces starts a step of its own, any other is a step of the line before. Each has a
+    step of its own for its flag, the first below it."""
+    line = read(s, d, "lineitem").withColumn("start", F.unix_micros(F.col("l_shipdate").cast("timestamp")))
+    w = Window.partitionBy("l_orderkey").orderBy(*LINE)
+    line = line.withColumn("k", F.row_number().over(w)).select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "start", "k", F.when((F.col("l_quantity") < 15) | (F.col("k") == 1), 1).otherwise(0).alias("top"))
+    line = line.withColumn("chain", F.sum("top").over(Window.partitionBy("l_orderkey").orderBy("k")) - 1)
+    line = line.withColumn("under", F.row_number().over(Window.partitionBy("l_orderkey", "chain").orderBy("k")) - 1)
+    path = F.concat(F.col("chain").cast("string"), F.repeat(F.lit(".1"), F.col("under")))
+    status = F.when(F.col("l_quantity") > 45, "failed").otherwise("passed")
+    own = line.select(F.col("l_orderkey").cast("string").alias("uuid"), path.alias("path"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("name"), status.alias("status"), "start", (F.col("start") + F.col("l_linenumber")).alias("stop"))
+    flag = line.select(F.col("l_orderkey").cast("string").alias("uuid"), F.concat(path, F.lit(".0")).alias("path"), F.concat(F.lit("flag "), "l_returnflag").alias("name"), F.when(F.col("l_returnflag") == "R", "broken").otherwise("passed").alias("status"), "start", F.lit(None).cast("long").alias("stop"))
+    return own.unionByName(flag)
+
+
+def _step_records(s: SparkSession, d: str) -> DataFrame:
+    """The steps above as nested JSON documents, a line each, read back."""
+    path = files.scratch(s)
+    records.nested(s, _line_steps(s, d)).select(F.concat(F.lit('{"uuid":"'), "uuid", F.lit('","status":"passed","steps":'), "steps", F.lit("}")).alias("value")).write.text(path)
+    return records.read_records(s, path, a_file_each=False)
+
+
+@query
+def files_steps(s: SparkSession, d: str) -> DataFrame:
+    """Every step at every depth, from nested documents."""
+    steps = records.flat_steps(s, _step_records(s, d))
+    return _long(steps, "depth", "n_steps").select("uuid", "path", "depth", "name", "status", "start", "stop", "n_steps")
+
+
+@query
+def files_step_stats(s: SparkSession, d: str) -> DataFrame:
+    """Of each record its steps, depth and where the deepest failure began."""
+    return _long(records.step_stats(records.flat_steps(s, _step_records(s, d))), "deepest")
+
+
+# -- positions in a global order
+
+
+def _priced(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+
+
+def _by_price() -> list:
+    return [F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_linenumber")]
+
+
+@query
+def line_middle(s: SparkSession, d: str) -> DataFrame:
+    """L1: the line at half of all, by price."""
+    rows = ranges.ranged(_priced(s, d), _by_price())
+    return rows.strictly_at(rows.n // 2)
+
+
+@query
+def line_far_lenient(s: SparkSession, d: str) -> DataFrame:
+    """L2: a line far down, and one beyond the last, which is no row."""
+    there = C.nth(_priced(s, d), _by_price(), 12_345)
+    return there.unionByName(C.nth(_priced(s, d), _by_price(), 10**12))
+
+
+@query
+def line_page(s: SparkSession, d: str) -> DataFrame:
+    """L1, V3: a page of a hundred lines in the middle, with their positions."""
+    rows = ranges.ranged(_priced(s, d), _by_price())
+    return rows.numbered(rows.n // 2 - 50, rows.n // 2 + 50)
+
+
+@query
+def order_positions(s: SparkSession, d: str) -> DataFrame:
+    """V3: the position of every order among all, by price."""
+    o = read(s, d, "orders").select("o_orderkey", "o_totalprice")
+    return ranges.ranged(o, [F.col("o_totalprice").desc(), F.col("o_orderkey")]).numbered()
+
+
+# -- run-over-run history
+
+
+def _history(s: SparkSession, d: str) -> RunHistory:
+    """Days as runs, users as tests. Three batches, each with attempts of every day, the latest ones first."""
+    a = attempts(s, d).select(F.split("history_id", "/")[1].alias("run"), F.split("history_id", "/")[0].alias("history_id"), "attempt", "start", "duration", "status")
+    h = RunHistory(s, files.scratch(s))
+    for k in (2, 0, 1):
+        h.apply(f"batch {k}", a.where(F.col("attempt") % 3 == k))
+    return h
+
+
+@query
+def history_trend(s: SparkSession, d: str) -> DataFrame:
+    """The trend as it is after all batches and as it was after the first."""
+    h = _history(s, d)
+    now, then = h.trend(), h.trend(1)
+    return now.withColumn("version", F.lit(3).cast("long")).unionByName(then.withColumn("version", F.lit(1).cast("long")))
+
+
+@query
+def history_changes(s: SparkSession, d: str) -> DataFrame:
+    """Tests whose status isn't that of their run before."""
+    return _history(s, d).changes()
+
+
+# -- without a counterpart in the studied source
+
+
+@query
+def ext_asof(s: SparkSession, d: str) -> DataFrame:
+    """For each event the last error of its user that came before it, within a day."""
+    e = read(s, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "event_type")
+    errors = e.where("event_type = 'error'").select("user_id", "micros", F.col("micros").alias("error_at"), F.col("event_id").alias("error_id"))
+    return ranges.asof(e.select("user_id", "event_id", "micros"), errors, ["user_id"], "micros", ["error_at", "error_id"], F.lit(86_400_000_000), exact=False)
+
+
+@query
+def ext_running(s: SparkSession, d: str) -> DataFrame:
+    """Running counts and sums by return flag, of which there are three, so each has about a third of the rows."""
+    order = [F.col(c) for c in ("l_orderkey", *LINE)]
+    out = ranges.running(read(s, d, "lineitem"), ["l_returnflag"], order, {"n": F.lit(1).cast("long"), "total": F.col("l_quantity").cast("long")})
+    return out.select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "n", "total")
+
+
+@query
+def ext_moving(s: SparkSession, d: str) -> DataFrame:
+    """Sums over the last hundred lines of a return flag."""
+    order = [F.col(c) for c in ("l_orderkey", *LINE)]
+    out = ranges.moving(read(s, d, "lineitem"), ["l_returnflag"], order, F.col("l_quantity").cast("long"), 99, "total")
+    return out.select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "total")
