@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .columns import parted, releasing, slices
 from .components import components
-from .shared import SPACES, heavy_keys, removed, shared_dir, sieved, spread_join, stored
+from .shared import SPACES, heavy_keys, removed, shared_dir, sieved, spread_join, stored, unused
 
 THRESHOLD, SHORTEST = 3, 1
 ONE, FULL, LONG, WORDS = 12, 25, 96, 16
@@ -426,9 +426,10 @@ def by_document(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD
 def without_repeats(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs with the lines that don't stay taken out of the texts; every document is kept."""
     c = classes(spark, docs, threshold, shortest, text, id_col).where("not stays")
-    gone = c.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("line_no", "id")).alias("_gone"))
-    rows = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left")
+    of, lines = unused(docs, "_id"), unused(docs, "_gone")
+    gone = c.groupBy(F.col("doc_id").alias(of)).agg(F.collect_set(F.struct("line_no", "id")).alias(lines))
+    rows = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(of)), "left")
     # each line number of a document once, so a sorted search isn't needed
-    left = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("_gone", F.struct(i.alias("line_no"), F.xxhash64(trimmed(x)).alias("id"))))
-    new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
-    return rows.select(*[new.alias(x) if x == text else F.col(x) for x in docs.columns])
+    left = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col(lines), F.struct(i.alias("line_no"), F.xxhash64(trimmed(x)).alias("id"))))
+    new = F.when(F.col(lines).isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+    return rows.select(*[new.alias(x) if x == text else F.col(f"`{x}`") for x in docs.columns])

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .columns import lowered, parted, releasing, slices
 from .components import components
-from .shared import heavy_keys, removed, shared_dir, spread_join, stored
+from .shared import heavy_keys, removed, shared_dir, spread_join, stored, unused
 
 TREES, DEPTH, ROOT = 16, 8, 3
 NEIGHBOURS = 64
@@ -346,5 +346,6 @@ def linked(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: flo
 
 def kept_documents(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: float = 0.75, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of docs, as they are, that stay: of each component the rows of one document."""
-    stay = linked(spark, docs, width, similarity, text, id_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text_id"))
-    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_text_id")), "left_semi")
+    of, digest = unused(docs, "_id"), unused(docs, "_text_id")
+    stay = linked(spark, docs, width, similarity, text, id_col).where("kept").select(F.col("doc_id").alias(of), F.col("text_id").alias(digest))
+    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col(of)) & (F.xxhash64(text) == F.col(digest)), "left_semi")

@@ -8,9 +8,9 @@ pseudorandom permutation of the block indexes gives for k; after all blocks have
 the next pass has another permutation. Slots and blocks meet in a join by index.
 
 What goes through the driver is a row for each source and, for SHARDS shards at most, the drawn
-counts. Positions in a source's stream come from sums over buckets of hashes of doc_id and text, so
-one source may hold any share of the rows, and so may rows without a doc_id. Rows with the same
-doc_id and the same text share a bucket.
+counts. Rows that are the same in all columns used are counted first. Positions in a source's stream
+come from sums over buckets of hashes of the rows, so one source may hold any share of the rows, and so
+may rows without a doc_id or of one text.
 
 Weights 1, 2, 3, 1, ... go to the sources in code-point order, a null source last. Targets share
 the words of all sources by weight; a target stops at `most` times its source's words and the rest
@@ -21,9 +21,11 @@ through `mixed`; `taken` ignores them. The same input and seed give the same mix
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,26 +55,36 @@ def targets(sources: DataFrame, most: int = MOST) -> DataFrame:
     return s.withColumn("target", F.least(full.cast("double"), F.col("weight") * F.coalesce("level", F.lit(0.0)))).drop("level")
 
 
-def sized(docs: DataFrame, text: str, source: str, id_col: str) -> DataFrame:
-    """row (a number for each row of docs), doc_id, source, size and digest (a hash of the text)."""
+def keys(docs: DataFrame, names: list[str]) -> list[Column]:
+    """Two 64-bit hashes of these columns; rows that agree in both take each other's place."""
+    plain = [F.col(f"`{f.name}`").cast("string") if re.search("map<|variant", f.dataType.simpleString()) else F.col(f"`{f.name}`") for f in docs.schema.fields if f.name in names]
+    return [F.xxhash64(*plain), F.xxhash64(F.lit(1), *plain)]
+
+
+def sized(docs: DataFrame, text: str, source: str, id_col: str, names: list[str]) -> DataFrame:
+    """k1, k2 (keys() of the columns `names`), doc_id, source, size and n, the number of rows that have this key."""
+    k1, k2 = keys(docs, names)
     size = F.size(words(F.col(text))).cast("long")
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(F.col(text)).alias("digest"))
+    rows = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(id_col).alias("doc_id"), F.col(source).alias("source"), size.alias("size"))
+    return rows.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in ("doc_id", "source", "size")], F.count(F.lit(1)).alias("n"))
 
 
 def placed(rows: DataFrame) -> DataFrame:
-    """Adds source_size, source_no, target and start, the number of words before the document in
-    its source's stream, to what sized() gave and was stored."""
-    known = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    """What sized() gave and was stored, with a row for each row of the documents again (`unit` from 0 within a key), and source_size,
+    source_no, target and start, the number of words before the document in its source's stream."""
+    words_of = F.col("size") * F.col("n")
+    known = targets(rows.groupBy("source").agg(F.sum(words_of).alias("source_size")))
     n = spread(rows.count(), BUCKET_ROWS)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(n)))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("s"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("k1", "k2"), F.lit(n)))
+    sums = rows.groupBy("source", "bucket").agg(F.sum(words_of).alias("s"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("_start"))
     starts = starts.join(known, F.col("_source").eqNullSafe(F.col("source"))).drop("source")
-    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "digest", "row").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_before", F.sum("size").over(inside) - F.col("size"))
+    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "k1", "k2").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_before", F.sum(words_of).over(inside) - words_of)
     both = rows.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))
-    return both.select("row", "doc_id", "source", "size", "source_size", "source_no", "target", (F.col("_start") + F.col("_before")).alias("start"))
+    each = both.withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return each.select("k1", "k2", "unit", "doc_id", "source", "size", "source_size", "source_no", "target", (F.col("_start") + F.col("_before") + F.col("unit") * F.col("size")).alias("start"))
 
 
 def drawn(slots: np.ndarray, seed: int, per_shard: int) -> list[tuple[int, int, int, int]]:
@@ -159,27 +171,27 @@ def _times(spark: SparkSession, rows: DataFrame, seed: int, block: int) -> DataF
 
 def taken(spark: SparkSession, docs: DataFrame, seed: int = 1, block: int = BLOCK, text: str = "text", source: str = "source", id_col: str = "doc_id") -> DataFrame:
     """doc_id, source, size, source_size, target and taken, the words that the mix takes of each document."""
-    rows = stored(placed(stored(sized(docs, text, source, id_col), spark)), spark)
+    rows = stored(placed(stored(sized(docs, text, source, id_col, [text, source, id_col]), spark)), spark)
     p = _pieces(rows, _times(spark, rows, seed, block), block)
     first = [F.first(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target")]
-    by = p.groupBy("row").agg(*first, F.coalesce(F.sum(F.col("n") * (F.col("hi") - F.col("lo"))), F.lit(0)).cast("long").alias("taken"))
-    return by.drop("row")
+    by = p.groupBy("k1", "k2", "unit").agg(*first, F.coalesce(F.sum(F.col("n") * (F.col("hi") - F.col("lo"))), F.lit(0)).cast("long").alias("taken"))
+    return by.drop("k1", "k2", "unit")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, seed: int = 1, block: int = BLOCK, text: str = "text", source: str = "source", id_col: str = "doc_id") -> DataFrame:
     """The mix as documents: a row for each time that the mix comes to words of a document.
 
     The c-th row of a document holds its text without the words that the mix takes less than c
-    times; a document that is taken as a whole keeps its text as it is.
+    times; a document that is taken as a whole keeps its text as it is. Texts are shuffled once, to the cuts of their key; rows that
+    are the same in all columns are one there.
     """
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    numbered = stored(own.withColumn("row", F.monotonically_increasing_id()), spark)
-    size = F.size(words(F.col(f"doc.`{text}`"))).cast("long")
-    rows = stored(placed(stored(numbered.select("row", F.col(f"doc.`{id_col}`").alias("doc_id"), F.col(f"doc.`{source}`").alias("source"), size.alias("size"), F.xxhash64(F.col(f"doc.`{text}`")).alias("digest")), spark)), spark)
+    rows = stored(placed(stored(sized(docs, text, source, id_col, docs.columns), spark)), spark)
     p = _pieces(rows, _times(spark, rows, seed, block), block).where("n > 0")
-    copies = p.select("row", "size", "lo", "hi", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
-    part = copies.groupBy("row", "copy").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("parts"), (F.sum(F.col("hi") - F.col("lo")) == F.first("size")).alias("whole"))
-    out = numbered.join(part, "row")
+    copies = p.select("k1", "k2", "unit", "size", "lo", "hi", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
+    part = copies.groupBy("k1", "k2", "unit", "copy").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("parts"), (F.sum(F.col("hi") - F.col("lo")) == F.first("size")).alias("whole"))
+    k1, k2 = keys(docs, docs.columns)
+    own = docs.select(k1.alias("k1"), k2.alias("k2"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    out = own.groupBy("k1", "k2").agg(F.first("doc").alias("doc")).join(part, ["k1", "k2"])
     ws = words(F.col(f"doc.`{text}`"))
     cut = let(ws, lambda w: F.array_join(F.flatten(F.transform("parts", lambda x: F.slice(w, x["lo"].cast("int") + 1, (x["hi"] - x["lo"]).cast("int")))), " "))
     new = F.when(F.col("whole"), F.col(f"doc.`{text}`")).otherwise(cut)

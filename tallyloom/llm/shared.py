@@ -56,6 +56,14 @@ def words(c: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(c, F.lit("")), r"[\x09-\x0D\x20]+"), "")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with more underscores before it as long as df has a column of that name in any case."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name = f"_{name}"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """body(value), where value is computed once however often body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -30,7 +30,25 @@ def test_stages_on_nothing(spark, none, tmp_path):
         assert stage(spark, none, str(tmp_path)).count() == 0, name
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+INTERNAL = ["_id", "_gone", "_text_id", "_word", "_words", "_lines", "_sha1", "_source", "_bucket", "_start", "_before", "_key", "_heavy", "_right", "_bits", "doc", "document", "row", "line", "line_no", "id", "k1", "k2", "n", "unit", "copy", "part", "parts", "whole", "size", "block", "component", "node", "labels", "digest", "failures", "a.b"]
+
+
+def test_columns_with_internal_names(spark, rows, tmp_path):
+    """Other columns pass through every stage, whatever they are called."""
+    own = spark.createDataFrame([(*r[:5], *[f"{k}"] * len(INTERNAL)) for k, r in enumerate(rows[:8])], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in INTERNAL))
+    at = own
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == own.columns, name
+        at.write.parquet(f"{tmp_path}/{name}")
+        at = spark.read.parquet(f"{tmp_path}/{name}")
+        assert at.count(), name
+        for r in at.select("doc_id", *[f"`{c}`" for c in INTERNAL]).collect():
+            assert set(r[1:]) == {str(r["doc_id"] // 3)}, name
+    assert corpus_pipeline.STAGES[4][1](spark, at, str(tmp_path)).count()
+
+
+@pytest.mark.parametrize("n", range(1, 14))
 def test_registered_once(n):
     assert sum(q.startswith(f"op{n}_") for q in registry.queries()) == 1
 
