@@ -75,6 +75,7 @@ ORACLES = {
     "run_label_lookup": f"with {_A} select attempt, story, null::varchar as owner from a",
     "run_containers": f"with {_A} select epic || '-' || (attempt % 64) as container, count(*)::bigint as children, (count(*) filter (where status = 'failed'))::bigint as failed from a group by 1",
     "cat_search": "select p_partkey, p_name from part where p_name ilike '%red%'",
+    "cat_search_indexed": "select p_partkey, p_name from part where p_name ilike '%red w%'",
     "cat_brand_filter": "select p_partkey, p_brand from part where p_brand = 'Brand#11'",
     "cat_two_level": "select c_custkey, n_name, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_name = 'ASIA' and n_nationkey % 2 = 0",
     "cat_brand_counts": "select p_brand as brand, count(*)::bigint as n from part group by 1",
@@ -84,7 +85,7 @@ ORACLES = {
     "cat_first": "select p_partkey, p_retailprice from part order by p_retailprice desc, p_partkey limit 1",
     "cat_second_else_first": """with n as (select c_custkey, c_nationkey::bigint as c_nationkey, row_number() over (partition by c_nationkey order by c_custkey) as rn, count(*) over (partition by c_nationkey) as k from customer)
       select c_custkey, c_nationkey from n where rn = least(k, 2)""",
-    "cat_contains_trap": "select kind, lower(kind) like '%men%' as loose, lower(kind) = 'men' as exact from (values ('WOMEN'), ('MEN'), ('KIDS')) v(kind)",
+    "cat_contains_trap": "select p_partkey, lower(p_brand) like '%brand#1%' as loose, lower(p_brand) = 'brand#1' as exact from part",
     "cat_price": "select p_partkey, case when p_partkey % 9 <> 0 then p_size::double end as price from part",
     "cat_add_all": "select count(*)::bigint as attempted, (count(*) filter (where p_partkey in (select l_partkey from lineitem where l_quantity >= 45)))::bigint as succeeded from part where p_name ilike '%a%'",
     "cart_counts": "select l_orderkey, count(*)::bigint as n, true as any_there from lineitem group by 1",
@@ -145,7 +146,7 @@ ORACLES = {
     "files_workbook": f"""{_SUM} select 'messages' as sheet, 2::bigint as n union all select 'tasks', (select count(*) from t where sprint = 1997)
       union all select 'summary', (select count(*) + 1 from s) union all select 'dashboard', 1""",
     "task_generated": """with d as (select i as task, ('0x' || md5('7-0-' || i)[1:8])::bigint / 4294967296.0 as o, ('0x' || md5('7-1-' || i)[1:8])::bigint / 4294967296.0 as p,
-        ('0x' || md5('7-2-' || i)[1:8])::bigint / 4294967296.0 as s, ('0x' || md5('7-3-' || i)[1:8])::bigint / 4294967296.0 as q from range(1, 1001) r(i))
+        ('0x' || md5('7-2-' || i)[1:8])::bigint / 4294967296.0 as s, ('0x' || md5('7-3-' || i)[1:8])::bigint / 4294967296.0 as q from (select o_orderkey as i from orders))
       select task, ['Ann', 'Bo', 'Cy'][floor(o * 3)::int + 1] as owner, case when p < 0.3 then 'High' when p < 0.75 then 'Medium' else 'Low' end as priority,
         case when s < 0.3 then 'Done' when s < 0.6 then 'In-Progress' when s < 0.8 then 'Pending' else 'To-Do' end as status, round(0.1 + 0.8 * q, 2) as share from d""",
     "files_steps": f"""{_STEPS} select uuid, path, depth::bigint as depth, name, status, start, stop, n_steps::bigint as n_steps from steps""",
@@ -176,4 +177,16 @@ ORACLES = {
       from lineitem window w as (partition by l_returnflag order by l_orderkey, {_LINES} rows unbounded preceding)""",
     "ext_moving": f"""select l_returnflag, l_orderkey, l_linenumber, l_partkey, (sum(l_quantity::bigint) over w)::bigint as total
       from lineitem window w as (partition by l_returnflag order by l_orderkey, {_LINES} rows 99 preceding)""",
+    "body_indented": r"""with b as (select event_id, props->>'k' as k from events)
+      select event_id, case when event_id % 5 = 0 then '{"z": {"k": ' || k || '}, "a": [1.50, "é", {}], "e": {"y": null, "b": []}, "n": ' || event_id || '},'
+        when event_id % 7 = 0 then null
+        else array_to_string(['{', '  "z": {', '    "k": ' || k, '  },', '  "a": [', '    1.5,', '    "\u00e9",', '    {}', '  ],', '  "e": {', '    "y": null,', '    "b": []', '  },', '  "n": ' || event_id, '}'], chr(10)) end as body from b""",
+    "ext_overlap": """with l as (select l_quantity::bigint as q, date_diff('day', date '1990-01-01', l_shipdate::date) as b from lineitem),
+      s as (select s_suppkey, s_suppkey * 37 % 3000 as b, s_suppkey * 37 % 3000 + (1 << (s_suppkey % 9)::int) - 1 as e from supplier)
+      select s_suppkey, count(*)::bigint as lines, sum(q)::bigint as pieces, min(l.b)::bigint as "first", max(l.b + q)::bigint as "last" from s join l on l.b <= s.e and s.b <= l.b + q group by 1""",
+    "ext_sketches": "select user_id % 5 as \"group\", count(*)::bigint as n, true as distinct_near, true as quantiles_near from events group by 1",
+    "ext_sessions": """with e as (select user_id, epoch_us(ts) as t, max(epoch_us(ts)) over () as last from events),
+      g as (select *, case when t - lag(t) over (partition by user_id order by t) < 43200000000 then 0 else 1 end as fresh from e),
+      n as (select *, sum(fresh) over (partition by user_id order by t rows unbounded preceding) as k from g)
+      select user_id, min(t) as begin, max(t) + 43200000000 as "end", count(*)::bigint as n from n group by user_id, k, last having max(t) + 43200000000 <= last - 2::bigint * 86400000000""",
 }

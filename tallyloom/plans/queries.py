@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import rules as R
+from tallyloom.functions.bodies import indented_or_raw
 from tallyloom.operators import catalogue as C
 from tallyloom.operators import harness as H
-from tallyloom.operators import ranges, runs, tasks
+from tallyloom.operators import intervals, ranges, runs, sketches, tasks
 from tallyloom.operators.history import RunHistory
+from tallyloom.operators.name_index import NameIndex
 from tallyloom.sources import files, records
+from tallyloom.streaming import sessions
 
 from .tables import AS_OF, SPRINT, attempts, owners, read
 from .tables import tasks as task_rows
@@ -189,6 +192,13 @@ def cat_search(s: SparkSession, d: str) -> DataFrame:
     return C.search(read(s, d, "part"), "p_name", "RED").select("p_partkey", "p_name")
 
 
+@query
+def cat_search_indexed(s: SparkSession, d: str) -> DataFrame:
+    """F1, F2 by the trigrams of the names."""
+    hit = NameIndex.built(read(s, d, "part"), "p_partkey", "p_name").search("Red W")
+    return hit.select(F.col("key").alias("p_partkey"), F.col("name").alias("p_name"))
+
+
 @query
 def cat_brand_filter(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "part").where(F.col("p_brand") == "Brand#11").select("p_partkey", "p_brand")
@@ -233,8 +243,8 @@ def cat_second_else_first(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def cat_contains_trap(s: SparkSession, d: str) -> DataFrame:
-    kinds = s.createDataFrame([("WOMEN",), ("MEN",), ("KIDS",)], "kind string")
-    return kinds.select("kind", R.has_text(F.col("kind"), F.lit("men")).alias("loose"), (F.lower("kind") == "men").alias("exact"))
+    """a brand's number is contained in the longer ones that begin with it."""
+    return read(s, d, "part").select("p_partkey", R.has_text(F.col("p_brand"), F.lit("brand#1")).alias("loose"), (F.lower("p_brand") == "brand#1").alias("exact"))
 
 
 @query
@@ -451,6 +461,15 @@ def body_any_json(s: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", R.any_json_or_raw(body).alias("body"))
 
 
+@query
+def body_indented(s: SparkSession, d: str) -> DataFrame:
+    """Nested bodies with keys in no order, and texts that are no JSON."""
+    e = read(s, d, "events")
+    own = F.concat(F.lit('{"z": '), "props", F.lit(', "a": [1.50, "\u00e9", {}], "e": {"y": null, "b": []}, "n": '), F.col("event_id").cast("string"), F.lit("}"))
+    body = F.when(F.col("event_id") % 5 == 0, F.concat(own, F.lit(","))).when(F.col("event_id") % 7 == 0, F.lit(None)).otherwise(own)
+    return e.select("event_id", indented_or_raw(body).alias("body"))
+
+
 @query
 def files_results(s: SparkSession, d: str) -> DataFrame:
     """Result records, read with their schema; latest attempts by epic and status, with their time."""
@@ -468,17 +487,20 @@ def _nations_file(s: SparkSession, d: str) -> str:
     row = F.concat(F.lit("  - {key: '"), F.col("n_nationkey").cast("string"), F.lit("', name: '"), F.col("n_name"), F.lit("'}"))
     by = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).groupBy("r_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", row.alias("row")))), lambda x: x["row"]), "\n").alias("rows"))
     path = files.scratch(s)
-    by.select(F.concat("r_name", F.lit(":\n"), "rows").alias("value")).coalesce(1).write.text(path)
+    by.select(F.concat("r_name", F.lit(":\n"), "rows").alias("value")).write.text(path)  # sections may be in several files
     return path
 
 
 @query
 def files_sections(s: SparkSession, d: str) -> DataFrame:
     """A section that must be there, one that is, and one that isn't."""
-    path = f"{_nations_file(s, d)}/*.txt"
+    every = files.all_sections(s, f"{_nations_file(s, d)}/*.txt")
+    path = files.scratch(s)
+    every.write.parquet(path)
+    every = s.read.schema("section string, position int, row string").parquet(path)
     out = None
     for name, required in (("ASIA", True), ("EUROPE", False), ("ATLANTIS", False)):
-        rows = files.read_sections(s, path, name, required).select(F.lit(name).alias("section"), F.col("position").cast("long").alias("position"), F.get_json_object("row", "$.key").alias("key"), F.get_json_object("row", "$.name").alias("name"))
+        rows = files.section(every, name, required).select(F.lit(name).alias("section"), F.col("position").cast("long").alias("position"), F.get_json_object("row", "$.key").alias("key"), F.get_json_object("row", "$.name").alias("name"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -526,8 +548,8 @@ def files_workbook(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def task_generated(s: SparkSession, d: str) -> DataFrame:
-    """A thousand tasks in the form whose draws follow from the task's number."""
-    return files.keyed_tasks(s, 1000, ["Ann", "Bo", "Cy"], seed=7)
+    """A task for each order, in the form whose draws follow from its number."""
+    return files.tasks_for(read(s, d, "orders"), "o_orderkey", ["Ann", "Bo", "Cy"], seed=7)
 
 
 # -- records with steps of any depth
@@ -658,3 +680,40 @@ def ext_moving(s: SparkSession, d: str) -> DataFrame:
     order = [F.col(c) for c in ("l_orderkey", *LINE)]
     out = ranges.moving(read(s, d, "lineitem"), ["l_returnflag"], order, F.col("l_quantity").cast("long"), 99, "total")
     return out.select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "total")
+
+
+@query
+def ext_overlap(s: SparkSession, d: str) -> DataFrame:
+    """For each supplier's shut days, of very different lengths, the lines that other parts of the shop have under way then."""
+    day = lambda c: F.datediff(c, F.lit("1990-01-01")).cast("long")
+    line = read(s, d, "lineitem").select("l_orderkey", "l_quantity", day("l_shipdate").alias("begin")).withColumn("end", F.col("begin") + F.col("l_quantity").cast("long"))
+    first = read(s, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * 37 % 3000).alias("begin"))
+    shut = first.withColumn("end", F.col("begin") + F.expr("shiftleft(1L, cast(s_suppkey % 9 as int))") - 1)
+    met = intervals.overlapping(shut, line, "begin", "end")
+    return met.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("other_l_quantity").cast("long")).alias("pieces"), F.min("other_begin").alias("first"), F.max("other_end").alias("last"))
+
+
+@query
+def ext_sketches(s: SparkSession, d: str) -> DataFrame:
+    """Sketches by day, stored, merged by user group; whether they are within their bounds of the exact values."""
+    e = read(s, d, "events").select((F.col("user_id") % 5).alias("group"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id", F.floor(F.col("value") * 1000).cast("long").alias("value"))
+    path = files.scratch(s)
+    sketches.sketched(e, ["group", "day"], F.col("event_id"), F.col("value")).write.parquet(path)
+    merged = sketches.estimates(sketches.merged(s.read.parquet(path), ["group"]), [0.1, 0.5, 0.9])
+    exact = e.groupBy("group").agg(F.count_distinct("event_id").alias("exact"))
+    at = F.broadcast(merged.select("group", "quantiles", "distinct", F.col("n").alias("all")))  # a row for each of five groups
+    ranks = e.join(at, "group").groupBy("group", "distinct", "all").agg(*[F.count_if(F.col("value") <= F.col("quantiles")[k]).alias(f"r{k}") for k in range(3)])
+    near = lambda k, r: F.abs(F.col(f"r{k}") / F.col("all") - r) < 0.05
+    return ranks.join(exact, "group").select("group", F.col("all").alias("n"), (F.abs(F.col("distinct") / F.col("exact") - 1) < 0.06).alias("distinct_near"), (near(0, 0.1) & near(1, 0.5) & near(2, 0.9)).alias("quantiles_near"))
+
+
+@query
+def ext_sessions(s: SparkSession, d: str) -> DataFrame:
+    """Sessions of users as a stream gives them: the events in three batches, all sessions that are over by the watermark."""
+    path = files.scratch(s)
+    e = read(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.dayofmonth("ts").alias("day"))
+    for lo, hi in ((0, 10), (10, 20), (20, 40)):
+        e.where((F.col("day") > lo) & (F.col("day") <= hi)).drop("day").write.mode("append").parquet(path)
+    stream = s.readStream.schema("user_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    found, late = sessions.run_available(s, sessions.sessions(stream, "user_id", "ts", "12 hours", "2 days"))
+    return found.select("user_id", F.unix_micros("begin").alias("begin"), F.unix_micros("end").alias("end"), "n")

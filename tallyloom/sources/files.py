@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A result record; steps are nested twice at most.
+#: A result record with two levels of steps; records.py reads steps of any depth.
 _STEP = "name: string, status: string, start: bigint, stop: bigint"
 RESULT = (
     "uuid string, historyId string, testCaseId string, fullName string, name string, status string, description string, start bigint, stop bigint, "
@@ -40,40 +40,64 @@ def read_containers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CONTAINER).option("multiLine", True).json(path)
 
 
-def read_sections(spark: SparkSession, path: str, section: str, required: bool = False) -> DataFrame:
-    """The rows of one section of a YAML file, each as JSON with its position.
+def all_sections(spark: SparkSession, path: str) -> DataFrame:
+    """Section, position and row (as JSON) of all sections of all YAML files at the path, read once, by a task for each file.
 
-    A section that isn't there is an error where it is required and no rows elsewhere. The file is
-    read once, through Spark, so it may be in any store that Spark reads.
+    A section that has no rows has one with a null position. Each file is whole in one task, as YAML has no parts.
     """
     try:
-        import yaml
+        import yaml  # noqa: F401
     except ImportError as e:  # pragma: no cover
         raise RuntimeError("reading YAML sections needs the yaml library") from e
-    import json
 
-    text = spark.read.text(path, wholetext=True).first()
-    found = yaml.safe_load(text[0] if text else "") or {}
-    if required and section not in found:
-        raise KeyError(section)
-    rows = [(i, json.dumps(x, default=str)) for i, x in enumerate(found.get(section) or [])]
-    return spark.createDataFrame(rows, "position int, row string")
+    def run(batches):
+        import json
+
+        import pyarrow as pa
+        import yaml
+
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                rows = []
+                for name, items in (yaml.safe_load(text) or {}).items():
+                    rows += [(str(name), i, json.dumps(x, default=str)) for i, x in enumerate(items or [])] or [(str(name), None, None)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.string()))], ["section", "position", "row"])
+
+    return spark.read.text(path, wholetext=True).mapInArrow(run, "section string, position int, row string")
+
+
+def section(sections: DataFrame, name: str, required: bool = False) -> DataFrame:
+    """position and row of a section of all_sections(). One that isn't there has no rows; if it is required, that is an error."""
+    own = sections.where(F.col("section") == name)
+    if required and not own.limit(1).count():
+        raise KeyError(name)
+    return own.where("position is not null").select("position", "row")
+
+
+def read_sections(spark: SparkSession, path: str, name: str, required: bool = False) -> DataFrame:
+    """One section; for several, all_sections() reads the files once."""
+    return section(all_sections(spark, path), name, required)
 
 
 def generate_tasks(spark: SparkSession, n: int, owners: list[str], seed: int = 1) -> DataFrame:
     """N tasks with a random owner, weighted priority and status; equal seeds give equal tasks."""
-    return _tasks(spark, n, owners, [F.rand(seed + k) for k in range(4)])
+    return _tasks(spark.range(1, n + 1), owners, [F.rand(seed + k) for k in range(4)])
 
 
-def keyed_tasks(spark: SparkSession, n: int, owners: list[str], seed: int = 1) -> DataFrame:
-    """As generate_tasks, with draws that follow from the task's number and the seed by md5, on any cluster."""
+def tasks_for(rows: DataFrame, key: str, owners: list[str], seed: int = 1) -> DataFrame:
+    """A task for each row, with draws that follow from the row's key and the seed by md5, on any cluster."""
     draw = lambda k: F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.lit(str(k)), F.col("id").cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
-    return _tasks(spark, n, owners, [draw(k) for k in range(4)])
+    return _tasks(rows.select(F.col(key).alias("id")), owners, [draw(k) for k in range(4)])
+
+
+def keyed_tasks(spark: SparkSession, n: int, owners: list[str], seed: int = 1) -> DataFrame:
+    """As generate_tasks, as tasks_for() the numbers from 1 to n."""
+    return tasks_for(spark.range(1, n + 1), "id", owners, seed)
 
 
-def _tasks(spark: SparkSession, n: int, owners: list[str], draws: list[Column]) -> DataFrame:
+def _tasks(rows: DataFrame, owners: list[str], draws: list[Column]) -> DataFrame:
     pick = F.element_at(F.array(*[F.lit(o) for o in owners]), (F.floor(F.col("_o") * len(owners)) + 1).cast("int"))
-    t = spark.range(1, n + 1).withColumns(dict(zip(("_o", "_p", "_s", "_d"), draws, strict=True)))
+    t = rows.withColumns(dict(zip(("_o", "_p", "_s", "_d"), draws, strict=True)))
     priority = F.when(F.col("_p") < 0.3, "High").when(F.col("_p") < 0.75, "Medium").otherwise("Low")
     status = F.when(F.col("_s") < 0.3, "Done").when(F.col("_s") < 0.6, "In-Progress").when(F.col("_s") < 0.8, "Pending").otherwise("To-Do")
     return t.select(F.col("id").alias("task"), pick.alias("owner"), priority.alias("priority"), status.alias("status"), F.round(0.1 + 0.8 * F.col("_d"), 2).alias("share"))
