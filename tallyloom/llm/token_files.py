@@ -8,13 +8,13 @@ A file is
     its compressed size, its size, and the low 32 bits of the XXH64 of its content.
 A reader takes the footer, the tables and then only the frames of the documents asked for.
 
-Documents are dealt into ranges of doc_id, so file after file they are in ascending order. A task
+Documents are dealt into ranges of doc_id and, within one, of a hash of the text, so file after file they are in ascending order. A task
 writes its file under a new name and returns a row about it; the manifest holds the rows of the
 tasks that Spark counted, so a retried task's leftovers are never read. The manifest has a row for
 each file, and one sum over it gives where each file starts in the whole sequence of ids.
 
 Null and empty texts have the end id only. Null doc_ids come first; rows that repeat a doc_id stay
-separate, in the order of their texts. An empty table gives an empty manifest and no documents.
+separate, in the order of a hash of their texts. An empty table gives an empty manifest and no documents.
 Other columns are ignored. A text is encoded whole, whatever its length.
 """
 
@@ -161,8 +161,10 @@ def written(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str, en
             part = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "file": [f"{path}/{file}"], "documents": pa.array([len(out.sizes)], pa.int64()), "ids": pa.array([n_ids], pa.int64())})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ranges = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # after the doc_id, so that rows with one id or none are many files too
+    order = ["doc_id", "spread", "row"]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("spread"), F.monotonically_increasing_id().alias("row"))
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("spread", "row")
     manifest = stored(ranges.mapInArrow(write, MANIFEST), spark)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)).cast("long"))
@@ -181,8 +183,8 @@ def read(manifest: DataFrame, wanted: list[int] | None = None) -> DataFrame:
                     crc = [zlib.crc32(r.document(int(i)).astype("<u4").tobytes()) for i in which]
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(r.doc_ids[which], pa.int64(), mask=r.null[which]), "start": pa.array(start + r.starts[which], pa.int64()), "n_tokens": pa.array(r.sizes[which], pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
-    files = manifest.select("file", "start")
-    return files.repartition(max(1, files.count()), "file").mapInArrow(docs, READ)
+    files = manifest.select("part", "file", "start")
+    return files.repartitionByRange(max(1, files.count()), "part").mapInArrow(docs, READ)
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1) -> DataFrame:

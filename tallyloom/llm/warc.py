@@ -13,7 +13,7 @@ Leftovers of failed tasks are in no list. A folder without lists is read as plai
 
 The job. Of the records with equal payloads of at least `least` bytes the one with the smallest
 page_id is a response, the others are revisits that refer to it. Groups are counted with partial
-sums; the join back has the copies on one side, whose large partitions adaptive execution splits.
+sums; in the join back rows of very common payloads are spread over the tasks.
 
 Nulls, repeats and other cases: a null html is an empty payload. A null url is written as an empty
 target. Of rows that repeat the page_id of a response, the first in the order of their urls is the
@@ -53,7 +53,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from .shared import shared_dir, stored
+from .shared import heavy_keys, shared_dir, spread_join, stored
 
 TARGET = 64 << 20
 BATCH = 16 << 20
@@ -369,13 +369,14 @@ class WarcSource(DataSource):
 
 
 def planned(pages: DataFrame, least: int = 0, html: str = "html", id_col: str = "page_id", url: str = "url") -> DataFrame:
-    """The records to write: a response or a revisit for each row of pages."""
+    """The records to write: a response or a revisit for each row of pages. Rows of very common payloads are spread over the tasks."""
     body = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).alias("target_uri"), body.alias("html"), F.sha1(body).alias("_sha1"), F.octet_length(body).cast("long").alias("payload_bytes"))
     # a null page_id is the last; of repeated page_ids the first by url stays
     rank = F.struct(F.col("page_id").isNull().alias("a"), F.col("page_id").alias("b"), F.coalesce("target_uri", F.lit("")).alias("c"))
-    first = rows.withColumn("rank", rank).groupBy("_sha1").agg(F.min("rank").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    joined = rows.join(first.where("_n > 1").withColumnRenamed("_sha1", "_key"), F.col("_sha1") == F.col("_key"), "left")
+    counted = stored(rows.withColumn("rank", rank).groupBy("_sha1").agg(F.min("rank").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), pages.sparkSession)
+    heavy = heavy_keys(counted, "_sha1", "_n", pages.count())
+    joined = spread_join(rows, counted.drop("_n"), "_sha1", heavy)
     own = F.col("_first").isNull() | (F.col("payload_bytes") < least) | (rank == F.col("_first"))
     return joined.select(
         F.when(own, "response").otherwise("revisit").alias("record_type"),

@@ -106,3 +106,27 @@ def test_wanted_documents(spark, docs):
     m = token_files.written(spark, docs, shared_dir(spark), "word_bpe_49k.json", 1)
     every = {tuple(r) for r in token_files.read(m).where("doc_id in (9, 21)").collect()}
     assert {tuple(r) for r in token_files.read(m, [9, 21]).collect()} == every and every
+
+
+def test_rows_without_an_id_are_many_files(spark, tmp_path):
+    """Four of five documents have no id, half of these one text: no file has more than a few times the median, and each is read by a task of its own."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(2000).select(F.when(F.col("id") % 5 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("same text")).otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text")).repartition(3)
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in zip(names, ("8", "false"), strict=True):
+            spark.conf.set(n, v)
+        manifest = token_files.written(spark, docs, f"file://{tmp_path}/t", "word_bpe_49k.json", 1)
+        sizes = sorted(r["documents"] for r in manifest.collect())
+        out = token_files.read(manifest)
+        tasks = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+        rows = out.orderBy("start").collect()
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert len(sizes) == 8 and sizes[-1] < 3 * sizes[4] and sorted(tasks) == sizes
+    assert len(rows) == 2000 and [r["start"] for r in rows[1:]] == [r["start"] + r["n_tokens"] for r in rows[:-1]]
+    ids = [r["doc_id"] for r in rows]
+    assert ids[:1600] == [None] * 1600 and ids[1600:] == sorted(ids[1600:])

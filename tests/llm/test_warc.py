@@ -116,3 +116,23 @@ def test_members_that_are_cut_off():
         [block() for _, block in warc.Records(io.BytesIO(data[:60]), True)]
     with pytest.raises(warc.Damaged):
         list(warc.Records(io.BytesIO(gzip.compress(b"nothing of the kind")), True))
+
+
+def test_a_very_common_payload_is_spread(spark):
+    """Four of five pages are equal: the join back gives no task more than a few times the median."""
+    from pyspark.sql import functions as F
+
+    pages = spark.range(4000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 5 == 0, F.col("id").cast("string")).otherwise("error page").alias("html")).repartition(3)
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in zip(names, ("-1", "false", "16"), strict=True):
+            spark.conf.set(n, v)
+        plan = warc.planned(pages)
+        sizes = sorted(r["count"] for r in plan.groupBy(F.spark_partition_id()).count().collect())
+        got = plan.groupBy("record_type", "refers_to").count().collect()
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert sizes[-1] < 3 * sizes[len(sizes) // 2] and len(sizes) == 16
+    assert {tuple(r) for r in got} == {("response", None, 801), ("revisit", 1, 3199)}
