@@ -105,11 +105,11 @@ def test_bodies(spark):
 def test_sections_are_read_once(spark, tmp_path):
     pytest.importorskip("yaml")
     (tmp_path / "a.yaml").write_text("people:\n  - name: A\n  - name: B\nnone:\n")
-    (tmp_path / "b.yaml").write_text("cards:\n  - {n: '1', on: true}\n")
+    (tmp_path / "b.yaml").write_text("cards:\n  - {n: '1', y: true}\n")
     (tmp_path / "c.yaml").write_text("")
     every = files.all_sections(spark, f"file://{tmp_path}/*.yaml").cache()
     assert {(r["section"], r["position"]) for r in every.collect()} == {("people", 0), ("people", 1), ("none", None), ("cards", 0)}
-    assert json.loads(files.section(every, "cards").first()["row"]) == {"n": "1", "on": True}
+    assert json.loads(files.section(every, "cards").first()["row"]) == {"n": "1", "y": True}
     assert files.section(every, "none", required=True).count() == 0 and files.section(every, "away").count() == 0
     with pytest.raises(KeyError):
         files.section(every, "away", required=True)
