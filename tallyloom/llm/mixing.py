@@ -7,8 +7,8 @@ ends at its own number of slots. The k-th slot of a source takes the block that
 pseudorandom permutation of the block indexes gives for k; after all blocks have been taken once
 the next pass has another permutation. Slots and blocks meet in a join by index.
 
-What goes through the driver is a row for each source and, for SHARDS shards at most, the drawn
-counts. Rows that are the same in all columns used are counted first. Positions in a source's stream
+What goes through the driver, and to the tasks that draw, is a row for each source; a shard's counts are drawn in
+a task. Rows that are the same in all columns used are counted first. Positions in a source's stream
 come from sums over buckets of hashes of the rows, so one source may hold any share of the rows, and so
 may rows without a doc_id or of one text.
 
@@ -22,9 +22,11 @@ through `mixed`; `taken` ignores them. The same input and seed give the same mix
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,22 +89,39 @@ def placed(rows: DataFrame) -> DataFrame:
     return each.select("k1", "k2", "unit", "doc_id", "source", "size", "source_size", "source_no", "target", (F.col("_start") + F.col("_before") + F.col("unit") * F.col("size")).alias("start"))
 
 
-def drawn(slots: np.ndarray, seed: int, per_shard: int) -> list[tuple[int, int, int, int]]:
-    """(shard, source, first slot, slots): multinomial counts per shard, which end at slots[i] for source i."""
-    rng, left, out, shard = np.random.default_rng(seed), slots.astype(np.int64).copy(), [], 0
-    while (total := int(left.sum())) > 0:
-        if total <= per_shard:
-            now = left.copy()
+def shared_out(slots: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """n of the slots, by a multinomial whose chances are what each source has; what a source could not give is drawn again."""
+    now = np.zeros_like(slots)
+    while (short := n - int(now.sum())) > 0:
+        rest = slots - now
+        now += np.minimum(rng.multinomial(short, rest / rest.sum()), rest)
+    return now
+
+
+def draw(slots: np.ndarray, shard: int, seed: int, per_shard: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each source the first slot and the number of slots of a shard, which follow from the seed alone.
+
+    The shards are halved again and again, and at each step the slots of a half are drawn from what its
+    shards have together. So a shard is drawn without the others, and the shards' counts end at slots[i] for source i.
+    """
+    total = int(slots.sum())
+    lo, hi = 0, -(-total // per_shard)
+    first, own = np.zeros(len(slots), np.int64), slots.astype(np.int64).copy()
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left = shared_out(own, (mid - lo) * per_shard, np.random.default_rng((seed, lo, hi)))
+        if shard < mid:
+            own, hi = left, mid
         else:
-            now = np.zeros_like(left)
-            while (short := per_shard - int(now.sum())) > 0:  # again for what a source could not give
-                rest = left - now
-                now += np.minimum(rng.multinomial(short, rest / rest.sum()), rest)
-        done = slots - left
-        out += [(shard, int(i), int(done[i]), int(now[i])) for i in np.flatnonzero(now)]
-        left -= now
-        shard += 1
-    return out
+            first, own, lo = first + left, own - left, mid
+    return first, own
+
+
+def drawn(slots: np.ndarray, seed: int, per_shard: int) -> Iterator[tuple[int, int, int, int]]:
+    """(shard, source, first slot, slots) of all shards."""
+    for shard in range(-(-int(slots.sum()) // per_shard)):
+        first, own = draw(slots, shard, seed, per_shard)
+        yield from ((shard, int(i), int(first[i]), int(own[i])) for i in np.flatnonzero(own))
 
 
 def _mixed64(x: np.ndarray) -> np.ndarray:
@@ -148,8 +167,17 @@ def slots(spark: SparkSession, known: DataFrame, seed: int, block: int = BLOCK)
     size = np.array([r["source_size"] for r in rows], np.int64)
     blocks = -(-size // block)
     want = np.minimum(np.rint(np.array([r["target"] for r in rows]) / (size / blocks)).astype(np.int64), MOST * blocks)
-    counts = drawn(want, seed, max(SLOTS, -(-int(want.sum()) // SHARDS)))
-    plan = spark.createDataFrame([(s, rows[i]["source_no"], first, n, int(blocks[i])) for s, i, first, n in counts], empty)
+    per_shard = max(SLOTS, -(-int(want.sum()) // SHARDS))
+    number = np.array([r["source_no"] for r in rows], np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard in b.column(0).to_pylist():
+                first_slot, own = draw(want, shard, seed, per_shard)
+                at = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard)), pa.array(number[at]), pa.array(first_slot[at]), pa.array(own[at]), pa.array(blocks[at])], ["shard", "source_no", "first", "n", "blocks"])
+
+    plan = spark.range(-(-int(want.sum()) // per_shard)).mapInArrow(run, empty)
     runs = plan.select("shard", "source_no", "first", "n", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))).alias("lo"))
     each = runs.select("shard", "source_no", "blocks", F.explode(F.sequence(F.col("first") + F.col("lo"), F.col("first") + F.least(F.col("lo") + RUN, F.col("n")) - 1)).alias("slot"))
     return each.select("shard", "source_no", "slot", _block_of("slot", "blocks", "source_no", F.lit(seed)).alias("block"))

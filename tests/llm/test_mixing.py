@@ -79,3 +79,26 @@ def test_drawn_ends_at_its_totals():
         total[i] += n
         per[shard] += n
     assert [total[i] for i in range(4)] == want.tolist() and set(list(per.values())[:-1]) == {100}
+
+
+def test_a_shard_is_drawn_without_the_others(spark, monkeypatch):
+    """Two thousand sources: the tasks' counts are those of the draws, every slot once, in shards of one size."""
+    monkeypatch.setattr(mixing, "SLOTS", 64)
+    want = np.arange(2000) % 7
+    known = spark.createDataFrame([(i, int(128 * n), float(128 * n)) for i, n in enumerate(want)], "source_no int, source_size long, target double")
+    got = mixing.slots(spark, known, 5).collect()
+    assert Counter(r["source_no"] for r in got) == Counter({i: int(n) for i, n in enumerate(want) if n})
+    assert len({(r["source_no"], r["slot"]) for r in got}) == len(got) and len({(r["source_no"], r["block"]) for r in got}) == len(got)
+    per = Counter(r["shard"] for r in got)
+    assert set(list(dict(sorted(per.items())).values())[:-1]) == {64} and len(per) == -(-len(got) // 64)
+    draws = {(s, i): (first, n) for s, i, first, n in mixing.drawn(np.array([n for n in want if n]), 5, 64)}
+    number = np.flatnonzero(want)
+    assert {(r["shard"], r["source_no"]) for r in got} == {(s, int(number[i])) for s, i in draws}
+
+
+def test_shards_follow_the_shares():
+    """Each shard has about a source's share of slots, but not exactly."""
+    want = np.array([60_000, 30_000, 10_000])
+    counts = np.array([mixing.draw(want, s, 9, 1000)[1] for s in range(100)])
+    assert counts.sum(0).tolist() == want.tolist() and counts.std(0).min() > 3
+    assert np.abs(counts.mean(0) - want / 100).max() < 1e-9 and np.abs(counts - want / 100).max() < 120
