@@ -91,7 +91,7 @@ class RunHistory:
         last = F.struct("start", "attempt", "duration", "status").cast(_LAST)
         new = own.select("run", "history_id", "status", last.alias("last"), F.lit(1).cast("long").alias("attempts"))
         runs = rows.select("run").distinct()
-        old = self.states().join(F.broadcast(runs), "run", "left_semi").select("run", "history_id", F.explode("each").alias("e"))
+        old = self.states().join(runs, "run", "left_semi").select("run", "history_id", F.explode("each").alias("e"))
         self._write("state", joined(old.select("run", "history_id", "e.status", "e.last", "e.attempts").unionByName(new)), commit)
         self._write("totals", totals_of(self._read("state", STATE).where(F.col("commit") == commit)), commit)
         done = runs.withColumns({"batch": F.lit(batch), "version": F.lit(version).cast("long"), "commit": F.lit(commit)})
@@ -100,7 +100,8 @@ class RunHistory:
         return version
 
     def _write(self, what: str, rows: DataFrame, commit: str) -> None:
-        rows.withColumn("commit", F.lit(commit)).write.mode("append").partitionBy("run", "commit").parquet(f"{self.path}/{what}")
+        # few files for each run, and a run with most of the rows in several tasks
+        rows.withColumn("commit", F.lit(commit)).hint("rebalance", "run").write.mode("append").partitionBy("run", "commit").parquet(f"{self.path}/{what}")
 
     def states(self, version: int | None = None) -> DataFrame:
         return self._of("state", STATE, version)
