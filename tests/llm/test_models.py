@@ -85,6 +85,76 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert len(got) > 20 and got["score"].sum() > got["base_score"].sum() + 0.2 * got["n_tokens"].sum()
 
 
+def information(pairs, of):
+    """Mutual information of neighbouring classes, from all pairs anew."""
+    both, left, right = Counter(), Counter(), Counter()
+    for (a, b), n in pairs.items():
+        both[of(a), of(b)] += n
+        left[of(a)] += n
+        right[of(b)] += n
+    f = lambda c: sum(n * math.log(n) for n in c.values())
+    return f(both) - f(left) - f(right)
+
+
+def class_scores(rows, top, classes):
+    """The whole class model in loops: classes by exchange, transitions, emissions; the scores of all texts."""
+    texts = {i: [*t.lower().split(), None] for i, t in rows}  # None: the end
+    train = [ts for i, ts in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    count = Counter(w for ts in train for w in ts)
+    signed = lambda w: (h := xxhash.xxh64_intdigest(w)) - (1 << 64 if h >> 63 else 0)
+    first = sorted((w for w in count if w), key=lambda w: (-count[w], signed(w)))[:top]
+    cls = {w: k % classes for k, w in enumerate(first)}
+
+    def of(w):
+        return cls[w] if w in cls else "end" if w is None else f"band {int(math.log2(count[w]))}" if count[w] else "band 0"
+
+    pairs = Counter(x for ts in train for x in zip([None, *ts], ts))
+    # the information's last term is the number of pairs, which no move changes
+    whole = len(list(x for ts in train for x in ts))
+    rest, now = whole * math.log(whole), information(pairs, of)
+    for _ in range(class_lm.SWEEPS):
+        before = now
+        for w in first:
+            was, each = cls[w], []
+            for c in range(classes):
+                cls[w] = c
+                each.append(information(pairs, of))
+            best = max(range(classes), key=lambda c: (each[c], -c))
+            cls[w] = best if each[best] > each[was] + 1e-9 else was
+        now = information(pairs, of)
+        if now - before < class_lm.STILL * abs(now + rest):
+            break
+    size, out, both = Counter(), Counter(), Counter()
+    for (a, b), n in pairs.items():
+        size[of(b)] += n
+        out[of(a)] += n
+        both[of(a), of(b)] += n
+    there = {*size, "band 0", "end"}
+    share = {c: (size[c] + 0.5) / (whole + 0.5 * len(there)) for c in there}
+    once, twice = (sum(n == k for w, n in count.items() if w) for k in (1, 2))
+    novel = (once + 0.5) / (once + 2 * twice + 1)
+
+    def word(w):
+        return novel if not count[w] else (1 - novel) / once if of(w) == "band 0" else count[w] / size[of(w)]
+
+    chance = lambda a, b: (both[of(a), of(b)] + class_lm.PRIOR * share[of(b)]) / (out[of(a)] + class_lm.PRIOR) * word(b)
+    return {i: sum(math.log10(chance(a, b)) for a, b in zip([None, *ts], ts)) for i, ts in texts.items()}
+
+
+def test_scores_of_the_class_model_are_those_of_a_plain_one(spark):
+    """Top words, bands of counts, words seen once, unknown words, the end; held-out texts too."""
+    r = random.Random(11)
+    groups = [[f"{g}{k}" for k in range(4)] for g in ("name", "verb", "thing")]
+    rare = [f"rare{k}" for k in range(60)]
+    rows = []
+    for i in range(90):
+        text = " ".join(" ".join(r.choice(g) if r.random() < 0.95 else r.choice(rare) for g in groups) for _ in range(r.randint(0, 12)))
+        rows.append((i, text if i % 9 else text.upper() + f" new{i}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["score"] for x in class_lm.scored(spark, df, top=12, classes=3, enough=10**9).collect()}
+    assert got == pytest.approx(class_scores(rows, 12, 3), rel=1e-9)
+
+
 def labelled(n):
     r = random.Random(7)
     good = [f"word{i}" for i in range(300)]
