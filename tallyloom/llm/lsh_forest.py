@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .columns import lowered, parted, releasing, slices
 from .components import components
-from .shared import heavy_keys, removed, shared_dir, spread_join, stored, unused
+from .shared import heavy_keys, removed, shared_dir, spread, spread_join, stored, unused
 
 TREES, DEPTH, ROOT = 16, 8, 3
 NEIGHBOURS = 64
@@ -48,6 +48,7 @@ BITS = TREES * DEPTH
 FINE_BITS = 2048
 BLOCK = 512
 TEXTS_AT_ONCE = 512
+ORDER_ROWS = 1 << 20  # of a task's part of the sorted orders
 _FACTORS = np.random.default_rng(20).integers(1 << 62, 1 << 63, BITS + FINE_BITS, dtype=np.uint64) | np.uint64(1)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 SIGNED = "doc_id long, text_id long, n_shingles long, digest binary, labels binary, sketch binary"
@@ -119,9 +120,12 @@ def forest(nodes: DataFrame, *more: str) -> DataFrame:
     return nodes.select("node", "n_shingles", "sketch", *more, trees.alias("t")).select("t.tree", "t.label", "node", "n_shingles", "sketch", *more)
 
 
-def in_order(rows: DataFrame) -> DataFrame:
+def in_order(rows: DataFrame, n: int) -> DataFrame:
+    """The n nodes' rows in the order of each tree, in ranges of about ORDER_ROWS rows where the session's partitions would be larger."""
     order = ["tree", "label", "node"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = spread(n * TREES, ORDER_ROWS)
+    more = [parts] if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    return rows.repartitionByRange(*more, *order).sortWithinPartitions(*order)
 
 
 class Stretch:
@@ -320,7 +324,8 @@ def linked(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: flo
     rows = stored(signed(docs, width, text, id_col), spark)
     alike = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_rows"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"))
     nodes = stored(alike, spark)
-    chosen = stored(likeliest(in_order(forest(nodes.where("node is not null"))), similarity, neighbours), spark)
+    n = nodes.count()
+    chosen = stored(likeliest(in_order(forest(nodes.where("node is not null")), n), similarity, neighbours), spark)
     paths = [shared_dir(spark), shared_dir(spark)]
     sets = stored(full_sets(docs, chosen, width, text, id_col), spark, paths[0], compression="uncompressed")
     links = stored(confirmed(chosen.where("partner is not null").select(F.col("partner").alias("a"), F.col("node").alias("b")), sets, similarity), spark)
@@ -328,7 +333,7 @@ def linked(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: flo
     roots = F.concat(*[F.substring("labels", t * 2 * DEPTH + 1, 2 * ROOT) for t in range(TREES)])
     fine = stored(nodes.drop("sketch").withColumn("roots", roots).join(sets.select("node", "sketch"), "node"), spark, paths[1])
     in_groups = lambda: fine.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = stored(confirmed(likeliest_across(in_order(forest(in_groups(), "roots", "component")), similarity, neighbours), sets, similarity), spark)
+    first = stored(confirmed(likeliest_across(in_order(forest(in_groups(), "roots", "component"), n), similarity, neighbours), sets, similarity), spark)
     links = links.union(first)
     groups = components(spark, links)
     left = mixed_regions(forest(in_groups(), "roots", "component"), neighbours)

@@ -107,3 +107,13 @@ def test_components(spark, monkeypatch, few):
     assert got == {i: find(i) for a, b in links if a != b for i in (a, b)}
     assert components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
     assert components(spark, spark.createDataFrame([(1, None), (None, 2), (3, 3)], "a long, b long")).count() == 0
+
+
+def test_many_nodes_are_dealt_into_more_ranges(spark, family, monkeypatch):
+    """A task's part of the sorted orders is bounded whatever the session's partitions; the links are the same."""
+    rows, docs = family
+    monkeypatch.setattr(lsh_forest, "ORDER_ROWS", 500)
+    nodes = lsh_forest.signed(docs, 5, "text", "doc_id").where("digest is not null").withColumnRenamed("doc_id", "node")
+    n = nodes.count()
+    assert lsh_forest.in_order(lsh_forest.forest(nodes), n).rdd.getNumPartitions() == -(-16 * n // 500) > 4
+    assert {r["doc_id"]: r["component_id"] for r in lsh_forest.linked(spark, docs).collect()} == by_hand(rows)
