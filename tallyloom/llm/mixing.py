@@ -189,7 +189,8 @@ def _pieces(rows: DataFrame, times: DataFrame, block: int) -> DataFrame:
     last = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))
     p = rows.withColumn("block", F.explode_outer(last))
     p = p.withColumns({"lo": F.greatest(F.lit(0), F.col("block") * block - F.col("start")), "hi": F.least(F.col("size"), (F.col("block") + 1) * block - F.col("start"))})
-    return p.join(times, ["source_no", "block"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    # Spark takes the blocks of all shards for as few rows as there are shards, and would broadcast them
+    return p.join(times.hint("merge"), ["source_no", "block"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 def _times(spark: SparkSession, rows: DataFrame, seed: int, block: int) -> DataFrame:
