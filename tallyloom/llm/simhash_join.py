@@ -323,7 +323,8 @@ def linked(spark: SparkSession, docs: DataFrame, width: int = 3, threshold: int
     n, n_rows = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     known = Parts(grouped(agreements(nodes), n, parts or parts_for(n, threshold)), n)
     known.cells = counted(nodes, known)
-    met = index_rows(nodes, known).join(probe_rows(nodes, known, threshold), ["part", "value"])
+    # the rows of a node are many, so Spark's estimate from the nodes' file is too low for a broadcast
+    met = index_rows(nodes, known).join(probe_rows(nodes, known, threshold).hint("merge"), ["part", "value"])
     apart = F.bit_count(F.col("of").bitwiseXOR(F.col("fp")))
     found = met.where((apart <= threshold) & (F.col("of") != F.col("fp"))).select(F.least("of", "fp").alias("a"), F.greatest("of", "fp").alias("b"))
     groups = components(spark, stored(found.union(half_way(nodes, known, threshold)), spark))
