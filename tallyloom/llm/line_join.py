@@ -20,8 +20,7 @@ as they are.
    are found by a sieve of their ids, so that the others aren't shuffled, meet them in two joins,
    are verified by a banded bit-parallel automaton and give components.
 4. What is left are the rows of long runs and of runs with many candidates, such as those of a
-   template's lines or of near-copies. They are dealt anew by parts of their parities, as of two
-   texts that are near enough one part is equal, and get their texts and components. A run is cut
+   template's lines or of near-copies. They get their texts and components, and a run is cut
    into blocks of ROWS; each two blocks are a unit, where pairs of different components are
    verified at once, the likeliest first, and each link joins two components. So no task holds a
    run, no group gives all its pairs, and no two near texts are left in different components.
