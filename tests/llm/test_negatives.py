@@ -51,6 +51,7 @@ def test_all_cases(spark):
     rows = [(i, v, i % 2) for i in range(24)] + [(30, v, None), (31, None, 1), (32, [1.0, None, 2.0], 1), (33, [float("nan")] * 3, 0), (34, [float("inf"), 0.0, 0.0], 0)]
     rows += [(None, v, 0), (None, [0.45, -0.25, 0.9], 1), (10, v, 0), (40, [], 0), (50, [1.0], 1), (60, [-1.0, 0.0, 0.0, 3.0], 1), (61, [0.9], 7), (70, [0.0, 0.0, 0.0], 0)]
     assert mined(spark, rows) == plain(rows)
+    assert mined(spark, [(1, v, 0), (2, v, 1)]) == [] and mined(spark, [(10, v, 0), (2, v, 1)]) == []
     assert mined(spark, []) == [] and mined(spark, [(0, None, 1)]) == [] and mined(spark, [(0, [], 1)]) == []
 
 
