@@ -95,22 +95,25 @@ def ranged(rows: DataFrame, order: list[Column], range_rows: int = RANGE_ROWS) -
     return Ranged(spark, path, schema, order, [0, *accumulate(counts)])
 
 
-def running(rows: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column], range_rows: int = RANGE_ROWS) -> DataFrame:
-    """rows with running sums: of the rows of the same `by` up to this one, itself included. Two levels: sums over
-    the ranges of a key are carried on, and each range adds its own rows up.
+def running(rows: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column], range_rows: int = RANGE_ROWS, least: dict[str, Column] | None = None, greatest: dict[str, Column] | None = None) -> DataFrame:
+    """rows with running sums, least and greatest values: of the rows of the same `by` up to this one, itself included. Two
+    levels: those of the ranges of a key are carried on, and each range takes in its own rows.
 
-    A null adds nothing; before the first value the sum is null, as it is in SQL. Rows with equal `order` in
+    A null adds nothing; before the first value the result is null, as it is in SQL. Rows with equal `order` in
     a key follow each other in no given order, so it should be total in it.
     """
-    values = rows.withColumns({f"__v_{name}": c for name, c in sums.items()})
+    least, greatest = least or {}, greatest or {}
+    how = dict.fromkeys(sums, F.sum) | dict.fromkeys(least, F.min) | dict.fromkeys(greatest, F.max)
+    values = rows.withColumns({f"__v_{name}": c for name, c in (sums | least | greatest).items()})
     r = ranged(values, [*map(F.col, by), *order], range_rows)
-    own = [F.sum(f"__v_{name}").alias(f"__s_{name}") for name in sums]
-    before = _carried(r, by, own, {f"__c_{name}": F.sum(f"__s_{name}") for name in sums})
-    local = r.rows().withColumns({f"__l_{name}": F.sum(f"__v_{name}").over(r.inside(*by).rowsBetween(Window.unboundedPreceding, 0)) for name in sums})
+    own = [f(f"__v_{name}").alias(f"__s_{name}") for name, f in how.items()]
+    before = _carried(r, by, own, {f"__c_{name}": f(f"__s_{name}") for name, f in how.items()})
+    local = r.rows().withColumns({f"__l_{name}": f(f"__v_{name}").over(r.inside(*by).rowsBetween(Window.unboundedPreceding, 0)) for name, f in how.items()})
     out = _with_carry(local, before, by)
     zero = lambda c: F.coalesce(c, F.lit(0))
     total = {name: F.when(F.col(f"__l_{name}").isNotNull() | F.col(f"__c_{name}").isNotNull(), zero(F.col(f"__l_{name}")) + zero(F.col(f"__c_{name}"))) for name in sums}
-    return out.withColumns(total).select(*rows.columns, *sums)
+    total |= {name: F.least(f"__l_{name}", f"__c_{name}") for name in least} | {name: F.greatest(f"__l_{name}", f"__c_{name}") for name in greatest}
+    return out.withColumns(total).select(*rows.columns, *how)
 
 
 def moving(rows: DataFrame, by: list[str], order: list[Column], value: Column, preceding: int, name: str, range_rows: int = RANGE_ROWS) -> DataFrame:

@@ -40,6 +40,32 @@ def test_overlapping_intervals(spark, by):
     assert intervals.overlapping(left, right.where("false"), "b", "e", by).count() == 0
 
 
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_totals_of_overlaps(spark, by):
+    """Against all pairs, in ranges of few rows; nulls, repeats and a hot place; and no pairs are made."""
+    r = random.Random(8)
+
+    def side(n):
+        out = [(i, r.choice([1, 1, 2, None]), lo := r.choice([42, r.randrange(-300, 300)]), lo + r.choice([0, 0, 3, 60, 900, -1]), r.choice([None, 1, -5, 7])) for i in range(n)]
+        return [*out, (n, 1, None, 5, 1), (n, 1, 5, None, 1), out[0], (n + 1, 1, 5000, 5001, 1), (n + 2, 2, -(10**12), -(10**11), None)]
+
+    a, b = side(60), side(90)
+    left, right = (spark.createDataFrame(x, "id long, k long, b long, e long, v long").repartition(3) for x in (a, b))
+    got = intervals.overlap_totals(left, right, "b", "e", {"s": "v"}, by, range_rows=16)
+    ok = lambda x: x[2] is not None and x[3] is not None and x[2] <= x[3]
+    want = []
+    for x in a:
+        near = [y for y in b if ok(x) and ok(y) and x[2] <= y[3] and y[2] <= x[3] and (not by or (x[1] is not None and x[1] == y[1]))]
+        values = [y[4] for y in near if y[4] is not None]
+        want.append((*x, len(near), sum(values) if values else None, min((y[2] for y in near), default=None), max((y[3] for y in near), default=None)))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    none = intervals.overlap_totals(left, right.where("false"), "b", "e", {"s": "v"}, by)
+    assert none.where("n = 0 and s is null and first is null and last is null").count() == len(a)
+    # a thousand million pairs
+    many = spark.range(32_000).select(F.lit(0).cast("long").alias("b"), F.col("id").alias("e"))
+    assert intervals.overlap_totals(many, many, "b", "e", {"s": "e"}).where(f"n = 32000 and s = {32_000 * 31_999 // 2} and first = 0 and last = 31999").count() == 32_000
+
+
 def test_an_interval_is_few_rows(spark):
     rows = spark.createDataFrame([(i, i + n) for i in range(0, 5000, 7) for n in (0, 1, 31, 32, 1000)], "b long, e long")
     at = rows.select(F.col("b").alias("__begin"), F.col("e").alias("__end")).withColumn("__level", intervals._level(F.col("__begin"), F.col("__end")))
