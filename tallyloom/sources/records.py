@@ -1,10 +1,9 @@
 """Result records whose steps may be nested to any depth.
 
-A record is read with its steps as a VARIANT, which has no depth. Steps come out level by level: a
-round takes the steps of one level apart and keeps what is below them, until nothing is below. Each
-level is written to the shared folder, so a round reads its level only and the plan doesn't grow. Rows of
-a level are spread as the records are; a record's steps never meet in one task. `nested` is the way
-back: from the deepest level up, steps are gathered under their parents.
+A record is read with its steps as a VARIANT, which has no depth. A step gives its own row and those of the steps right below it,
+so LEVELS levels come out of a record's row one after another in one go; they are written once to the shared
+folder. What is deeper goes on from there, LEVELS levels at a time, until nothing is below. `nested` is the way back:
+a record's steps are sorted and written down as one text, as a record is one document anyway.
 
 A step's path has the position, from 0, of each step on the way to it: '0.2' is the third step of the
 first one. Nulls and other cases: a record without steps gives no rows; steps that are null, no array,
@@ -29,6 +28,9 @@ RECORD = (
 )
 CONTAINER = "uuid string, children array<string>, befores variant, afters variant, start bigint, stop bigint, broken string"
 STEP = {"name": "string", "status": "string", "start": "bigint", "stop": "bigint"}
+#: A step as it is read; what doesn't fit is null.
+_STEP = f"struct<{', '.join(f'{n}: {kind}' for n, kind in STEP.items())}, statusDetails: struct<message: string>, attachments: {_ATTACHMENTS}, steps: array<variant>>"
+LEVELS = 8
 
 
 def read_records(spark: SparkSession, path: str, a_file_each: bool = True) -> DataFrame:
@@ -44,23 +46,32 @@ def read_containers(spark: SparkSession, path: str, a_file_each: bool = True) ->
 def flat_steps(spark: SparkSession, records: DataFrame, id_col: str = "uuid", steps: str = "steps") -> DataFrame:
     """uuid, path, depth (from 1), the fields of STEP, message, attachments and n_steps, the number of steps
     right below, of every step at every depth."""
-    items = lambda v: F.try_variant_get(v, "$", "array<variant>")
-    at = records.select(F.col(id_col).alias("uuid"), F.lit("").alias("above"), F.posexplode(items(F.col(steps))).alias("position", "step"))
-    levels, depth = [], 1
+    fields, none = [*STEP, "message", "attachments", "n_steps"], F.expr("cast(null as variant)")
+
+    def own(at: DataFrame, step: str = "step") -> DataFrame:
+        return at.withColumn("__t", F.try_variant_get(step, "$", _STEP)).withColumn("__n", F.coalesce(F.size("__t.steps"), F.lit(0)))
+
+    value = {**{n: F.col(f"__t.{n}") for n in STEP}, "message": F.col("__t.statusDetails.message"), "attachments": F.col("__t.attachments"), "n_steps": F.greatest("__n", F.lit(0))}
+    below = F.when(F.col("__n") > 0, F.col("__t.steps"))
+    at = records.select(F.col(id_col).alias("uuid"), F.posexplode(F.try_variant_get(steps, "$", "array<variant>")).alias("position", "step"))
+    at, parts, depth = at.withColumn("above", F.lit("")), [], 1
     while True:
-        below = F.try_variant_get("step", "$.steps", "variant")
-        fields = [F.try_variant_get("step", f"$.{name}", kind).alias(name) for name, kind in STEP.items()]
-        path = F.concat("above", F.col("position").cast("string"))
-        more = [F.try_variant_get("step", "$.statusDetails.message", "string").alias("message"), F.try_variant_get("step", "$.attachments", _ATTACHMENTS).alias("attachments")]
-        level = at.select("uuid", path.alias("path"), F.lit(depth).alias("depth"), *fields, *more, F.greatest(F.coalesce(F.size(items(below)), F.lit(0)), F.lit(0)).alias("n_steps"), below.alias("below"))
+        rows = own(at).select("uuid", F.concat("above", F.col("position").cast("string")).alias("path"), F.lit(depth).alias("depth"), *[value[n].alias(n) for n in fields], below.alias("below"))
+        for _ in range(LEVELS - 1):  # each row again, and the steps below those that are new
+            each = F.posexplode(F.when(F.col("below").isNull(), F.array(none)).otherwise(F.concat(F.array(none), "below"))).alias("position", "step")
+            new = F.col("position") > 0
+            out = own(rows.select("uuid", "path", "depth", *fields, each))
+            path = F.when(new, F.concat("path", F.lit("."), (F.col("position") - 1).cast("string"))).otherwise(F.col("path"))
+            rows = out.select("uuid", path.alias("path"), F.when(new, F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"), *[F.when(new, value[n]).otherwise(F.col(n)).alias(n) for n in fields], below.alias("below"))
+        depth += LEVELS
         where = scratch(spark)
-        level.write.parquet(where)
-        level = spark.read.schema(level.schema).parquet(where)
-        levels.append(level.drop("below"))
-        if not level.where("n_steps > 0").limit(1).count():
-            return reduce(DataFrame.unionByName, levels)
-        at = level.where("n_steps > 0").select("uuid", F.concat("path", F.lit(".")).alias("above"), F.posexplode(items(F.col("below"))).alias("position", "step"))
-        depth += 1
+        rows.write.parquet(where)
+        part = spark.read.schema(rows.schema).parquet(where)
+        parts.append(part.drop("below"))
+        deeper = part.where((F.col("depth") == depth - 1) & (F.col("n_steps") > 0))
+        if not deeper.limit(1).count():
+            return reduce(DataFrame.unionByName, parts)
+        at = deeper.select("uuid", F.concat("path", F.lit(".")).alias("above"), F.posexplode("below").alias("position", "step"))
 
 
 def step_attachments(steps: DataFrame) -> DataFrame:
@@ -84,27 +95,35 @@ def place(path: str) -> Column:
 def nested(spark: SparkSession, steps: DataFrame) -> DataFrame:
     """uuid and steps, a JSON array, of flat steps (uuid, path and the fields of STEP).
 
-    Steps of one parent are gathered in one row, as a record is one document anyway. Of rows that
+    A record's steps are gathered in one row, as a record is one document anyway. Of rows that
     repeat a record's path one is taken; a step whose parent isn't there is left out.
     """
-    own = F.concat(*[F.when(F.col(n).isNotNull(), F.concat(F.lit(f'"{n}":'), F.to_json(F.array(n)).substr(F.lit(2), F.length(F.to_json(F.array(n))) - 2), F.lit(","))).otherwise("") for n in STEP])
-    flat = steps.withColumn("depth", F.size(F.split("path", r"\.")))
-    where = scratch(spark)
-    flat.groupBy("uuid", "path", "depth").agg(F.min(own).alias("own")).write.parquet(where)
-    flat = spark.read.schema("uuid string, path string, depth int, own string").parquet(where)
-    depth = flat.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
-    below = None
-    while depth > 0:
-        level = flat.where(F.col("depth") == depth)
-        if below is not None:
-            level = level.join(below.withColumnRenamed("above", "path"), ["uuid", "path"], "left")
-        body = F.concat(F.lit("{"), "own", F.lit('"steps":'), F.coalesce(F.col("steps") if below is not None else F.lit(None), F.lit("[]")), F.lit("}"))
-        position = F.substring_index("path", ".", -1).cast("int")
-        above = F.when(F.instr("path", ".") > 0, F.regexp_replace("path", r"\.\d+$", ""))
-        each = level.select("uuid", above.alias("above"), F.struct(position.alias("position"), body.alias("body")).alias("step"))
-        array = F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list("step")), lambda s: s["body"]), ","), F.lit("]"))
-        below = each.groupBy("uuid", "above").agg(array.alias("steps"))
-        depth -= 1
-    if below is None:
-        return spark.createDataFrame([], "uuid string, steps string")
-    return below.select("uuid", "steps")
+    # nothing but the object's own braces is trimmed, as a value ends with a digit or a quotation mark
+    own = F.btrim(F.to_json(F.struct(*STEP), {"ignoreNullFields": "true"}), F.lit("{}"))
+    each = steps.where("path is not null").groupBy("uuid").agg(F.sort_array(F.collect_list(F.struct(place("path").alias("at"), own.alias("own")))).alias("all"))
+
+    def follows(x: Column, last: Column) -> Column:
+        """Whether the parent of x is `last` or above it, as it is for each step of a whole tree and the one before it."""
+        n = F.size(x["at"]) - 1
+        return (n == 0) | (last.isNotNull() & (F.size(last["at"]) >= n) & (F.slice(x["at"], 1, n) == F.slice(last["at"], 1, n)))
+
+    def opened(x: Column, last: Column) -> Column:
+        """A step up to where those below it come, after the ends of those before it."""
+        up = F.coalesce(F.size(last["at"]), F.lit(0)) - F.size(x["at"])
+        return F.concat(F.when(up >= 0, F.concat(F.repeat(F.lit("]}"), up), F.lit("]},"))).otherwise(""), F.lit("{"), x["own"], F.when(x["own"] == "", '"steps":[').otherwise(',"steps":['))
+
+    def joined(pieces: Column, tree: Column) -> Column:
+        return F.concat(F.lit("["), F.array_join(pieces, ""), F.repeat(F.lit("]}"), F.size(F.get(tree, F.size(tree) - 1)["at"])), F.lit("]"))
+
+    tree = F.col("all")
+    before = lambda c, i: F.get(c, i - 1)
+    again = lambda x, last: last.isNotNull() & (x["at"] == last["at"])
+    # null where a step lacks its parent; only such a record's steps are kept one by one
+    pieces = F.transform(tree, lambda x, i: F.when(again(x, before(tree, i)), "").when(follows(x, before(tree, i)), opened(x, before(tree, i))))
+    last = lambda found: F.get(found, F.size(found) - 1)
+    kept = F.aggregate(tree, F.slice(tree, 1, 0), lambda found, x: F.when(follows(x, last(found)) & ~again(x, last(found)), F.concat(found, F.array(x))).otherwise(found))
+    some = F.filter(F.array(kept), lambda x: F.size(x) > 0)  # no text without steps
+    mended = F.get(F.transform(some, lambda t: joined(F.transform(t, lambda x, i: opened(x, before(t, i))), t)), 0)
+    text = F.when(F.exists("pieces", lambda x: x.isNull()), mended).otherwise(joined(F.col("pieces"), tree))
+    # inline, as a filter would be computed below this, and the text twice
+    return each.withColumn("pieces", pieces).withColumn("text", text).select(F.inline(F.filter(F.array(F.struct("uuid", F.col("text").alias("steps"))), lambda x: x["steps"].isNotNull())))

@@ -74,3 +74,24 @@ def test_nested_is_the_way_back(spark, tmp_path):
     again = S.flat_steps(spark, back).drop("attachments")
     assert again.exceptAll(flat).count() == 0 and again.count() == flat.count()
     assert S.nested(spark, flat.where("false")).count() == 0
+
+
+def test_nested_with_gaps(spark):
+    """Steps without their parents are left out with all that is below them, repeated paths are one step, whole records stay whole."""
+    rows = [(u, p, f"{u}{p}", None, None, None) for u, ps in {"a": ["0", "0.0", "0.2.0", "0.2.0.1", "0.3", "2.0", "10", "10.1"], "b": ["1.0", "1.0.0"], "c": ["0", "1", "1.0", "1.0"], "d": ["0.0", "1"]}.items() for p in ps]
+    got = {r["uuid"]: json.loads(r["steps"]) for r in S.nested(spark, spark.createDataFrame(rows, "uuid string, path string, name string, status string, start long, stop long").repartition(3)).collect()}
+    step = lambda name, *below: {"name": name, "steps": list(below)}
+    assert got == {"a": [step("a0", step("a0.0"), step("a0.3")), step("a10", step("a10.1"))], "c": [step("c0"), step("c1", step("c1.0"))], "d": [step("d1")]}
+
+
+def test_steps_cost_no_shuffle_and_few_files(spark, tmp_path):
+    """Twenty levels are three parts, not twenty; the way back is one shuffle."""
+    deep = {"name": "20"}
+    for k in range(19, 0, -1):
+        deep = {"name": str(k), "steps": [deep, {"name": "leaf"}]}
+    flat = S.flat_steps(spark, S.read_records(spark, written(tmp_path, [{"uuid": "a", "steps": [deep]}])))
+    assert sorted((r["depth"], r["name"]) for r in flat.collect()) == sorted([(k, str(k)) for k in range(1, 21)] + [(k, "leaf") for k in range(2, 21)])
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    assert plan(flat).count("FileScan") == 3
+    back = S.nested(spark, flat)
+    assert "Join" not in plan(back) and back._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
