@@ -197,13 +197,28 @@ def _pairs(hashes, ids, marks) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
+def without_singles(cols: tuple, last: bool) -> tuple:
+    """Rows in order of hash, id and mark, given in order of hash, without most of those that have a hash alone. More rows of
+    the last hash may come unless `last`, so it stays; so does the first, which may go on from a batch before."""
+    hashes = cols[0]
+    if not len(hashes):
+        return cols
+    alone = np.append(True, hashes[1:] != hashes[:-1]) & np.append(hashes[1:] != hashes[:-1], last)
+    alone[0] = False
+    kept = np.flatnonzero(~alone)
+    hashes, ids, marks = (c[kept] for c in cols)
+    order = np.lexsort((marks, ids, hashes))
+    return hashes[order], ids[order], marks[order]
+
+
 def candidates(rows: DataFrame, run_rows: int) -> DataFrame:
     """a, b: pairs of ids; hash, id, mark: rows of long runs and of those with many candidates, with a and b
-    null. The run's rows come sorted, so a task holds a batch and a short run at most."""
+    null. Rows come sorted by hash, so a task holds a batch and a short run at most; those of one hash are put in order there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(cols: tuple, last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, long
+            cols = without_singles(cols, last)
             new = [np.append(True, c[1:] != c[:-1]) for c in cols] if len(cols[0]) else [np.empty(0, bool)]
             cols = tuple(c[np.logical_or.reduce(new)] for c in cols)  # a text comes once for each task that has it
             hashes = cols[0]
@@ -244,7 +259,7 @@ def candidates(rows: DataFrame, run_rows: int) -> DataFrame:
         if held is not None and len(held[0]):
             yield from out(held, True)
 
-    ordered = rows.repartition(F.col("hash")).sortWithinPartitions("hash", "id", "mark")
+    ordered = rows.repartition(F.col("hash")).sortWithinPartitions("hash")  # one number, which Spark sorts by radix
     return ordered.mapInArrow(releasing(run), f"a long, b long, {INDEX}")
 
 
@@ -354,7 +369,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     sided = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"of_{c}"))
-    return pairs.join(sided("a"), "a").join(sided("b"), "b").mapInArrow(releasing(run), "a long, b long")
+    return pairs.join(sided("a").hint("merge"), "a").join(sided("b").hint("merge"), "b").mapInArrow(releasing(run), "a long, b long")
 
 
 def links(spark: SparkSession, texts: DataFrame, threshold: int = THRESHOLD, run_rows: int = RUN, block: int = ROWS) -> DataFrame:
@@ -369,7 +384,8 @@ def links(spark: SparkSession, texts: DataFrame, threshold: int = THRESHOLD, run
     late = stored(found.where("a is null").select("hash", "id", "mark").distinct(), spark)
     removed(spark, path)
     ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(late.select("id")).distinct(), spark)
-    some = stored(sieved(texts, ids, "id").join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), spark)
+    # sort-merge joins at every size, as both sides grow with the input
+    some = stored(sieved(texts, ids, "id").join(ids.hint("merge"), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), spark)
     first = stored(verified(pairs, some, threshold), spark)
     if not late.limit(1).count():
         return first
@@ -379,7 +395,11 @@ def links(spark: SparkSession, texts: DataFrame, threshold: int = THRESHOLD, run
 
 
 def trimmed(c: Column) -> Column:
-    return F.btrim(c, F.lit(SPACES))
+    """c without white space around it. Few lines have any, and trimming looks at every character of a line."""
+    around = F.lit(False)
+    for space in SPACES:
+        around = around | c.startswith(space) | c.endswith(space)
+    return F.when(around, F.btrim(c, F.lit(SPACES))).otherwise(c)
 
 
 def line_rows(docs: DataFrame, shortest: int, text: str, id_col: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,3 +209,28 @@ def test_sieve_keeps_all_keys_and_few_others(spark):
     assert len(left) < 500
     assert sieved(rows, keys.where("false"), "id").count() == 0
     assert sieved(rows.where("false"), keys, "id").columns == rows.columns
+
+
+def test_single_hashes_are_left_out(spark):
+    """Rows of a hash come in any order; a hash that others may follow stays."""
+    rng = np.random.default_rng(3)
+    hashes = np.sort(rng.integers(-40, 40, 60))
+    cols = (hashes, rng.integers(0, 5, 60), rng.integers(0, 3, 60))
+    for last in (False, True):
+        got = list(zip(*(c.tolist() for c in L.without_singles(cols, last)), strict=True))
+        alone = {h for h in hashes.tolist() if (hashes == h).sum() == 1} - {hashes[0]} - (set() if last else {hashes[-1]})
+        assert got == sorted(x for x in zip(*(c.tolist() for c in cols), strict=True) if x[0] not in alone)
+    assert [len(c) for c in L.without_singles(tuple(c[:0] for c in cols), True)] == [0, 0, 0]
+
+
+def test_texts_meet_by_sort_merge_at_any_size(spark):
+    """A broadcast of few texts says nothing about many."""
+    texts = spark.createDataFrame([(1, "a"), (2, "b")], "id long, line string")
+    plan = L.verified(spark.createDataFrame([(1, 2)], "a long, b long"), texts, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plan
+
+
+def test_trimmed_lines(spark):
+    lines = ["", " ", "a", " a", "a\t", "\x0b\x0c a b \r\n", " a ", "é ", " é", None]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string").select("i", L.trimmed(F.col("x"))).orderBy("i").collect()
+    assert [r[1] for r in got] == [x if x is None else x.strip("\t\n\x0b\x0c\r ") for x in lines]
