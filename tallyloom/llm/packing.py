@@ -33,7 +33,7 @@ from .shared import stored
 from .tokens import encoder, ragged
 
 SHARD = 1024
-TEXTS_AT_ONCE = 1024
+TEXTS_AT_ONCE, TAILS_AT_ONCE = 1024, 256
 K1, B = 1.2, 0.75
 PIECE = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -102,18 +102,38 @@ class Weights:
         u, tf = np.unique(tail, return_counts=True)
         return u.astype(np.int64), self.idf[u] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(tail) / self.mean))
 
+    def of_all(self, tails: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What of() gives for each tail, one after another, and where in it each tail begins, with the end."""
+        sizes = np.fromiter(map(len, tails), np.int64, len(tails))
+        bits = len(self.idf).bit_length()
+        key, tf = np.unique(np.repeat(np.arange(len(tails)) << bits, sizes) | np.concatenate(tails), return_counts=True)
+        owner, u = key >> bits, key & (1 << bits) - 1
+        return u, self.idf[u] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[owner] / self.mean)), np.searchsorted(owner, np.arange(len(tails) + 1))
+
+    def heaviest(self, tails: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The heaviest and the second heaviest id of each tail, the smaller first among equals; of a single id, this twice."""
+        u, w, at = self.of_all(tails)
+        out = []
+        for _ in range(2):
+            top = np.flatnonzero(w == np.repeat(np.maximum.reduceat(w, at[:-1]), np.diff(at)))
+            top = top[np.searchsorted(top, at[:-1])]
+            out.append(u[top])
+            w[top] = -1
+        return out[0], out[1]
+
 
 class Shard:
     """An inverted index of some tails."""
 
     def __init__(self, tails: list[np.ndarray], weights: Weights):
-        self.terms = [weights.of(t) for t in tails]
-        sizes = [len(u) for u, _ in self.terms]
-        ids = np.concatenate([u for u, _ in self.terms])
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.begin, self.count = np.unique(ids[order], return_index=True, return_counts=True)
-        self.tail = np.repeat(np.arange(len(tails)), sizes)[order]
-        self.weight = np.concatenate([w for _, w in self.terms])[order]
+        ids, weight, at = weights.of_all(tails)
+        self.terms = np.split(ids, at[1:-1])
+        order = np.argsort(ids.astype(tails[0].dtype), kind="stable")
+        ids = ids[order]
+        self.begin = np.flatnonzero(np.diff(ids, prepend=-1))
+        self.ids, self.count = ids[self.begin], np.diff(self.begin, append=len(ids))
+        self.tail = np.repeat(np.arange(len(tails)), np.diff(at))[order]
+        self.weight = weight[order]
         self.unused = np.ones(len(tails), bool)
 
     def neighbours(self, query: np.ndarray) -> Iterator[int]:
@@ -149,7 +169,7 @@ def pack_range(rows: Iterator[tuple], weights: Weights, length: int, sequence: i
                     k, part = rest
                     rest = None
                     put(held[k][0], held[k][1] + len(held[k][3]) - len(part), held[k][2], part)
-                    query = index.terms[k][0]
+                    query = index.terms[k]
                 else:
                     while seed < len(held) and not index.unused[seed]:
                         seed += 1
@@ -157,7 +177,7 @@ def pack_range(rows: Iterator[tuple], weights: Weights, length: int, sequence: i
                         return
                     index.unused[seed] = False
                     put(*held[seed])
-                    query = index.terms[seed][0]
+                    query = index.terms[seed]
             for k in index.neighbours(query):
                 doc_id, start, doc_tokens, ids = held[k]
                 index.unused[k] = False
@@ -193,12 +213,9 @@ def packed(spark: SparkSession, docs: DataFrame, vocabulary: str = "byte_bpe_50k
 
     def heaviest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = []
-            for ids in b.column("ids").to_pylist():
-                u, w = weights.value.of(np.frombuffer(ids, dtype))
-                top = u[np.lexsort((u, -w))[:2]]
-                keys.append((int(top[0]), int(top[-1])))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64())], [*b.schema.names, "key1", "key2"])
+            for part in slices(b, "ids", TAILS_AT_ONCE):
+                keys = weights.value.heaviest([np.frombuffer(ids, dtype) for ids in part.column("ids").to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(k, pa.int64()) for k in keys)], [*part.schema.names, "key1", "key2"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():

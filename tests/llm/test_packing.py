@@ -64,3 +64,21 @@ def test_a_window_takes_the_likest_first():
     for doc_id, *_, sequence, _ in out:
         together.setdefault(sequence, set()).add(doc_id)
     assert sorted(map(sorted, together.values())) == [[0, 2], [1, 3]]
+
+
+def test_weights_come_for_many_tails_at_once(monkeypatch):
+    """The same as tail by tail, ties and single ids included; no tail of a shard or a range's key is weighed alone."""
+    rng = np.random.default_rng(2)
+    tails = [rng.integers(0, 60, rng.integers(1, 40)).astype("<u2") for _ in range(300)] + [np.array([5], "<u2"), np.array([7, 7], "<u2"), np.array([1, 2], "<u2")]
+    ids, n = np.unique(np.concatenate([np.unique(t) for t in tails]), return_counts=True)
+    n[1:3] = n[1]
+    w = packing.Weights(ids, n.astype(float), len(tails), 20.0)
+    want = [w.of(t) for t in tails]
+    top = [u[np.lexsort((u, -x))[:2]] for u, x in want]
+    monkeypatch.setattr(packing.Weights, "of", None)
+    u, x, at = w.of_all(tails)
+    assert all(np.array_equal(u[a:b], k) and np.array_equal(x[a:b], y) for (k, y), a, b in zip(want, at, at[1:], strict=False))
+    first, second = w.heaviest(tails)
+    assert first.tolist() == [t[0] for t in top] and second.tolist() == [t[-1] for t in top]
+    rows = [(k, 0, len(t), t) for k, t in enumerate(tails)]
+    assert sum(p[2] for part in packing.pack_range(iter(rows), w, 64, 0) for p in part) == sum(map(len, tails))
