@@ -1,5 +1,7 @@
+import gc
 import io
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -39,6 +41,28 @@ def test_kept_ids_may_go(monkeypatch):
     assert len(e.young) + len(e.old) < 400
 
 
+@pytest.mark.parametrize("name,leading", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_kept_ids_are_small(name, leading):
+    """What a worker keeps of 80,000 different words is no Python object for each, and is found again."""
+    e = Encoder(name, leading)
+    t = [" ".join(["", *(f"w{k * 1000 + i:x}q" for i in range(1000))]) for k in range(80)]
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    try:
+        for k in range(0, 80, 10):
+            e.batch(pa.array(t[k : k + 10]))
+        gc.collect()
+        objects = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert len(e.young) + len(e.old) >= 80_000
+    assert objects + pa.total_allocated_bytes() - before < 80 * len(e.young) + 80 * len(e.old)
+    e.tokenizer = None  # nothing is encoded anew
+    ids, sizes = e.batch(pa.array(t[:1]))
+    want = Tokenizer.from_file(vocabulary(name)).encode(t[0], add_special_tokens=False).ids
+    assert ids.tolist() == want and sizes.tolist() == [len(want)]
+
+
 @pytest.mark.parametrize("name,leading,token", [("byte_bpe_50k.json", True, "<|endoftext|>"), ("word_bpe_49k.json", False, "<|endoftext|>"), ("word_bpe_49k.json", False, "<|startoftext|>")])
 def test_added_tokens_are_one_id(name, leading, token):
     plain = Tokenizer.from_file(vocabulary(name))
